@@ -6,6 +6,8 @@ trips, line items are stop times, events are realtime entities. Both forms say t
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,48 +31,99 @@ _ARRIVAL = "(l_linenumber * 3 + 6) * 3600 + cast(l_quantity as bigint) * 60"
 _DEPARTURE = f"{_ARRIVAL} + l_suppkey % 60"
 
 
-def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Timetable tables by role; Spark prunes the columns a query does not use."""
-    part, orders = table(spark, sf, "part"), table(spark, sf, "orders")
-    trips = orders.select(
+class _Roles(Mapping):
+    """Timetable tables by role, each built when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf: str) -> None:
+        self._spark, self._sf = spark, sf
+        self._built: dict[str, DataFrame] = {}
+
+    def __iter__(self):
+        return iter(_BUILD)
+
+    def __len__(self) -> int:
+        return len(_BUILD)
+
+    def __getitem__(self, role: str) -> DataFrame:
+        if role not in self._built:
+            self._built[role] = _BUILD[role](self._spark, self._sf)
+        return self._built[role]
+
+
+def _agency(spark, sf):
+    return table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("agency_id"), F.col("n_name").alias("agency_name")
+    )
+
+
+def _calendar(spark, sf):
+    return _trips(spark, sf).select("service_id").distinct()
+
+
+def _calendar_dates(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("service_id"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("date"),
+    ).distinct()
+
+
+def _frequencies(spark, sf):
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("trip_id"), F.col("c_nationkey").alias("headway_min")
+    )
+
+
+def _routes(spark, sf):
+    return _trips(spark, sf).select("route_id").distinct().select(
+        "route_id",
+        F.expr("route_id % 30").alias("agency_id"),
+        F.concat(F.lit("R"), F.col("route_id").cast("string")).alias("route_short_name"),
+    )
+
+
+def _stop_times(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("trip_id"),
+        F.col("l_partkey").alias("stop_id"),
+        F.col("l_linenumber").alias("stop_sequence"),
+        _clock(_ARRIVAL).alias("arrival_time"),
+        _clock(_DEPARTURE).alias("departure_time"),
+    )
+
+
+def _stops(spark, sf):
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("stop_id"),
+        F.concat_ws(" ", "p_brand", "p_name").alias("stop_name"),
+        F.expr("47.378177D + (p_partkey % 1000 - 500) * 0.0004D").alias("stop_lat"),
+        F.expr("8.540192D + (p_partkey % 777 - 388) * 0.0005D").alias("stop_lon"),
+        F.when(F.col("p_size") <= 25, F.expr("p_partkey - p_partkey % 10")).alias("parent_station"),
+        F.col("p_type").alias("stop_kind"),
+    )
+
+
+def _trips(spark, sf):
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("trip_id"),
         F.expr("o_orderkey div 3").alias("route_id"),
         F.col("o_orderpriority").alias("service_id"),
     )
-    return {
-        "agency": table(spark, sf, "nation").select(
-            F.col("n_nationkey").cast("bigint").alias("agency_id"), F.col("n_name").alias("agency_name")
-        ),
-        "calendar": trips.select("service_id").distinct(),
-        "calendar_dates": orders.select(
-            F.col("o_orderpriority").alias("service_id"),
-            F.date_format("o_orderdate", "yyyyMMdd").alias("date"),
-        ).distinct(),
-        "frequencies": table(spark, sf, "customer").select(
-            F.col("c_custkey").alias("trip_id"), F.col("c_nationkey").alias("headway_min")
-        ),
-        "routes": trips.select("route_id").distinct().select(
-            "route_id",
-            F.expr("route_id % 30").alias("agency_id"),
-            F.concat(F.lit("R"), F.col("route_id").cast("string")).alias("route_short_name"),
-        ),
-        "stop_times": table(spark, sf, "lineitem").select(
-            F.col("l_orderkey").alias("trip_id"),
-            F.col("l_partkey").alias("stop_id"),
-            F.col("l_linenumber").alias("stop_sequence"),
-            _clock(_ARRIVAL).alias("arrival_time"),
-            _clock(_DEPARTURE).alias("departure_time"),
-        ),
-        "stops": part.select(
-            F.col("p_partkey").alias("stop_id"),
-            F.concat_ws(" ", "p_brand", "p_name").alias("stop_name"),
-            F.expr("47.378177D + (p_partkey % 1000 - 500) * 0.0004D").alias("stop_lat"),
-            F.expr("8.540192D + (p_partkey % 777 - 388) * 0.0005D").alias("stop_lon"),
-            F.when(F.col("p_size") <= 25, F.expr("p_partkey - p_partkey % 10")).alias("parent_station"),
-            F.col("p_type").alias("stop_kind"),
-        ),
-        "trips": trips,
-    }
+
+
+_BUILD = {
+    "agency": _agency,
+    "calendar": _calendar,
+    "calendar_dates": _calendar_dates,
+    "frequencies": _frequencies,
+    "routes": _routes,
+    "stop_times": _stop_times,
+    "stops": _stops,
+    "trips": _trips,
+}
+
+
+def tables(spark: SparkSession, sf: str) -> Mapping[str, DataFrame]:
+    return _Roles(spark, sf)
 
 
 STATIC_SQL = f"""
