@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from transitspark.operators.sequence import block_of, with_neighbour
-from transitspark.session import cut_lineage
+from transitspark.session import rewritten, rewritten_with, scratch_path
 
 
 def graph_nodes(stops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -190,52 +190,47 @@ def degrees(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _shape(edges: DataFrame) -> tuple[int, int]:
-    """Size and checksum of an edge set: two numbers decide whether a round changed it."""
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Component of every node, named by its smallest member.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in
-    MapReduce and Beyond", 2014): each step links neighbours to the smallest node they know, by
-    one min per node and one join, so a hub costs its edges and never pairs of its neighbours.
-    The number of rounds grows with the logarithm of the size. Every round is checkpointed
-    reliably.
+    MapReduce and Beyond", 2014) on links that point from a node to a smaller one: each step
+    moves links to the smallest node known, by one min per node and one join, so a hub costs its
+    links and never pairs of its neighbours. The number of rounds grows with the logarithm of the
+    size. Every round is written to shared storage; two numbers taken while writing tell whether
+    it changed anything.
 
     `nodes`: `stop_id`. `edges`: `source_stop_id`, `target_stop_id`, direction ignored.
     """
     a, b = F.col("a"), F.col("b")
-    links = (
-        edges.select(F.col("source_stop_id").alias("a"), F.col("target_stop_id").alias("b"))
-        .where(a != b)
-        .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    shape = {
+        "links": F.count(F.lit(1)),
+        "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
+    }
+    ends = F.col("source_stop_id"), F.col("target_stop_id")
+    first = (
+        edges.where(ends[0] != ends[1])
+        .select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
         .distinct()
     )
-    links = cut_lineage(links)
-    shape = _shape(links)
+    links, seen = rewritten_with(first, "components", **shape)
     for _ in range(max_rounds):
-        if shape[0] == 0:
+        if seen["links"] == 0:
             break
-        # large star: every node hands its larger neighbours to the smallest node it knows
-        both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m"))
-        lowest = lowest.select("a", F.least("a", "m").alias("m"))
-        large = both.join(lowest, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b"))
-        large = large.where(a != b).distinct()
-        # small star: every node hands its smaller neighbours to the smallest of them
+        # large star: whoever is linked to b is linked to the smallest node b knows
+        lowest = links.groupBy("a").agg(F.min("b").alias("m"))
+        onward = lowest.select(F.col("a").alias("b"), "m")
+        large = links.join(onward, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = large.distinct()
+        # small star: a and all it is linked to are linked to the smallest of them
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(floor, "a")
-        pair = F.explode(F.array(F.struct(b.alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
-        small = joined.select(pair.alias("p")).select("p.*").where(a != b).distinct()
-        links = cut_lineage(small)
-        before, shape = shape, _shape(links)
-        if shape == before:
+        moved = F.array(
+            F.struct(b.alias("a"), F.col("m").alias("b")), F.struct(a.alias("a"), F.col("m").alias("b"))
+        )
+        small = large.join(floor, "a").select(F.explode(moved).alias("p")).select("p.*")
+        before = seen
+        links, seen = rewritten_with(small.where(a != b).distinct(), "components", **shape)
+        if seen == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -252,68 +247,78 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("stops"))
 
 
-def shortest_hops(
-    edges: DataFrame, sources: DataFrame, max_rounds: int = 100_000
-) -> DataFrame:
+def shortest_hops(edges: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Fewest hops from each source stop to every stop it reaches (breadth first).
 
-    Only the newest stops are joined with the edges in a round. A few sources at a time: the
-    result has a row per source and reached stop. Runs until nothing new is reached.
+    Only the stops found last are joined with the edges in a round; each round is a new folder of
+    one table, so nothing is written twice. A few sources at a time: the result has a row per
+    source and reached stop. Runs until nothing new is reached.
     """
-    step = edges.select("source_stop_id", "target_stop_id").distinct()
-    frontier = sources.select(
+    spark = edges.sparkSession
+    table = scratch_path(spark, "hops")
+    schema = sources.select(
         F.col("stop_id").alias("source"), "stop_id", F.lit(0).alias("hops")
-    ).distinct()
-    frontier = cut_lineage(frontier)
-    reached = frontier
+    ).schema
+    step = rewritten(edges.select("source_stop_id", "target_stop_id").distinct(), "steps")
+
+    def keep(found: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        seen = Observation(f"hops-{depth}")
+        folder = f"{table}/hops={depth}"
+        found.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+        return spark.read.schema(found.schema).parquet(folder), seen.get["n"]
+
+    pairs = sources.select(F.col("stop_id").alias("source"), "stop_id").distinct()
+    frontier, _ = keep(pairs, 0)
     for depth in range(1, max_rounds + 1):
-        out = frontier.join(step, frontier["stop_id"] == step["source_stop_id"])
-        fresh = (
-            out.select("source", F.col("target_stop_id").alias("stop_id"))
-            .distinct()
-            .join(reached, ["source", "stop_id"], "left_anti")
-            .select("source", "stop_id", F.lit(depth).alias("hops"))
-        )
-        frontier = cut_lineage(fresh)
-        if frontier.isEmpty():
-            return reached
-        reached = cut_lineage(reached.unionByName(frontier)) if depth % 8 == 0 else reached.unionByName(frontier)
+        reached = spark.read.schema(schema).parquet(table).select("source", "stop_id")
+        out = frontier.join(step, F.col("stop_id") == F.col("source_stop_id"))
+        fresh = out.select("source", F.col("target_stop_id").alias("stop_id")).distinct()
+        frontier, found = keep(fresh.join(reached, ["source", "stop_id"], "left_anti"), depth)
+        if found == 0:
+            return spark.read.schema(schema).parquet(table)
     raise RuntimeError(f"breadth-first search did not end in {max_rounds} rounds")
 
 
 def shortest_times(
     travel: DataFrame, sources: DataFrame, weight: str = "min_travel_s", max_rounds: int = 100_000
 ) -> DataFrame:
-    """Least total travel time from each source stop (edges with negative weight are an error).
+    """Least total travel time from each source stop; edges of negative weight are an error.
 
     Only stops whose time just improved are joined with the edges in a round, so the work falls
     with the number of improvements; ends when none improves.
     """
-    step = travel.select("source_stop_id", "target_stop_id", F.col(weight).alias("w"))
-    step = step.where(F.col("w").isNotNull())
-    if not step.where(F.col("w") < 0).isEmpty():
+    step, measured = rewritten_with(
+        travel.where(F.col(weight).isNotNull()).select(
+            "source_stop_id", "target_stop_id", F.col(weight).alias("w")
+        ),
+        "steps",
+        lowest=F.min("w"),
+    )
+    if measured["lowest"] is not None and measured["lowest"] < 0:
         raise ValueError("shortest_times needs weights that are not negative")
-    best = sources.select(
+    start = sources.select(
         F.col("stop_id").alias("source"), "stop_id", F.lit(0).cast("double").alias("total")
     ).distinct()
-    best = cut_lineage(best)
-    improved = best
+    best = improved = rewritten(start, "times")
     for _ in range(max_rounds):
         offer = (
-            improved.join(step, improved["stop_id"] == step["source_stop_id"])
+            improved.join(step, F.col("stop_id") == F.col("source_stop_id"))
             .groupBy("source", F.col("target_stop_id").alias("stop_id"))
             .agg(F.min(F.col("total") + F.col("w")).alias("offer"))
         )
-        merged = cut_lineage(
+        better = F.col("total").isNull() | (F.col("offer") < F.col("total"))
+        merged, measured = rewritten_with(
             best.join(offer, ["source", "stop_id"], "full_outer").select(
                 "source",
                 "stop_id",
                 F.least("total", "offer").alias("total"),
-                (F.col("total").isNull() | (F.col("offer") < F.col("total"))).alias("better"),
-            )
+                F.coalesce(better, F.lit(False)).alias("better"),
+            ),
+            "times",
+            improved=F.count_if("better"),
         )
         best = merged.select("source", "stop_id", "total")
-        improved = merged.where("better").select("source", "stop_id", "total")
-        if improved.isEmpty():
+        if measured["improved"] == 0:
             return best.withColumnRenamed("total", "travel_s")
+        improved = merged.where("better").select("source", "stop_id", "total")
     raise RuntimeError(f"travel times did not settle in {max_rounds} rounds")

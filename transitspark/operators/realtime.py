@@ -189,7 +189,7 @@ def ordered_by_key(messages: DataFrame, partitions: int | None = None) -> DataFr
     Range partitioning on key *and* time: a key with very many messages is split over several
     tasks, and the order across their files is still the order of the key.
     """
-    ranges = [F.col("key"), F.col("feed_ts")]
+    ranges = [F.col("key"), F.col("feed_ts"), F.col("entity_id")]
     spread = (
         messages.repartitionByRange(partitions, *ranges)
         if partitions
@@ -343,11 +343,10 @@ def enriched(
     Works on a batch and on a stream. No side is hinted: a static table under the session's
     broadcast threshold is broadcast, a larger one is shuffled and skewed keys are split by AQE.
     """
-    by_trip = trips.select("trip_id", F.col("route_id").alias("__planned_route")).dropDuplicates(
-        ["trip_id"]
-    )
-    by_route = routes.select("route_id", "agency_id").dropDuplicates(["route_id"])
-    by_stop = stops.select("stop_id", "stop_name").dropDuplicates(["stop_id"])
+    planned = F.min("route_id").alias("__planned_route")
+    by_trip = trips.groupBy("trip_id").agg(planned)
+    by_route = routes.groupBy("route_id").agg(F.min("agency_id").alias("agency_id"))
+    by_stop = stops.groupBy("stop_id").agg(F.min("stop_name").alias("stop_name"))
     with_route = events.join(by_trip, "trip_id", "left")
     with_route = with_route.withColumn(
         "route_id", F.coalesce(F.col("route_id"), F.col("__planned_route"))

@@ -58,10 +58,10 @@ def state_changes(
     """Records whose values differ from the record before them under the same key.
 
     Adds `change` (`first` or `changed`), `changed_fields`, `previous_ts` and `before`. The
-    comparison runs per key and day (or per `block`), so a key with very many records is split.
+    comparison runs per key and hour (or per `block`), so a key with very many records is split.
     """
     if block is None:
-        block = F.to_date("feed_ts")
+        block = F.date_trunc("hour", "feed_ts")
     previous = with_neighbour(
         ledger, keys, ["feed_ts", *tie], block, ["feed_ts", *values], "__before", following=False
     )

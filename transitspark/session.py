@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # What a session needs for results to be right and plans to adapt; sizes stay with the cluster.
 SETTINGS = {
@@ -55,18 +55,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def rewritten(df: DataFrame, label: str) -> DataFrame:
     """`df` written to the scratch folder and read back.
 
-    Later joins then see the true file size, so Spark's own broadcast threshold decides on
-    facts instead of on the size of the unfiltered input.
+    Cuts the lineage on shared storage, so the rows survive the loss of any executor. Later joins
+    see the true file size, so Spark's own broadcast threshold decides on facts instead of on the
+    size of an unfiltered input.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rewritten_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates measured by the job that writes: no second pass over the rows."""
+    seen = Observation(label)
+    kept = rewritten(df.observe(seen, *[m.alias(n) for n, m in measures.items()]), label)
+    return kept, seen.get

@@ -31,6 +31,12 @@ def children(spark: SparkSession, path: str) -> list[Entry]:
     return sorted(found)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark reports it in file metadata."""
+    fs, target = _fs(spark, path)
+    return fs.makeQualified(target).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, target = _fs(spark, path)
     return fs.exists(target)

@@ -59,13 +59,13 @@ def member_inventory(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select("path", "length")
     )
-    base = files._fs(spark, root)[1].toUri().getPath().rstrip("/") + "/"
-    relative = F.substring_index(F.col("path"), base, -1)
-    return listed.select(
-        F.substring_index(relative, "/", 1).alias("snapshot"),
-        F.expr(f"substring(substring_index(path, '{base}', -1), instr(substring_index(path, '{base}', -1), '/') + 1)").alias("member"),
-        "length",
+    base = files.qualified(spark, root).rstrip("/") + "/"
+    relative = F.substring("path", len(base) + 1, 1_000_000)
+    found = listed.select(
+        F.substring_index(relative, "/", 1).alias("snapshot"), relative.alias("r"), "length"
     )
+    member = F.expr("substring(r, length(snapshot) + 2)").alias("member")
+    return found.select("snapshot", member, "length")
 
 
 def member_verdicts(
