@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CLOCK = r"^\s*([0-9]+):([0-5]?[0-9]):([0-5]?[0-9])\s*$"
+_CLOCK = r"\A[0-9]+:[0-5]?[0-9]:[0-5]?[0-9]\z"
 
 
 def clock_seconds(text: Column) -> Column:
     """Seconds since the start of the service day; `25:10:00` is valid, anything else is null."""
-    part = [F.regexp_extract(text, _CLOCK, i).try_cast("int") for i in (1, 2, 3)]
-    return F.when(text.rlike(_CLOCK), part[0] * 3600 + part[1] * 60 + part[2])
+    clean = F.trim(text)
+    part = F.split(clean, ":")
+    hours, minutes, seconds = (F.get(part, F.lit(i)).try_cast("int") for i in range(3))
+    return F.when(clean.rlike(_CLOCK), hours * 3600 + minutes * 60 + seconds)
 
 
 def rfc3339(instant: Column) -> Column:

@@ -56,8 +56,8 @@ EFFECT = {
 
 def enum_name(code: Column, names: dict[int, str]) -> Column:
     """Name of a code; unset and unknown codes are absent, no default is filled in."""
-    pairs = [F.lit(x) for item in names.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), code)
+    pairs = ", ".join(f"{number}, '{name}'" for number, name in names.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), code)
 
 
 def entity_type(vehicle: Column, trip_update: Column, alert: Column) -> Column:

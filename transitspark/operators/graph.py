@@ -43,10 +43,11 @@ def hops(
         .agg(F.count(F.lit(1)).alias("__copies"))
     )
     values = ["stop_id", clock[0]] if times else ["stop_id"]
+    # the copies close the order only so that both sides of the link use one shuffle of `rows`
     paired = with_neighbour(
         rows,
         key,
-        ["stop_sequence", "stop_id", *clock],
+        ["stop_sequence", "stop_id", *clock, "__copies"],
         block_of(F.col("stop_sequence"), block_size),
         values,
         "__next",

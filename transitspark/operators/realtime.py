@@ -226,6 +226,15 @@ def exploration_summary(feed_rows: DataFrame, explored_at: Column) -> DataFrame:
     )
 
 
+def _of_kind(entities: DataFrame, kind: str) -> DataFrame:
+    """Entities of one type. Ledger rows are told apart by their own column, before any JSON of
+    another type is parsed; plain entities by their payloads."""
+    if "entity_type" in entities.columns:
+        return entities.where(F.col("entity_type") == kind)
+    payloads = F.col("vehicle"), F.col("trip_update"), F.col("alert")
+    return entities.where(feed.entity_type(*payloads) == kind)
+
+
 def _carry(df: DataFrame, extra: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in extra if c in df.columns]
 
@@ -233,7 +242,7 @@ def _carry(df: DataFrame, extra: Sequence[str]) -> list[Column]:
 def vehicle_rows(entities: DataFrame, carry: Sequence[str] = ("key", "feed_ts")) -> DataFrame:
     """Vehicle positions as flat rows."""
     v = F.col("vehicle")
-    return entities.where(v.isNotNull()).select(
+    return _of_kind(entities, "VEHICLE_POSITION").select(
         *_carry(entities, carry),
         v["vehicle"]["id"].alias("vehicle_id"),
         v["vehicle"]["label"].alias("vehicle_label"),
@@ -252,9 +261,7 @@ def vehicle_rows(entities: DataFrame, carry: Sequence[str] = ("key", "feed_ts"))
 def trip_update_rows(entities: DataFrame, carry: Sequence[str] = ("key", "feed_ts")) -> DataFrame:
     """Trip updates, one row per stop update; an update without stops keeps one row."""
     t = F.col("trip_update")
-    # an entity that is not kept by vehicle priority is a vehicle, not a trip update
-    mine = entities.where(t.isNotNull() & F.col("vehicle").isNull())
-    exploded = mine.select(
+    exploded = _of_kind(entities, "TRIP_UPDATE").select(
         *_carry(entities, carry), t.alias("t"), F.explode_outer(t["stop_time_update"]).alias("u")
     )
     return exploded.select(
@@ -275,12 +282,10 @@ def trip_update_rows(entities: DataFrame, carry: Sequence[str] = ("key", "feed_t
 def alert_rows(entities: DataFrame, carry: Sequence[str] = ("key", "feed_ts")) -> DataFrame:
     """Alerts as flat rows with the routes and stops they name."""
     a = F.col("alert")
-    mine = entities.where(a.isNotNull() & F.col("vehicle").isNull() & F.col("trip_update").isNull())
-
     def named(field: str) -> Column:
         return F.array_compact(F.transform(a["informed_entity"], lambda e: e[field]))
 
-    return mine.select(
+    return _of_kind(entities, "ALERT").select(
         *_carry(entities, carry),
         F.col("id").alias("alert_id"),
         a["cause"].alias("cause"),

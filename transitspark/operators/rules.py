@@ -6,17 +6,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitspark.config import QualityRules
+from transitspark.session import local_rows
 
 VERSION = "snapshot_version"
+_S = T.StringType()
 REPORT_SCHEMA = (
-    f"{VERSION} string, ordinal int, table string, check string, "
-    "column string, observed bigint, detail string"
+    T.StructType()
+    .add(VERSION, _S)
+    .add("ordinal", T.IntegerType())
+    .add("table", _S)
+    .add("check", _S)
+    .add("column", _S)
+    .add("observed", T.LongType())
+    .add("detail", _S)
 )
-_FINDING = "struct<ordinal:int,check:string,column:string,observed:bigint,detail:string>"
+_PRESENT = T.StructType().add(VERSION, _S).add("present", T.ArrayType(_S))
 # room between the ordinals of two tables; keys are reported after every table
 _TABLE_STEP, _KEYS_FROM = 1_000, 1_000_000
 
@@ -55,7 +64,7 @@ def column_profile(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Row count and null count of every named column, one aggregate."""
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in columns]
+    nulls = [F.expr(f"count_if(`{c}` IS NULL) AS `nulls_{c}`") for c in columns]
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *nulls)
 
 
@@ -84,19 +93,13 @@ def orphan_rows(
     return orphans.groupBy(*by).agg(F.coalesce(F.sum("child_rows"), F.lit(0)).alias("orphans"))
 
 
-def _finding(ordinal: int, check: str, column: Column, observed: Column, detail: Column) -> Column:
-    return F.struct(
-        F.lit(ordinal).alias("ordinal"),
-        F.lit(check).alias("check"),
-        column.alias("column"),
-        observed.alias("observed"),
-        detail.alias("detail"),
-    ).cast(_FINDING)
-
-
-def _quoted_list(names: Column) -> Column:
-    quoted = F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'")))
-    return F.concat(F.lit("["), F.concat_ws(", ", quoted), F.lit("]"))
+def _finding(ordinal: int, check: str, column: str | None, observed: str, detail: str) -> str:
+    """A violation as SQL text; `observed` and `detail` are SQL expressions."""
+    name = "CAST(NULL AS STRING)" if column is None else f"'{column}'"
+    return (
+        f"named_struct('ordinal', {ordinal}, 'check', '{check}', 'column', {name}, "
+        f"'observed', CAST({observed} AS BIGINT), 'detail', {detail})"
+    )
 
 
 def _table_findings(
@@ -109,63 +112,29 @@ def _table_findings(
     seen = present.join(profile, VERSION, "left").fillna(0)
 
     base = position * _TABLE_STEP
-    nothing = F.lit(None).cast("string")
-    missing = F.filter(
-        F.array(*[F.lit(c) for c in required]).cast("array<string>"),
-        lambda c: ~F.array_contains("present", c),
-    )
-    checks = [
-        F.when(
-            F.size(missing) > 0,
-            _finding(
-                base,
-                "required_columns",
-                nothing,
-                F.size(missing).cast("bigint"),
-                F.concat(F.lit("missing column(s): "), _quoted_list(missing)),
-            ),
-        )
-    ]
+    checks = []
+    if required:
+        wanted = ", ".join(f"'{c}'" for c in required)
+        missing = f"array_except(array({wanted}), present)"
+        listed = f"concat_ws(', ', transform({missing}, c -> concat('\\'', c, '\\'')))"
+        text = f"concat('missing column(s): [', {listed}, ']')"
+        finding = _finding(base, "required_columns", None, f"size({missing})", text)
+        checks.append(f"CASE WHEN size({missing}) > 0 THEN {finding} END")
     for offset, column in enumerate(known, start=1):
-        nulls = F.col(f"nulls_{column}")
+        nulls = f"`nulls_{column}`"
+        text = f"concat('{column} has ', {nulls}, ' null value(s)')"
+        finding = _finding(base + offset, "not_null", column, nulls, text)
         checks.append(
-            F.when(
-                F.array_contains("present", column) & (nulls > 0),
-                _finding(
-                    base + offset,
-                    "not_null",
-                    F.lit(column),
-                    nulls,
-                    F.concat(F.lit(f"{column} has "), nulls.cast("string"), F.lit(" null value(s)")),
-                ),
-            )
+            f"CASE WHEN array_contains(present, '{column}') AND {nulls} > 0 THEN {finding} END"
         )
     if name in rules.bounds:
         low, high = rules.bounds[name]
-        checks.append(
-            F.when(
-                ~F.col("rows").between(low, high),
-                _finding(
-                    base + _TABLE_STEP - 1,
-                    "row_count_range",
-                    nothing,
-                    F.col("rows"),
-                    F.concat(
-                        F.col("rows").cast("string"),
-                        F.lit(f" rows outside expected [{low}, {high}]"),
-                    ),
-                ),
-            )
-        )
-    found = seen.select(VERSION, F.explode(F.array_compact(F.array(*checks))).alias("f"))
-    return found.select(
-        VERSION,
-        "f.ordinal",
-        F.lit(name).alias("table"),
-        "f.check",
-        "f.column",
-        "f.observed",
-        "f.detail",
+        text = f"concat(rows, ' rows outside expected [{low}, {high}]')"
+        finding = _finding(base + _TABLE_STEP - 1, "row_count_range", None, "rows", text)
+        checks.append(f"CASE WHEN NOT rows BETWEEN {low} AND {high} THEN {finding} END")
+    found = f"inline(array_compact(array({', '.join(checks)})))"
+    return seen.select(VERSION, F.expr(found)).select(
+        VERSION, "ordinal", F.lit(name).alias("table"), "check", "column", "observed", "detail"
     )
 
 
@@ -186,7 +155,7 @@ def quality_report(
         rows = [(v, list(have[name])) for v, have in layout.items() if name in have]
         if not rows or (name not in rules.required and name not in rules.bounds):
             continue
-        present = spark.createDataFrame(rows, f"{VERSION} string, present array<string>")
+        present = local_rows(spark, _PRESENT, rows)
         parts.append(_table_findings(name, position, df, present, rules))
 
     for position, (child, child_col, parent, parent_col) in enumerate(rules.foreign_keys):
@@ -202,23 +171,20 @@ def quality_report(
             tables[child].where(checked), child_col, tables[parent].where(checked), parent_col,
             [VERSION],
         )
-        detail = F.concat(
-            F.col("orphans").cast("string"),
-            F.lit(f" {child_col} value(s) not found in {parent}.{parent_col}"),
-        )
+        text = f"concat(orphans, ' {child_col} value(s) not found in {parent}.{parent_col}')"
         parts.append(
-            counted.where(F.col("orphans") > 0).select(
+            counted.where("orphans > 0").selectExpr(
                 VERSION,
-                F.lit(_KEYS_FROM + position).alias("ordinal"),
-                F.lit(child).alias("table"),
-                F.lit("referential_integrity").alias("check"),
-                F.lit(child_col).alias("column"),
-                F.col("orphans").alias("observed"),
-                detail.alias("detail"),
+                f"{_KEYS_FROM + position} AS ordinal",
+                f"'{child}' AS table",
+                "'referential_integrity' AS check",
+                f"'{child_col}' AS column",
+                "orphans AS observed",
+                f"{text} AS detail",
             )
         )
     if not parts:
-        return spark.createDataFrame([], REPORT_SCHEMA)
+        return local_rows(spark, REPORT_SCHEMA, [])
     return reduce(DataFrame.unionByName, parts)
 
 

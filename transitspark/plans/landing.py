@@ -6,26 +6,35 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitspark.config import DEFAULT_CUTOFF
 from transitspark.operators import versions
+from transitspark.session import local_rows
 from transitspark.sources import files, publish
 from transitspark.sources.members import convert_members, member_inventory, member_verdicts
 
-CATALOG_SCHEMA = (
-    "version string, source_url string, downloaded_at timestamp, archive_size_bytes bigint, "
-    "extract_path string, status string"
+S, L, I, TS = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampType()
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+VERSIONS = _schema(version=S)
+CATALOG_SCHEMA = _schema(
+    version=S, source_url=S, downloaded_at=TS, archive_size_bytes=L, extract_path=S, status=S
 )
-HISTORY_SCHEMA = (
-    "version string, source_url string, state string, attempt int, worker_id string, "
-    "started_at timestamp, completed_at timestamp, last_error string, recorded_at timestamp"
+HISTORY_SCHEMA = _schema(
+    version=S, source_url=S, state=S, attempt=I, worker_id=S, started_at=TS, completed_at=TS,
+    last_error=S, recorded_at=TS,
 )
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     if files.exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    return local_rows(spark, schema, [])
 
 
 def current_history(spark: SparkSession, path: str) -> DataFrame:
@@ -86,14 +95,14 @@ def land(
             (row["version"], row["source_url"], state, attempt, None, now, now, error, now)
         )
     if landed:
-        spark.createDataFrame(landed, CATALOG_SCHEMA).write.mode("append").parquet(catalog_path)
+        local_rows(spark, CATALOG_SCHEMA, landed).write.mode("append").parquet(catalog_path)
     if records:
-        spark.createDataFrame(records, HISTORY_SCHEMA).write.mode("append").parquet(history_path)
+        local_rows(spark, HISTORY_SCHEMA, records).write.mode("append").parquet(history_path)
 
-    attempted = spark.createDataFrame([(r[0],) for r in records], "version string")
-    failed = spark.createDataFrame(
-        [(r[0],) for r in records if r[2] == versions.FAILED], "version string"
+    attempted = local_rows(spark, VERSIONS, [(r[0],) for r in records])
+    failed = local_rows(
+        spark, VERSIONS, [(r[0],) for r in records if r[2] == versions.FAILED]
     )
-    installed_before = spark.createDataFrame([(r["version"],) for r in before_rows], "version string")
+    installed_before = local_rows(spark, VERSIONS, [(r["version"],) for r in before_rows])
     after = _read(spark, catalog_path, CATALOG_SCHEMA)
     return versions.run_summary(upstream, installed_before, after, attempted, failed, cutoff)

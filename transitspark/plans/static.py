@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitspark.config import ZONE_PREFIX, QualityRules
 from transitspark.operators import rules as quality
 from transitspark.operators.subset import city_subset
-from transitspark.session import scratch_path
+from transitspark.session import local_rows, scratch_path
 from transitspark.sources import files, publish
 from transitspark.sources.snapshots import (
     VERSION,
@@ -22,7 +23,12 @@ from transitspark.sources.snapshots import (
 )
 
 MODES = ("latest", "replay")
-METRICS_SCHEMA = f"{VERSION} string, artifact string, value bigint"
+METRICS_SCHEMA = (
+    T.StructType()
+    .add(VERSION, T.StringType())
+    .add("artifact", T.StringType())
+    .add("value", T.LongType())
+)
 
 
 @dataclass
@@ -80,7 +86,7 @@ def run_metrics(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:
     rows = [
         (o.snapshot.version, name, n) for o in outcomes for name, n in (o.row_counts or {}).items()
     ]
-    return spark.createDataFrame(rows, METRICS_SCHEMA)
+    return local_rows(spark, METRICS_SCHEMA, rows)
 
 
 def replay_history(
@@ -103,7 +109,7 @@ def replay_history(
     reports = quality.reports_of(report, [s.version for s in found])
     passed = [v for v, r in reports.items() if r.passed]
     if not passed:
-        return reports, spark.createDataFrame([], METRICS_SCHEMA)
+        return reports, local_rows(spark, METRICS_SCHEMA, [])
 
     helpers = scratch_path(spark, "history")
     kept = {name: df.where(F.col(VERSION).isin(passed)) for name, df in tables.items()}

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # What a session needs for results to be right and plans to adapt; sizes stay with the cluster.
 SETTINGS = {
@@ -32,6 +36,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def local_rows(spark: SparkSession, schema: T.StructType, rows: Sequence[tuple]) -> DataFrame:
+    """A few driver-side rows as a DataFrame; through Arrow they need no Python worker."""
+    columns = list(zip(*rows)) if rows else [()] * len(schema.fields)
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in `spark.checkpoint.dir`.
 
