@@ -31,10 +31,16 @@ def children(spark: SparkSession, path: str) -> list[Entry]:
     return sorted(found)
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with its scheme, as Spark reports it in file metadata."""
+def below(spark: SparkSession, path: str) -> list[Entry]:
+    """All files at any depth below a folder, named by their path relative to it."""
     fs, target = _fs(spark, path)
-    return fs.makeQualified(target).toString()
+    base = fs.makeQualified(target).toString().rstrip("/") + "/"
+    listed, found = fs.listFiles(target, True), []
+    while listed.hasNext():
+        status = listed.next()
+        full = status.getPath().toString()
+        found.append(Entry(full.removeprefix(base), full, False, status.getLen()))
+    return sorted(found)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitspark.config import OPTIONAL_MEMBERS, REQUIRED_MEMBERS
+from transitspark.session import local_rows
 from transitspark.sources import files
 
 
@@ -48,24 +50,26 @@ def convert_members(spark: SparkSession, csv_dir: str, out_dir: str) -> list[str
     return done
 
 
+_INVENTORY = (
+    T.StructType()
+    .add("snapshot", T.StringType())
+    .add("member", T.StringType())
+    .add("length", T.LongType())
+)
+
+
 def member_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Files below each snapshot folder of `root`: `snapshot`, `member`, `length`.
 
-    Only names and sizes are read, no content.
+    A folder listing only, no content. Spark's file readers skip empty files, which are what
+    the rules are after, so the listing comes from the file system itself.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length")
-    )
-    base = files.qualified(spark, root).rstrip("/") + "/"
-    relative = F.substring("path", len(base) + 1, 1_000_000)
-    found = listed.select(
-        F.substring_index(relative, "/", 1).alias("snapshot"), relative.alias("r"), "length"
-    )
-    member = F.expr("substring(r, length(snapshot) + 2)").alias("member")
-    return found.select("snapshot", member, "length")
+    rows = []
+    for entry in files.below(spark, root):
+        snapshot, _, member = entry.name.partition("/")
+        if member:
+            rows.append((snapshot, member, entry.length))
+    return local_rows(spark, _INVENTORY, rows)
 
 
 def member_verdicts(
