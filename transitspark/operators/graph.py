@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from transitspark.operators.sequence import block_of, with_neighbour
-from transitspark.session import rewritten, rewritten_with, scratch_path
+from transitspark.session import Rounds, rewritten, scratch_path
 
 
 def graph_nodes(stops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -214,7 +214,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         .select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
         .distinct()
     )
-    links, seen = rewritten_with(first, "components", **shape)
+    rounds = Rounds(edges.sparkSession, "components")
+    links, seen = rounds.keep(first, **shape)
     for _ in range(max_rounds):
         if seen["links"] == 0:
             break
@@ -230,7 +231,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         )
         small = large.join(floor, "a").select(F.explode(moved).alias("p")).select("p.*")
         before = seen
-        links, seen = rewritten_with(small.where(a != b).distinct(), "components", **shape)
+        links, seen = rounds.keep(small.where(a != b).distinct(), **shape)
         if seen == before:
             break
     else:
@@ -288,19 +289,19 @@ def shortest_times(
     Only stops whose time just improved are joined with the edges in a round, so the work falls
     with the number of improvements; ends when none improves.
     """
-    step, measured = rewritten_with(
-        travel.where(F.col(weight).isNotNull()).select(
-            "source_stop_id", "target_stop_id", F.col(weight).alias("w")
-        ),
-        "steps",
-        lowest=F.min("w"),
+    spark = travel.sparkSession
+    known = travel.where(F.col(weight).isNotNull()).select(
+        "source_stop_id", "target_stop_id", F.col(weight).alias("w")
     )
+    step, measured = Rounds(spark, "steps").keep(known, lowest=F.min("w"))
     if measured["lowest"] is not None and measured["lowest"] < 0:
         raise ValueError("shortest_times needs weights that are not negative")
     start = sources.select(
         F.col("stop_id").alias("source"), "stop_id", F.lit(0).cast("double").alias("total")
     ).distinct()
-    best = improved = rewritten(start, "times")
+    rounds = Rounds(spark, "times")
+    best, _ = rounds.keep(start, n=F.count(F.lit(1)))
+    improved = best
     for _ in range(max_rounds):
         offer = (
             improved.join(step, F.col("stop_id") == F.col("source_stop_id"))
@@ -308,14 +309,13 @@ def shortest_times(
             .agg(F.min(F.col("total") + F.col("w")).alias("offer"))
         )
         better = F.col("total").isNull() | (F.col("offer") < F.col("total"))
-        merged, measured = rewritten_with(
+        merged, measured = rounds.keep(
             best.join(offer, ["source", "stop_id"], "full_outer").select(
                 "source",
                 "stop_id",
                 F.least("total", "offer").alias("total"),
                 F.coalesce(better, F.lit(False)).alias("better"),
             ),
-            "times",
             improved=F.count_if("better"),
         )
         best = merged.select("source", "stop_id", "total")

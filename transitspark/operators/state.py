@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from transitspark.config import RETENTION_DAYS
 from transitspark.functions.geo import in_box
 from transitspark.operators.sequence import with_neighbour
+from transitspark.session import rewritten
 
 FIRST, APPEARED, CHANGED, DISAPPEARED = "first", "appeared", "changed", "disappeared"
 
@@ -111,7 +112,8 @@ def snapshot_deltas(
     snapshots, not by a timeout. Join keys are unique on both sides, so a key with very many
     records is spread over all tasks. Keys of the first snapshot appear.
     """
-    following = snapshot_sequence(records, feed)
+    # one row per poll, written so that Spark knows how small it is and need not shuffle records
+    following = rewritten(snapshot_sequence(records, feed), "polls")
     now = F.struct(*values)
     on = list(dict.fromkeys([*feed, *keys, "feed_ts"]))
     current = records.select(*on, now.alias("__after"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from transitspark.sources.files import remove_folder
+
 # What a session needs for results to be right and plans to adapt; sizes stay with the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -79,8 +81,22 @@ def rewritten(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rewritten_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
-    """The same, with aggregates measured by the job that writes: no second pass over the rows."""
-    seen = Observation(label)
-    kept = rewritten(df.observe(seen, *[m.alias(n) for n, m in measures.items()]), label)
-    return kept, seen.get
+class Rounds:
+    """Results of an iteration on shared storage: each round replaces the one before it.
+
+    A round is read only to compute the next one, so its folder goes away once that is written;
+    the folder of the last round stays for whoever reads the result.
+    """
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self._spark, self._root, self._number = spark, scratch_path(spark, label), 0
+
+    def keep(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+        """`df` as written, and aggregates taken by the job that wrote it."""
+        seen = Observation()
+        path = f"{self._root}/{self._number}"
+        df.observe(seen, *[m.alias(n) for n, m in measures.items()]).write.parquet(path)
+        if self._number:
+            remove_folder(self._spark, f"{self._root}/{self._number - 1}")
+        self._number += 1
+        return self._spark.read.schema(df.schema).parquet(path), seen.get
