@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from transitspark.operators.keys import per_key, unique_keys
 from transitspark.operators.sequence import block_of, with_neighbour
 from transitspark.session import Rounds, rewritten, scratch_path
 
@@ -87,12 +88,10 @@ def stop_edges(pairs: DataFrame, trips: DataFrame, by: Sequence[str] = ()) -> Da
 
 def to_stations(stop_times: DataFrame, stops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stop times with every platform replaced by its parent station."""
-    parent = stops.select(
-        *by, "stop_id", F.coalesce("parent_station", "stop_id").alias("__station")
-    ).dropDuplicates([*by, "stop_id"])
+    station = F.min(F.coalesce("parent_station", "stop_id")).alias("__station")
+    parent = per_key(stops, [*by, "stop_id"], station)
     joined = stop_times.join(parent, [*by, "stop_id"], "left")
-    station = F.coalesce("__station", "stop_id")
-    return joined.withColumn("stop_id", station).select(*stop_times.columns)
+    return joined.withColumn("stop_id", F.coalesce("__station", "stop_id")).select(*stop_times.columns)
 
 
 def station_edges(
@@ -121,9 +120,8 @@ def delayed_travel_times(
 
     `stop_delays`: `stop_id`, `delay_s`.
     """
-    delay = stop_delays.groupBy(*by, F.col("stop_id").alias("target_stop_id")).agg(
-        F.avg("delay_s").alias("mean_delay_s")
-    )
+    at_target = stop_delays.withColumnRenamed("stop_id", "target_stop_id")
+    delay = per_key(at_target, [*by, "target_stop_id"], F.avg("delay_s").alias("mean_delay_s"))
     added = travel.join(delay, [*by, "target_stop_id"], "left")
     total = F.col("mean_travel_s") + F.coalesce("mean_delay_s", F.lit(0.0))
     return added.withColumn("expected_travel_s", total).select(
@@ -163,8 +161,8 @@ def transfer_neighbours(served: DataFrame, start: DataFrame, by: Sequence[str] =
     Stop by stop, never pair by pair: stops of the start routes, then the routes there.
     """
     key = [*by, "route_id"]
-    chosen = start.select(*key).distinct()
-    stops = served.join(chosen, key, "left_semi").select(*by, "stop_id").distinct()
+    chosen = unique_keys(start, key)
+    stops = unique_keys(served.join(chosen, key, "left_semi"), [*by, "stop_id"])
     reached = served.join(stops, [*by, "stop_id"], "left_semi")
     return (
         reached.join(chosen, key, "left_anti")
@@ -220,12 +218,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         if seen["links"] == 0:
             break
         # large star: whoever is linked to b is linked to the smallest node b knows
-        lowest = links.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = per_key(links, ["a"], F.min("b").alias("m"))
         onward = lowest.select(F.col("a").alias("b"), "m")
         large = links.join(onward, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = large.distinct()
         # small star: a and all it is linked to are linked to the smallest of them
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        floor = per_key(large, ["a"], F.min("b").alias("m"))
         moved = F.array(
             F.struct(b.alias("a"), F.col("m").alias("b")), F.struct(a.alias("a"), F.col("m").alias("b"))
         )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from transitspark.functions import feed
 from transitspark.functions.clock import rfc3339
+from transitspark.operators.keys import per_key
 from transitspark.operators.sequence import block_of, with_carried
 from transitspark.sources.feed_schema import entity_schema
 
@@ -327,10 +328,8 @@ def propagated_delay(
         joined, keys, ["stop_sequence"], block_of(F.col("stop_sequence"), block_size), marker,
         "__run",
     )
-    per_trip = (
-        updates.groupBy(*keys)
-        .agg(F.max("trip_delay_s").alias("__trip_delay"))
-        .where(F.col("__trip_delay").isNotNull())
+    per_trip = per_key(updates, keys, F.max("trip_delay_s").alias("__trip_delay")).where(
+        F.col("__trip_delay").isNotNull()
     )
     delay = F.when(F.col("__run").isNotNull(), F.col("__run.delay")).otherwise(
         F.col("__trip_delay")
@@ -349,9 +348,9 @@ def enriched(
     broadcast threshold is broadcast, a larger one is shuffled and skewed keys are split by AQE.
     """
     planned = F.min("route_id").alias("__planned_route")
-    by_trip = trips.groupBy("trip_id").agg(planned)
-    by_route = routes.groupBy("route_id").agg(F.min("agency_id").alias("agency_id"))
-    by_stop = stops.groupBy("stop_id").agg(F.min("stop_name").alias("stop_name"))
+    by_trip = per_key(trips, ["trip_id"], planned)
+    by_route = per_key(routes, ["route_id"], F.min("agency_id").alias("agency_id"))
+    by_stop = per_key(stops, ["stop_id"], F.min("stop_name").alias("stop_name"))
     with_route = events.join(by_trip, "trip_id", "left")
     with_route = with_route.withColumn(
         "route_id", F.coalesce(F.col("route_id"), F.col("__planned_route"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from transitspark.config import RETENTION_DAYS
 from transitspark.functions.geo import in_box
+from transitspark.operators.keys import unique_keys
 from transitspark.operators.sequence import with_neighbour
 from transitspark.session import rewritten
 
@@ -164,7 +165,7 @@ def zone_filter(
 
     Always downstream of the raw ledger, which keeps everything.
     """
-    marker = stops_in_zone.select(F.col("stop_id").alias(stop)).distinct()
+    marker = unique_keys(stops_in_zone.select(F.col("stop_id").alias(stop)), [stop])
     marked = rows.join(marker.withColumn("__in_zone", F.lit(True)), stop, "left")
     inside = F.coalesce(F.col("__in_zone"), F.lit(False)) | in_box(F.col(lat), F.col(lon), box)
     return marked.where(inside).select(*rows.columns)

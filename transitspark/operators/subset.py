@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitspark.config import ZONE_PREFIX, need
+from transitspark.operators.keys import unique_keys
 
 INTERNAL, CROSSING, MIXED = "internal", "crossing", "mixed"
 _MARK = "__in_zone"
@@ -32,7 +33,7 @@ def trip_profile(stop_times: DataFrame, in_zone: DataFrame, by: Sequence[str] =
     join, since a left join multiplies on duplicates where a semi join would not. Both counts
     combine map-side, so a trip with very many rows costs one row per input split.
     """
-    marker = in_zone.select(*by, "stop_id").distinct().withColumn(_MARK, F.lit(True))
+    marker = unique_keys(in_zone, [*by, "stop_id"]).withColumn(_MARK, F.lit(True))
     return (
         stop_times.select(*by, "trip_id", "stop_id")
         .join(marker, [*by, "stop_id"], "left")
@@ -98,8 +99,7 @@ def rows_of(
     share of the owners never lands in one task.
     """
     keys = [*by, key]
-    right = owners.select(*keys)
-    right = right if unique else right.distinct()
+    right = owners.select(*keys) if unique else unique_keys(owners, keys)
     return table.join(right, keys, "left_semi").select(*table.columns)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitspark.config import DEFAULT_CUTOFF
+from transitspark.operators.keys import per_key
 
 DISCOVERED, QUEUED, RUNNING, PUBLISHED, FAILED = (
     "discovered", "queued", "running", "published", "failed",
@@ -117,7 +118,8 @@ def version_status(installed: DataFrame, failed: DataFrame, by: Sequence[str]) -
     an aggregate joined back, not a window, so a feed with very many versions stays spread out.
     """
     keys = [*by, "version"]
-    newest = newest_verified(installed, by)
+    verified = installed.where(F.col("status") == "verified")
+    newest = per_key(verified, by, F.max("version").alias("latest"))
     ranked = installed.select(*keys, "extract_path").join(newest, list(by), "left")
     bad = failed.select(*keys, F.lit(True).alias("__failed")).distinct()
     met = ranked.join(bad, keys, "full_outer")
