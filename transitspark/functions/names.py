@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STEM = r"(?s)^(.*)_([^_]*)$"
-
 
 def is_version(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\A[0-9]{8}\z"), F.lit(False))
@@ -17,7 +15,7 @@ def is_sha256(text: Column) -> Column:
 
 
 def last_segment(url: Column) -> Column:
-    return F.element_at(F.split(url, "/"), -1)
+    return F.substring_index(url, "/", -1)
 
 
 def is_zip(fmt: Column, url: Column) -> Column:
@@ -26,21 +24,27 @@ def is_zip(fmt: Column, url: Column) -> Column:
     return declared | F.coalesce(F.lower(url).endswith(".zip"), F.lit(False))
 
 
-def _stem(filename: Column) -> Column:
-    # only these two spellings of the suffix are stripped
-    return F.regexp_replace(filename, r"\.(zip|ZIP)\z", "")
+# a version is the part after the last underscore: 8 digits once hyphens are taken out; only
+# these two spellings of the suffix count as one
+_DATED = r"_(-*[0-9]){8}-*(\.zip|\.ZIP)?\z"
+_DATE = r"_([0-9-]+)(\.zip|\.ZIP)?\z"
+_PREFIX = r"([^/]*)_[^_/]*\z"
+
+
+def has_version(name: Column) -> Column:
+    """Whether a file name, or a path ending in one, carries a version."""
+    return F.coalesce(name.rlike(_DATED), F.lit(False))
 
 
-def file_prefix(filename: Column) -> Column:
-    """Lower-cased part before the last underscore of the stem."""
-    return F.lower(F.regexp_extract(_stem(filename), _STEM, 1))
+def file_prefix(name: Column) -> Column:
+    """Lower-cased part of a file name before its last underscore."""
+    return F.lower(F.regexp_extract(name, _PREFIX, 1))
 
 
-def file_version(filename: Column) -> Column:
+def file_version(name: Column) -> Column:
     """The 8-digit version of a resource file name, or null if it has none."""
-    stem = _stem(filename)
-    digits = F.regexp_replace(F.regexp_extract(stem, _STEM, 2), "-", "")
-    return F.when(stem.contains("_") & is_version(digits), digits)
+    digits = F.replace(F.regexp_extract(name, _DATE, 1), F.lit("-"), F.lit(""))
+    return F.when(has_version(name), digits)
 
 
 def snapshot_dir(prefix: Column, version: Column) -> Column:

@@ -29,21 +29,20 @@ def listed_resources(bodies: DataFrame, body: str = "body", by: Sequence[str] =
 
 def parse_resources(resources: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Zip resources with a readable name: prefix, version, folder name and metadata."""
-    filename = names.last_segment(F.col("url"))
-    found = resources.where(names.is_zip(F.col("format"), F.col("url"))).select(
+    url = F.col("url")
+    # both conditions look at the address itself: one pattern each, nothing is taken apart twice
+    found = resources.where(names.is_zip(F.col("format"), url) & names.has_version(url)).select(
         *by,
         *[c for c in ("position",) if c in resources.columns],
-        names.file_version(filename).alias("version"),
-        names.file_prefix(filename).alias("name_prefix"),
-        F.col("url").alias("download_url"),
-        filename.alias("original_filename"),
+        names.file_version(url).alias("version"),
+        names.file_prefix(url).alias("name_prefix"),
+        url.alias("download_url"),
+        names.last_segment(url).alias("original_filename"),
         names.blank_to_null(F.col("last_modified")).alias("publisher_last_modified"),
         names.blank_to_null(F.col("hash")).alias("upstream_hash"),
     )
-    readable = found.where(F.col("version").isNotNull())
-    return readable.withColumn(
-        "snapshot_dir", names.snapshot_dir(F.col("name_prefix"), F.col("version"))
-    )
+    folder = names.snapshot_dir(F.col("name_prefix"), F.col("version"))
+    return found.withColumn("snapshot_dir", folder)
 
 
 def installed_snapshots(sidecars: DataFrame, body: str = "body", by: Sequence[str] = ()) -> DataFrame:
