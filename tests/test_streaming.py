@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from transitspark.operators import delays, state
 from transitspark.operators.realtime import trip_update_rows, ledger_entities
+from transitspark.plans import realtime as realtime_jobs
 from transitspark.streaming import ledger
 
 T0 = 1_767_225_600  # 2026-01-01T00:00:00Z
@@ -133,3 +134,45 @@ def test_windows_of_a_stream_equal_the_batch_once_closed(spark, tmp_path):
     closed = batch.where(F.col("window_start") + F.expr("interval 5 minutes") <= F.timestamp_seconds(F.lit(T0 + 39 * 30 - 60)))
     assert values(spark.read.parquet(str(tmp_path / "out")), *columns) == values(closed, *columns)
     assert closed.count() == 6
+
+
+def test_all_tables_from_landed_polls(spark, tmp_path):
+    src, root = tmp_path / "in", str(tmp_path / "root")
+    update = lambda d: {"id": "u", "trip_update": {"trip": {"trip_id": "t", "route_id": "r"}, "stop_time_update": [{"stop_id": "s", "arrival": {"delay": d}}]}}
+    for cycle in range(3):
+        for n in (2 * cycle, 2 * cycle + 1):
+            poll(src, n, [vehicle("a", str(n // 2)), update(n)], ts=T0 + 600 * n)
+        drain(realtime_jobs.start_raw(spark, str(src), root, every=None))
+        for query in realtime_jobs.start_derived(spark, root, every=None).values():
+            drain(query)
+    raw = realtime_jobs.read_ledger(spark, root)
+    assert raw.count() == 12
+    assert spark.read.parquet(f"{root}/{realtime_jobs.NORMALIZED}").count() == 12
+    deltas = spark.read.parquet(f"{root}/{realtime_jobs.DELTAS}")
+    got = values(deltas.select("key", ((F.unix_seconds("feed_ts") - T0) / 600).cast("int").alias("n"), "change"))
+    assert got == sorted([("trip.t", 0, "appeared"), ("vehicle.a", 0, "appeared"), ("vehicle.a", 2, "changed"), ("vehicle.a", 4, "changed")] + [("trip.t", n, "changed") for n in range(1, 6)], key=lambda r: [str(x) for x in r])
+    metrics = spark.read.parquet(f"{root}/{realtime_jobs.METRICS}")
+    assert values(metrics, "route_id", "stop_id", "updates", "mean_delay_s") == [("r", "s", 1, 2.0), ("r", "s", 2, 0.5)]
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    held = realtime_jobs.ledger_at(raw, at(T0 + 1300)).withColumn("t", F.unix_seconds("feed_ts") - T0)
+    assert values(held, "key", "t") == [("trip.t", 1200), ("vehicle.a", 1200)]
+    summary = realtime_jobs.explore(spark, str(src), str(tmp_path / "summary"))
+    assert summary.count() == 6 and {tuple(r) for r in summary.select("entity_counts.total", "entity_counts.unknown").collect()} == {(2, 0)}
+
+
+def test_a_failed_cycle_does_not_end_the_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    poll(src, 0, [vehicle("a", "1")])
+    runs = []
+
+    def step(batch, batch_id):
+        runs.append(batch_id)
+        if len(runs) == 1:
+            raise RuntimeError("first cycle")
+
+    def start():
+        rows = ledger.stream_entities(spark, str(src))
+        return rows.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+
+    assert realtime_jobs.keep_going(start, pause_s=0) == 1
+    assert runs == [0, 0]

@@ -22,6 +22,7 @@ from transitspark.checks.roles import (
 from transitspark.functions import feed
 from transitspark.operators import delays, realtime, state
 from transitspark.operators.subset import zone_stops
+from transitspark.plans.realtime import ledger_at
 from transitspark.session import scratch_path
 from transitspark.streaming import ledger
 
@@ -498,3 +499,16 @@ def rt_stream_deltas(spark, sf):
     )
     run.awaitTermination()
     return _flat_deltas(spark.read.parquet(f"{folder}/deltas"))
+
+
+@query(
+    "rt_ledger_replay",
+    event_sql(
+        f"SELECT key, entity_type, id entity_id, hour_s feed_ts FROM live WHERE hour_s <= {AT_SQL} "
+        "QUALIFY row_number() OVER (PARTITION BY key ORDER BY hour_s DESC, id DESC) = 1"
+    ),
+)
+def rt_ledger_replay(spark, sf):
+    """The message of every key that held in the middle of the month."""
+    held = ledger_at(_ledger(spark, sf), _instant())
+    return held.select("key", "entity_type", "entity_id", _seconds("feed_ts"))
