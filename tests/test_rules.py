@@ -3,7 +3,7 @@ from conftest import frame
 from pyspark.sql import functions as F
 
 from transitspark.config import QualityRules
-from transitspark.operators.rules import ValidationFailed, validate_snapshot
+from transitspark.operators.rules import RulesBroken, validate_snapshot
 
 RULES = QualityRules(
     bounds={"stops": (10, 1000), "routes": (5, 50), "trips": (10, 10_000), "stop_times": (10, 100_000)}
@@ -77,7 +77,8 @@ def test_order_and_text(spark, tables):
         ("stops", "row_count_range"),
         ("stop_times", "referential_integrity"),
     ]
-    assert str(ValidationFailed(report)).startswith("snapshot v1 failed validation:\n  - stops.required_columns")
+    with pytest.raises(RulesBroken, match="snapshot v1 failed validation:\n  - stops.required_columns"):
+        report.demand()
 
 
 def test_one_hot_orphan_key(spark, tables):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transitspark.config import ZONE_PREFIX, QualityRules
@@ -16,6 +15,7 @@ from transitspark.sources import files, publish
 from transitspark.sources.snapshots import (
     VERSION,
     Snapshot,
+    describe_history,
     latest_snapshot,
     load_history,
     load_tables,
@@ -76,7 +76,7 @@ def run(
 ) -> list[Outcome]:
     """The newest snapshot, or every one oldest first; a failed one does not stop the others."""
     if mode not in MODES:
-        raise ValueError(f"unknown mode {mode!r}; choose one of {sorted(MODES)}")
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
     found = [latest_snapshot(spark, bronze_root)] if mode == "latest" else snapshots(spark, bronze_root)
     return [transform_snapshot(spark, s, silver_root, prefix, rules) for s in found]
 
@@ -104,20 +104,23 @@ def replay_history(
     small to fill a cluster.
     """
     found = snapshots(spark, bronze_root)
-    tables, layout = load_history(spark, found)
-    report = quality.quality_report(spark, tables, layout, rules)
+    ruled = {*rules.required, *rules.bounds}
+    ruled.update(t for child, _, parent, _ in rules.foreign_keys for t in (child, parent))
+    layout = describe_history(spark, found, ruled)
+    report = quality.quality_report(spark, load_history(spark, found), layout, rules)
     reports = quality.reports_of(report, [s.version for s in found])
     passed = [v for v, r in reports.items() if r.passed]
     if not passed:
         return reports, local_rows(spark, METRICS_SCHEMA, [])
 
     helpers = scratch_path(spark, "history")
-    kept = {name: df.where(F.col(VERSION).isin(passed)) for name, df in tables.items()}
+    # only the files of versions that passed are read again
+    kept = load_history(spark, [s for s in found if s.version in passed])
 
     def stage(name: str, df: DataFrame) -> DataFrame:
-        return publish.write_history(df, helpers if name.startswith("_") else history_root, name)
+        root = helpers if name.startswith("_") else history_root
+        return publish.write_history(df, root, name, passed)
 
     artifacts = city_subset(kept, prefix, by=(VERSION,), stage=stage)
-    counts = publish.artifact_counts(artifacts, [VERSION]).where(F.col(VERSION).isin(passed))
     files.remove_folder(spark, helpers)
-    return reports, counts
+    return reports, publish.artifact_counts(artifacts, [VERSION])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from transitspark.operators.explore import labelled_counts
 from transitspark.sources import files
@@ -39,32 +41,31 @@ def published_latest(spark: SparkSession, root: str) -> str | None:
     return max(names) if names else None
 
 
-def write_history(df: DataFrame, root: str, name: str, by: str = VERSION) -> DataFrame:
-    """One artifact of many versions as a table partitioned by version.
+def write_history(df: DataFrame, root: str, name: str, versions: Sequence[str]) -> DataFrame:
+    """One artifact of many versions as a table partitioned by version; returns these versions.
 
-    Only the versions written are replaced. The rebalance hint lets AQE cut a large version into
-    several files and put small ones together, instead of one task per version.
+    The given versions are replaced, also where they have no rows any more; others stay. The
+    rebalance hint lets AQE cut a large version into several files and put small ones together,
+    instead of one task per version.
     """
-    path = f"{root.rstrip('/')}/{name}"
+    spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}"
+    for version in versions:
+        files.remove_folder(spark, f"{path}/{VERSION}={version}")
     (
-        df.hint("rebalance", by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", VERSION)
+        .write.mode("append")
         .option("compression", "zstd")
-        .partitionBy(by)
+        .partitionBy(VERSION)
         .parquet(path)
     )
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    kept = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return kept.where(F.col(VERSION).isin(list(versions)))
 
 
 def artifact_counts(artifacts: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """Rows per artifact (and version) of what was written; counts come from Parquet footers."""
     if not by:
         return labelled_counts(artifacts, "artifact")
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
     parts = [
         df.groupBy(*by).agg(F.count(F.lit(1)).alias("value")).select(
             *by, F.lit(name).alias("artifact"), "value"

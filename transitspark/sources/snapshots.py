@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,26 +58,37 @@ def load_tables(spark: SparkSession, snapshot: Snapshot) -> dict[str, DataFrame]
     return {n: spark.read.parquet(p) for n, p in table_paths(spark, snapshot).items()}
 
 
-def load_history(
-    spark: SparkSession, found: list[Snapshot]
-) -> tuple[dict[str, DataFrame], dict[str, dict[str, list[str]]]]:
-    """The same table of all snapshots as one DataFrame with a `snapshot_version` column.
+def describe_history(
+    spark: SparkSession, found: list[Snapshot], names: Collection[str]
+) -> dict[str, dict[str, list[str]]]:
+    """Which of the named tables each snapshot has, and with which columns.
 
-    Also returns which tables and columns each snapshot has: a table read over all snapshots has
-    every column any of them has.
+    A table read over all snapshots has every column any of them has, so what one of them lacks
+    shows only here. Reads footers, several files at a time.
     """
-    layout: dict[str, dict[str, list[str]]] = {}
+    wanted = [
+        (s.version, name, path)
+        for s in found
+        for name, path in table_paths(spark, s).items()
+        if name in names
+    ]
+    with ThreadPoolExecutor(8) as pool:
+        columns = list(pool.map(lambda item: list(spark.read.parquet(item[2]).columns), wanted))
+    layout: dict[str, dict[str, list[str]]] = {s.version: {} for s in found}
+    for (version, name, _), have in zip(wanted, columns):
+        layout[version][name] = have
+    return layout
+
+
+def load_history(spark: SparkSession, found: list[Snapshot]) -> dict[str, DataFrame]:
+    """Each table of all snapshots as one DataFrame with a `snapshot_version` column."""
     paths: dict[str, list[str]] = {}
     for snapshot in found:
-        tables = table_paths(spark, snapshot)
-        layout[snapshot.version] = {
-            name: list(spark.read.parquet(path).columns) for name, path in tables.items()
-        }
-        for name, path in tables.items():
+        for name, path in table_paths(spark, snapshot).items():
             paths.setdefault(name, []).append(path)
     history = {}
     for name in sorted(paths):
         df = spark.read.option("mergeSchema", "true").parquet(*paths[name])
         folder = F.regexp_extract("_metadata.file_path", rf"/([^/]+)/{re.escape(name)}\.parquet", 1)
         history[name] = df.select("*", folder.alias(VERSION))
-    return history, layout
+    return history
