@@ -54,10 +54,10 @@ EFFECT = {
 # --------------------------------------------------------------------------
 
 
-def enum_name(code: Column, names: dict[int, str]) -> Column:
-    """Name of a code; unset and unknown codes are absent, no default is filled in."""
+def enum_sql(code: str, names: dict[int, str]) -> str:
+    """Name of a code as SQL; unset and unknown codes are absent, no default is filled in."""
     pairs = ", ".join(f"{number}, '{name}'" for number, name in names.items())
-    return F.try_element_at(F.expr(f"map({pairs})"), code)
+    return f"try_element_at(map({pairs}), {code})"
 
 
 def entity_type(vehicle: Column, trip_update: Column, alert: Column) -> Column:

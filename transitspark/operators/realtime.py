@@ -17,94 +17,82 @@ from transitspark.sources.feed_schema import entity_schema
 _NAMED = {f.name: f.dataType for f in entity_schema(T.StringType()).fields}
 
 
-def _present(source: Column, **fields: Column) -> Column:
-    """A record that stays absent when its source is absent."""
-    parts = [value.alias(name) for name, value in fields.items()]
-    return F.when(source.isNotNull(), F.struct(*parts))
+def _name(code: str, names: dict[int, str]) -> str:
+    return feed.enum_sql(code, names)
 
 
-def _same(source: Column, *names: str) -> dict[str, Column]:
-    return {name: source[name] for name in names}
+def _record(source: str, **fields: str) -> str:
+    """A record, as SQL, that stays absent when its source is absent."""
+    parts = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return f"CASE WHEN {source} IS NOT NULL THEN named_struct({parts}) END"
 
 
-def _trip(t: Column) -> Column:
-    return _present(
-        t,
-        **_same(t, "trip_id", "route_id", "direction_id", "start_time", "start_date"),
-        schedule_relationship=feed.enum_name(t["schedule_relationship"], feed.TRIP_SCHEDULE),
-    )
+def _same(source: str, *names: str) -> dict[str, str]:
+    return {name: f"{source}.{name}" for name in names}
 
 
-def _stop_update(u: Column) -> Column:
-    return F.struct(
-        u["stop_sequence"].alias("stop_sequence"),
-        u["stop_id"].alias("stop_id"),
-        u["arrival"].alias("arrival"),
-        u["departure"].alias("departure"),
-        feed.enum_name(u["schedule_relationship"], feed.STOP_SCHEDULE).alias(
-            "schedule_relationship"
-        ),
-    )
+def _trip(t: str) -> str:
+    kept = _same(t, "trip_id", "route_id", "direction_id", "start_time", "start_date")
+    schedule = _name(f"{t}.schedule_relationship", feed.TRIP_SCHEDULE)
+    return _record(t, **kept, schedule_relationship=schedule)
 
 
-def _selector(e: Column) -> Column:
-    return F.struct(
-        e["agency_id"].alias("agency_id"),
-        e["route_id"].alias("route_id"),
-        e["route_type"].alias("route_type"),
-        _trip(e["trip"]).alias("trip"),
-        e["stop_id"].alias("stop_id"),
-    )
+def _stop_update(u: str) -> str:
+    kept = _same(u, "stop_sequence", "stop_id", "arrival", "departure")
+    schedule = _name(f"{u}.schedule_relationship", feed.STOP_SCHEDULE)
+    return _record(u, **kept, schedule_relationship=schedule)
+
+
+def _selector(e: str) -> str:
+    kept = _same(e, "agency_id", "route_id", "route_type")
+    return _record(e, **kept, trip=_trip(f"{e}.trip"), stop_id=f"{e}.stop_id")
 
 
-def _listed(items: Column) -> Column:
+def _listed(items: str) -> str:
     """Repeated fields are never absent: none becomes an empty list."""
-    return F.coalesce(items, F.array())
+    return f"coalesce({items}, array())"
 
 
-def _texts(t: Column) -> Column:
-    return _present(t, translation=_listed(t["translation"]))
+def _texts(t: str) -> str:
+    return _record(t, translation=_listed(f"{t}.translation"))
 
 
 def named_model(entities: DataFrame) -> DataFrame:
     """Entities with enum codes as names; header columns, if any, pass through."""
-    v, t, a = F.col("vehicle"), F.col("trip_update"), F.col("alert")
-    vehicle = _present(
-        v,
-        trip=_trip(v["trip"]),
-        **_same(v, "vehicle", "position", "current_stop_sequence", "stop_id"),
-        current_status=feed.enum_name(v["current_status"], feed.STOP_STATUS),
-        timestamp=v["timestamp"],
-        congestion_level=feed.enum_name(v["congestion_level"], feed.CONGESTION),
-        occupancy_status=feed.enum_name(v["occupancy_status"], feed.OCCUPANCY),
+    vehicle = _record(
+        "vehicle",
+        trip=_trip("vehicle.trip"),
+        **_same("vehicle", "vehicle", "position", "current_stop_sequence", "stop_id"),
+        current_status=_name("vehicle.current_status", feed.STOP_STATUS),
+        timestamp="vehicle.timestamp",
+        congestion_level=_name("vehicle.congestion_level", feed.CONGESTION),
+        occupancy_status=_name("vehicle.occupancy_status", feed.OCCUPANCY),
     )
-    trip_update = _present(
-        t,
-        trip=_trip(t["trip"]),
-        vehicle=t["vehicle"],
-        stop_time_update=F.transform(_listed(t["stop_time_update"]), _stop_update),
-        **_same(t, "timestamp", "delay"),
+    trip_update = _record(
+        "trip_update",
+        trip=_trip("trip_update.trip"),
+        vehicle="trip_update.vehicle",
+        stop_time_update=f"transform({_listed('trip_update.stop_time_update')}, u -> {_stop_update('u')})",
+        **_same("trip_update", "timestamp", "delay"),
     )
-    alert = _present(
-        a,
-        active_period=_listed(a["active_period"]),
-        informed_entity=F.transform(_listed(a["informed_entity"]), _selector),
-        cause=feed.enum_name(a["cause"], feed.CAUSE),
-        effect=feed.enum_name(a["effect"], feed.EFFECT),
-        url=_texts(a["url"]),
-        header_text=_texts(a["header_text"]),
-        description_text=_texts(a["description_text"]),
+    alert = _record(
+        "alert",
+        active_period=_listed("alert.active_period"),
+        informed_entity=f"transform({_listed('alert.informed_entity')}, e -> {_selector('e')})",
+        cause=_name("alert.cause", feed.CAUSE),
+        effect=_name("alert.effect", feed.EFFECT),
+        **{text: _texts(f"alert.{text}") for text in ("url", "header_text", "description_text")},
     )
     built = {"vehicle": vehicle, "trip_update": trip_update, "alert": alert}
-    replaced = {n: c.cast(_NAMED[n]) for n, c in built.items()}
+    replaced = {n: F.expr(sql).cast(_NAMED[n]) for n, sql in built.items()}
     if "header" in entities.columns:
-        h = F.col("header")
-        replaced["header"] = _present(
-            h,
-            gtfs_realtime_version=h["gtfs_realtime_version"],
-            incrementality=feed.enum_name(h["incrementality"], feed.INCREMENTALITY),
-            timestamp=h["timestamp"],
+        header = _record(
+            "header",
+            gtfs_realtime_version="header.gtfs_realtime_version",
+            incrementality=_name("header.incrementality", feed.INCREMENTALITY),
+            timestamp="header.timestamp",
         )
+        replaced["header"] = F.expr(header)
     return entities.withColumns(replaced)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from transitspark.config import DEFAULT_CUTOFF
 from transitspark.operators import versions
-from transitspark.session import local_rows
+from transitspark.session import local_rows, rewritten
 from transitspark.sources import files, publish
 from transitspark.sources.members import convert_members, member_inventory, member_verdicts
 
@@ -64,9 +64,10 @@ def land(
     """
     upstream = versions.unique_upstream(resources) if "position" in resources.columns else resources
     before = _read(spark, catalog_path, CATALOG_SCHEMA)
-    before_rows = before.select("version").collect()  # one short row per installed version
+    # kept as it is now: the catalogue grows during the run
+    installed_before = rewritten(before.select("version"), "installed")
     plan = versions.plan_versions(
-        upstream, before, current_history(spark, history_path), F.lit(now), cutoff
+        upstream, installed_before, current_history(spark, history_path), F.lit(now), cutoff
     )
     verdicts = member_verdicts(member_inventory(spark, unpacked_root))
     wanted = (
@@ -103,6 +104,5 @@ def land(
     failed = local_rows(
         spark, VERSIONS, [(r[0],) for r in records if r[2] == versions.FAILED]
     )
-    installed_before = local_rows(spark, VERSIONS, [(r["version"],) for r in before_rows])
     after = _read(spark, catalog_path, CATALOG_SCHEMA)
     return versions.run_summary(upstream, installed_before, after, attempted, failed, cutoff)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +39,21 @@ def read_member(spark: SparkSession, path: str) -> DataFrame:
 
 def convert_members(spark: SparkSession, csv_dir: str, out_dir: str) -> list[str]:
     """Every `*.txt` file (any case) as a Parquet table of the same name; returns the names."""
-    done = []
-    for entry in files.children(spark, csv_dir):
-        stem, dot, ext = entry.name.rpartition(".")
-        if entry.is_dir or not dot or ext.lower() != "txt":
-            continue
-        table = read_member(spark, entry.path)
+    def convert(entry: files.Entry) -> str:
+        stem = entry.name[: -len(".txt")]
         target = f"{out_dir.rstrip('/')}/{stem}.parquet"
+        table = read_member(spark, entry.path)
         table.write.mode("overwrite").option("compression", "zstd").parquet(target)
-        done.append(stem)
-    return done
+        return stem
+
+    found = [
+        e
+        for e in files.children(spark, csv_dir)
+        if not e.is_dir and e.name.lower().endswith(".txt")
+    ]
+    # small members are one task each; several at a time keep the cluster busy
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(convert, found))
 
 
 _INVENTORY = (
