@@ -1,5 +1,4 @@
 import pytest
-from conftest import frame
 from pyspark.sql import functions as F
 
 from transitspark.config import QualityRules

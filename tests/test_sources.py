@@ -1,7 +1,6 @@
 from datetime import datetime
 
 from conftest import frame, values
-from pyspark.sql import functions as F
 
 from transitspark.operators.explore import dataset_inventory
 from transitspark.plans.landing import land
