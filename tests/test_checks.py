@@ -4,6 +4,7 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry
+from transitspark.checks.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,14 +14,15 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     verdict, detail, _ = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
     assert verdict == "ok", detail
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_flagship(spark):
