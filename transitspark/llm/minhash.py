@@ -7,9 +7,9 @@ the buckets. A pair at similarity 0.85 shares no bucket with probability (1 - 0.
 
 Inside a bucket there are no pairs but star edges from a centre to the nodes not yet joined with it. A
 centre has then been compared with the whole bucket and leaves it; a bucket whose nodes are all joined is
-done. Each further round takes twice as many centres of what is left, so no link is lost and the number
-of rounds grows with the logarithm of the largest bucket of unlike nodes. Every edge is confirmed on the
-full shingle sets.
+done. After `STARS` rounds, nodes in buckets that are still open (alike, but not alike enough) meet by
+an exact prefix filter, so none of their links is lost and none of their buckets is spread into pairs.
+Every edge is confirmed on the full shingle sets.
 
 Defined results: texts that are null, empty or without words have an empty set and no links; repeated
 rows share a node; ids may be null or repeat (the least non-null id names a component; a row without id
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitspark.llm.text import WHITE, Piece, lists, mix, pieces, signed, words
@@ -33,6 +33,7 @@ from transitspark.session import rewritten
 BANDS, ROWS = 48, 8
 BINS = BANDS * ROWS
 SHINGLE, PERCENT = 3, 85
+STARS, RARITY_BITS = 2, 18
 
 _SKETCH = "rid long, doc_id long, tkey long, n_shingles long, node long, bands array<long>"
 
@@ -126,6 +127,77 @@ def _entries(nodes: DataFrame) -> DataFrame:
     return entries.drop("nodes").join(score, "node")
 
 
+def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on their full shingle sets."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return rewritten(both.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, shingle, percent), "a long, b long"), "links")
+
+
+def _joined(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(node, component) of the ends of links."""
+    ends = links.select(F.col("a").alias("source_stop_id"), F.col("b").alias("target_stop_id"))
+    nodes = ends.select(F.explode(F.array("source_stop_id", "target_stop_id")).alias("stop_id"))
+    return rewritten(connected_components(nodes, ends).select(F.col("stop_id").alias("node"), "component"), "components")
+
+
+def _still_open(left: DataFrame) -> DataFrame:
+    """The entries of buckets in which nodes of more than one component are left."""
+    open_ = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    return rewritten(left.join(open_, "bucket", "left_semi"), "left")
+
+
+def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
+    """About how often each of 2**RARITY_BITS classes of shingles occurs. Any order of shingles gives right results."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for p in pieces(batch.column(0)):
+                total += np.bincount(sorted_sets(p, shingle)[0] >> np.uint64(64 - RARITY_BITS), minlength=len(total))
+        yield pa.record_batch([pa.array(np.flatnonzero(total), pa.int64()), pa.array(total[total > 0], pa.int64())], ["kind", "n"])
+
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    for kind, n in texts.select("text").mapInArrow(count, "kind long, n long").groupBy("kind").agg(F.sum("n")).collect():
+        out[kind] = n
+    return out
+
+
+def rest_pairs(spark: SparkSession, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be links, by the prefixes of their sets.
+
+    With the shingles of all sets in one order, rare ones first, two sets of n and m shingles with the
+    similarity share one among the first n - ceil(n * percent / 100) + 1 of each; where the first shared
+    one stands bounds what they can share (Xiao et al., "Efficient Similarity Joins for Near Duplicate
+    Detection", 2008). No link is lost, and nodes that differ from their centre by shingles of their own
+    meet only where they share those. `texts`: node, text, component.
+    """
+    rarity = spark.sparkContext.broadcast(_rarity(texts, shingle))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in pieces(batch.column(2)):
+                values, at = sorted_sets(p, shingle)
+                for i in range(p.rows):
+                    own = values[at[i] : at[i + 1]]
+                    n = len(own)
+                    own = own[np.lexsort((own, rarity.value[own >> np.uint64(64 - RARITY_BITS)]))][: n + (-n * percent) // 100 + 1]
+                    size = len(own)
+                    yield pa.record_batch(
+                        [signed(own), *(np.full(size, batch.column(c)[p.first + i].as_py(), np.int64) for c in (0, 1)), np.arange(size, dtype=np.int64), np.full(size, n, np.int64)],
+                        ["token", "node", "component", "at", "n"],
+                    )
+
+    tokens = texts.select("node", "component", "text").mapInArrow(prefixes, "token long, node long, component long, at long, n long")
+    tokens = rewritten(tokens, "tokens")
+    # of the nodes with a token, those of its largest component are compared with the others only
+    sizes = tokens.groupBy("token", "component").agg(F.count("*").alias("nodes"))
+    mixed = sizes.groupBy("token").agg(F.max_by("component", "nodes").alias("main"), F.count("*").alias("components")).filter("components > 1")
+    mixed = tokens.join(mixed.select("token", "main"), "token")
+    a, b = mixed.filter("component != main").alias("a"), mixed.alias("b")
+    may = (F.col("a.component") != F.col("b.component")) & ((100 + percent) * F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= percent * (F.col("a.n") + F.col("b.n")))
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & may).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def node_components(spark: SparkSession, docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all nodes that have a link."""
     nodes = sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("tkey").alias("tkey"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -134,30 +206,23 @@ def node_components(spark: SparkSession, docs: DataFrame, sketch: DataFrame, shi
     wanted = left.select("node").distinct().join(nodes.select("node", "tkey"), "node")
     texts = docs.select(F.xxhash64("text").alias("tkey"), F.col("text").cast("string").alias("text")).join(wanted, "tkey")
     texts = rewritten(texts.dropDuplicates(["tkey"]).select("node", "text"), "texts")
-    components = links = None
-    round_no = 0
-    while True:
-        # a bucket stays open while nodes of more than one component are left in it
-        open_ = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        left = rewritten(left.join(open_, "bucket", "left_semi"), "left")
-        if left.isEmpty():
-            break
-        best = Window.partitionBy("bucket").orderBy(F.desc("score"), "node")
-        centres = left.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 1 << round_no)
-        centres = rewritten(centres.select("bucket", F.col("node").alias("centre"), F.col("component").alias("of"), F.col("n").alias("m")), "centres")
+    links = spark.createDataFrame([], "a long, b long")
+    components = spark.createDataFrame([], "node long, component long")
+    for _ in range(STARS):
+        left = _still_open(left)
+        best = F.max(F.struct("score", F.struct("node", "component", "n").alias("c"))).alias("best")
+        centres = left.groupBy("bucket").agg(best).select("bucket", F.col("best.c.node").alias("centre"), F.col("best.c.component").alias("of"), F.col("best.c.n").alias("m"))
+        centres = rewritten(centres, "centres")
         apart = (F.col("component") != F.col("of")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         pairs = left.join(centres, "bucket").filter(apart).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        found = rewritten(both.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, shingle, percent), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        ends = links.select(F.col("a").alias("source_stop_id"), F.col("b").alias("target_stop_id"))
-        both_ends = ends.select(F.explode(F.array("source_stop_id", "target_stop_id")).alias("stop_id"))
-        components = rewritten(connected_components(both_ends, ends).select(F.col("stop_id").alias("node"), "component"), "components")
-        # what a centre was compared with is settled: it leaves its bucket
+        links = links.unionByName(_verify(pairs, texts, shingle, percent))
+        components = _joined(spark, links)
+        # a centre was compared with its whole bucket and leaves it
         left = left.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").drop("component")
         left = left.join(components, "node", "left").select("bucket", "node", "n", "score", F.coalesce("component", "node").alias("component"))
-        round_no += 1
-    return components if components is not None else spark.createDataFrame([], "node long, component long")
+    left = _still_open(left)
+    rest = rewritten(texts.join(left.select("node", "component").distinct(), "node"), "rest")
+    return _joined(spark, links.unionByName(_verify(rest_pairs(spark, rest, shingle, percent), texts, shingle, percent)))
 
 
 def _labelled(spark: SparkSession, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
