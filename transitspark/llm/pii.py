@@ -236,5 +236,6 @@ def rendered(spans: Column) -> Column:
 
 def span_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    of = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
     return find_spans(docs).select("doc_id", *counts, F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.array_sort(F.concat("base", "added"))).alias("spans"))
