@@ -108,3 +108,10 @@ def test_transfers_and_degree(spark):
     start = frame(spark, "route_id string", [("A",)])
     assert values(graph.transfer_neighbours(served, start)) == [("B", 2), ("C", 1)]
     assert values(graph.degrees(edge_frame(spark, [(1, 2), (1, 3), (2, 2)]))) == [(1, 2, 0, 2), (2, 1, 2, 3), (3, 0, 1, 1)]
+
+
+def test_text_sequences_order_as_numbers(spark):
+    rows = [("T", f"S{i:02}", str(i)) for i in range(1, 13)]
+    found = graph.hops(spark.createDataFrame(rows, "trip_id string, stop_id string, stop_sequence string"))
+    pairs = {(r["source_stop_id"], r["target_stop_id"]) for r in found.collect()}
+    assert pairs == {(f"S{i:02}", f"S{i + 1:02}") for i in range(1, 12)}

@@ -14,7 +14,10 @@ from transitspark.operators.graph import route_stops
 from transitspark.session import scratch_path
 from transitspark.sources import members, publish, snapshots
 
-GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+GIVEN = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+    "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def _profile(t: dict[str, DataFrame]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_MOST_HOURS = 596_522  # more would not fit the seconds' type
 _CLOCK = r"\A[0-9]+:[0-5]?[0-9]:[0-5]?[0-9]\z"
 
 
@@ -13,7 +14,7 @@ def clock_seconds(text: Column) -> Column:
     clean = F.trim(text)
     part = F.split(clean, ":")
     hours, minutes, seconds = (F.get(part, F.lit(i)).try_cast("int") for i in range(3))
-    return F.when(clean.rlike(_CLOCK), hours * 3600 + minutes * 60 + seconds)
+    return F.when(clean.rlike(_CLOCK) & (hours <= _MOST_HOURS), hours * 3600 + minutes * 60 + seconds)
 
 
 def rfc3339(instant: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from transitspark.operators.keys import per_key, unique_keys
+from transitspark.operators.keys import per_key, unique_keys, with_integer
 from transitspark.operators.sequence import block_of, with_neighbour
 from transitspark.session import Rounds, rewritten, scratch_path
 
@@ -39,7 +39,8 @@ def hops(
     key = [*by, "trip_id"]
     clock = list(times) if times else []
     rows = (
-        stop_times.where(F.col("trip_id").isNotNull())
+        with_integer(stop_times, "stop_sequence")
+        .where(F.col("trip_id").isNotNull())
         .groupBy(*key, "stop_sequence", "stop_id", *clock)
         .agg(F.count(F.lit(1)).alias("__copies"))
     )

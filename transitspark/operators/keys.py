@@ -26,3 +26,8 @@ def per_key(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFram
     """One row per key."""
     grouped = df.groupBy(*keys, F.xxhash64(*keys).alias(_SPREAD))
     return grouped.agg(*aggregates).drop(_SPREAD)
+
+
+def with_integer(df: DataFrame, column: str) -> DataFrame:
+    """`df` with a text `column` read as an integer, as landed tables hold it; unreadable values are null."""
+    return df.withColumn(column, F.col(column).try_cast("bigint")) if df.schema[column].dataType.typeName() == "string" else df

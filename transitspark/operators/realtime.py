@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from transitspark.functions import feed
 from transitspark.functions.clock import rfc3339
-from transitspark.operators.keys import per_key
+from transitspark.operators.keys import per_key, with_integer
 from transitspark.operators.sequence import block_of, with_carried
 from transitspark.sources.feed_schema import entity_schema
 
@@ -306,6 +306,7 @@ def propagated_delay(
     from there on. A skipped stop has no delay of its own and leaves the running value as it is.
     Before the first update the trip-level delay holds.
     """
+    stops, updates = with_integer(stops, "stop_sequence"), with_integer(updates, "stop_sequence")
     flagged = updates.withColumn("__updated", F.lit(True))
     joined = stops.join(flagged, [*keys, "stop_sequence"], "left")
     skipped = F.coalesce(F.col("schedule_relationship") == "SKIPPED", F.lit(False))
