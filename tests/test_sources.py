@@ -3,7 +3,7 @@ from datetime import datetime
 from conftest import frame, values
 
 from transitspark.operators.explore import dataset_inventory
-from transitspark.plans.landing import land
+from transitspark.plans.landing import HISTORY_SCHEMA, current_history, land
 from transitspark.sources import catalog, members
 from transitspark.sources.snapshots import latest_snapshot, load_tables
 
@@ -101,3 +101,27 @@ def test_landing_a_run_and_the_next(spark, tmp_path):
 
     third = land(spark, resources, *paths, now=datetime(2026, 8, 22)).first().asDict()
     assert (third["already_present"], third["attempted"], third["bytes_installed"]) == (2, 0, 0)
+
+
+def test_a_bad_version_stops_no_other(spark, tmp_path):
+    unpacked, bronze = tmp_path / "unpacked", tmp_path / "bronze"
+    listing = LISTING.replace("2026-08-12", "2026-08-06").replace("20250101", "20260807")
+    for day in ("05", "06", "07"):
+        for name in ("stops", "trips", "routes", "stop_times", "calendar_dates"):
+            ragged = "1,2,3\n" if (day, name) == ("06", "trips") else "1\n"
+            write(unpacked / f"gtfs_fp2026_202608{day}" / f"{name}.txt", f"{name}_id\n{ragged}")
+    (bronze / ".staging/gtfs_fp2026_20260807/ghost.parquet").mkdir(parents=True)
+    paths = (str(unpacked), str(bronze), str(tmp_path / "catalog"), str(tmp_path / "history"))
+    stale = (("20260806", "u", "running", 4, "w", None, None, None, datetime(2026, 8, 1)), ("20250101", "u", "running", 1, "w", None, None, None, datetime(2026, 8, 1)))
+    spark.createDataFrame(list(stale), HISTORY_SCHEMA).write.parquet(paths[3])
+    resources = catalog.parse_resources(catalog.listed_resources(frame(spark, "body string", [(listing,)])))
+    done = land(spark, resources, *paths, now=datetime(2026, 8, 20)).first()
+    assert (done["attempted"], done["succeeded"], done["failed"]) == (3, 2, 1)
+    latest = latest_snapshot(spark, str(bronze))
+    assert latest.version == "gtfs_fp2026_20260807" and "ghost" not in load_tables(spark, latest)
+    now = {r["version"]: (r["state"], r["attempt"]) for r in current_history(spark, paths[3]).collect()}
+    assert now == {"20260805": ("published", 1), "20260806": ("failed", 5), "20260807": ("published", 1), "20250101": ("queued", 1)}
+    before = spark.read.parquet(paths[3]).count()
+    again = land(spark, resources, *paths, now=datetime(2026, 8, 21)).first()
+    assert (again["attempted"], again["failed"]) == (1, 1)
+    assert spark.read.parquet(paths[3]).count() == before + 1  # what was recovered is not recovered again

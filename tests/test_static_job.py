@@ -4,9 +4,11 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from transitspark.config import QualityRules
-from transitspark.plans.static import replay_history, run, run_metrics
-from transitspark.sources.publish import published_latest
+from transitspark.__main__ import main
+from transitspark.config import MissingInput, QualityRules
+from transitspark.operators.rules import report_lines
+from transitspark.plans.static import publish_each, publish_latest, replay_history
+from transitspark.sources.publish import published_latest, write_history
 from transitspark.sources.snapshots import latest_snapshot, snapshots
 
 RULES = QualityRules(
@@ -39,53 +41,87 @@ def test_no_snapshot_is_an_error(spark, tmp_path):
         latest_snapshot(spark, str(tmp_path / "nothing"))
 
 
+def lines(report):
+    return values(report_lines(report), "snapshot_version", "line")
+
+
+def per_artifact(counts):
+    return {(r[0], r[1]): r[2] for r in counts.collect()}
+
+
 def test_latest_fails_and_writes_nothing(spark, bronze, tmp_path):
     silver = str(tmp_path / "silver")
-    [outcome] = run(spark, bronze, silver, "latest", rules=RULES)
-    assert not outcome.report.passed and outcome.published is None
+    report, counts = publish_latest(spark, bronze, silver, rules=RULES)
+    assert [v for v, _ in lines(report)] == [BAD] and counts.count() == 0
     assert published_latest(spark, silver) is None
 
 
-def test_replay_skips_the_bad_version(spark, bronze, tmp_path):
+def test_each_in_turn_skips_the_bad_version(spark, bronze, tmp_path):
     silver = str(tmp_path / "silver")
-    outcomes = run(spark, bronze, silver, "replay", rules=RULES)
-    assert [o.report.passed for o in outcomes] == [True, True, False]
+    report, counts = publish_each(spark, bronze, silver, rules=RULES)
+    got = per_artifact(counts)
+    assert {v for v, _ in lines(report)} == {BAD} and {v for v, _ in got} == set(GOOD)
     assert published_latest(spark, silver) == GOOD[-1]
-    assert outcomes[0].row_counts["trips"] == 2 and outcomes[0].row_counts["mixed_routes"] == 0
+    assert got[GOOD[0], "trips"] == 2 and got[GOOD[0], "mixed_routes"] == 0
     trips = spark.read.parquet(f"{silver}/{GOOD[0]}/internal_trips.parquet")
     assert values(trips, "trip_id") == ["T_INTERNAL"]
-    assert sorted(os.listdir(f"{silver}/{GOOD[0]}")) == sorted(f"{n}.parquet" for n in outcomes[0].row_counts)
-    assert run_metrics(spark, outcomes).count() == 2 * len(outcomes[0].row_counts)
+    assert sorted(os.listdir(f"{silver}/{GOOD[0]}")) == sorted(f"{n}.parquet" for v, n in got if v == GOOD[0])
     # publishing an older version again replaces it and does not move latest
-    run(spark, bronze, silver, "replay", rules=RULES)
+    publish_each(spark, bronze, silver, rules=RULES)
     assert published_latest(spark, silver) == GOOD[-1]
 
 
-def test_unknown_mode(spark, bronze, tmp_path):
-    with pytest.raises(ValueError, match="must be one of"):
-        run(spark, bronze, str(tmp_path), "sideways")
-
-
 def test_history_in_one_pass_equals_one_by_one(spark, bronze, tmp_path):
     silver, history = str(tmp_path / "silver"), str(tmp_path / "history")
-    outcomes = run(spark, bronze, silver, "replay", rules=RULES)
-    reports, counts = replay_history(spark, bronze, history, rules=RULES)
-    assert {v: r.passed for v, r in reports.items()} == {GOOD[0]: True, GOOD[1]: True, BAD: False}
-    assert [str(f) for f in reports[BAD].failures] == [str(f) for f in outcomes[2].report.failures]
-    one_by_one = {(o.snapshot.version, n): c for o in outcomes if o.row_counts for n, c in o.row_counts.items() if c}
-    at_once = {(r[0], r[1]): r[2] for r in counts.collect()}
-    assert at_once == one_by_one
-    again, recounted = replay_history(spark, bronze, history, rules=RULES)
-    assert {(r[0], r[1]): r[2] for r in recounted.collect()} == at_once
+    told, counts = publish_each(spark, bronze, silver, rules=RULES)
+    report, at_once = replay_history(spark, bronze, history, rules=RULES)
+    assert lines(report) == lines(told) and [v for v, _ in lines(report)] == [BAD]
+    assert per_artifact(at_once) == {k: n for k, n in per_artifact(counts).items() if n}
+    _, again = replay_history(spark, bronze, history, rules=RULES)
+    assert per_artifact(again) == per_artifact(at_once)
     crossing = spark.read.parquet(f"{history}/crossing_trips")
     assert values(crossing, "snapshot_version", "trip_id") == [(v, "T_CROSSING") for v in GOOD]
 
 
+def test_a_version_that_now_fails_is_withdrawn(spark, bronze, tmp_path):
+    history = str(tmp_path / "history")
+    replay_history(spark, bronze, history, rules=RULES)
+    spark.createDataFrame([("Z1", None)], "stop_id string, stop_name string").write.mode("overwrite").parquet(f"{bronze}/{GOOD[0]}/stops.parquet")
+    replay_history(spark, bronze, history, rules=RULES)
+    trips = spark.read.parquet(f"{history}/trips")
+    assert {v for v in values(trips, "snapshot_version")} == {GOOD[1]}
+
+
+def test_a_failed_write_leaves_the_table_as_it_was(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.sql("SELECT 1 a, 'v1' snapshot_version")
+    write_history(rows, root, "t", ["v1"])
+    with pytest.raises(Exception, match="no luck"):
+        write_history(rows.withColumn("a", F.when(F.col("a") > 0, F.raise_error(F.lit("no luck")).cast("int"))), root, "t", ["v1"])
+    assert values(spark.read.parquet(f"{root}/t")) == [(1, "v1")]
+
+
+def test_a_passing_version_that_lacks_a_column_is_named(spark, bronze, tmp_path, universe):
+    for name, df in universe.items():
+        df = df.drop("route_id") if name == "trips" else df
+        df.write.parquet(f"{bronze}/gtfs_fp2026_20260819/{name}.parquet")
+    with pytest.raises(MissingInput, match="gtfs_fp2026_20260819.*route_id"):
+        replay_history(spark, bronze, str(tmp_path / "h"), rules=QualityRules(required={}, bounds={}, foreign_keys=()))
+
+
+def test_command_line(bronze, tmp_path, capsys):
+    args = ["--bronze", bronze, "--silver", str(tmp_path / "silver")]
+    assert main(["latest", *args]) == 1  # no table is within the bounds of a real timetable
+    assert BAD in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        main(["sideways", *args])
+
+
 def test_history_names_a_column_only_one_version_lacks(spark, bronze, tmp_path, universe):
     lacking = f"{bronze}/gtfs_fp2026_20260812"
     for name, df in universe.items():
         df = df.drop("stop_name") if name == "stops" else df
         df.write.parquet(f"{lacking}/{name}.parquet")
-    reports, _ = replay_history(spark, bronze, str(tmp_path / "h"), rules=RULES)
-    failures = [str(f) for f in reports["gtfs_fp2026_20260812"].failures]
-    assert failures == ["stops.required_columns: missing column(s): ['stop_name']"]
+    report, _ = replay_history(spark, bronze, str(tmp_path / "h"), rules=RULES)
+    told = [line for v, line in lines(report) if v == "gtfs_fp2026_20260812"]
+    assert told == ["stops.required_columns: missing column(s): ['stop_name']"]

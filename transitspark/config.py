@@ -68,10 +68,11 @@ class MissingInput(ValueError):
 
 
 def need(tables: dict, name: str, *columns: str):
-    """The table `name`, or a `MissingInput` that says what is absent."""
+    """The table `name` (a DataFrame or its columns), or a `MissingInput` that says what is absent."""
     if name not in tables:
         raise MissingInput(f"table {name!r} is missing; present: {sorted(tables)}")
-    absent = [c for c in columns if c not in tables[name].columns]
+    have = getattr(tables[name], "columns", tables[name])
+    absent = [c for c in columns if c not in have]
     if absent:
         raise MissingInput(f"table {name!r} lacks column(s) {absent}")
     return tables[name]

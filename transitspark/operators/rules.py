@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,39 +29,6 @@ _PRESENT = T.StructType().add(VERSION, _S).add("present", T.ArrayType(_S))
 _TABLE_STEP, _KEYS_FROM = 1_000, 1_000_000
 
 
-class RulesBroken(ValueError):
-    """A snapshot that must pass does not; the message lists every violation."""
-
-
-class Failure(NamedTuple):
-    table: str
-    check: str
-    detail: str
-
-    def __str__(self) -> str:
-        return "{}.{}: {}".format(*self)
-
-
-class Report:
-    """Violations of one snapshot in the order of the rules."""
-
-    def __init__(self, snapshot_version: str) -> None:
-        self.snapshot_version = snapshot_version
-        self.failures: list[Failure] = []
-
-    @property
-    def passed(self) -> bool:
-        return len(self.failures) == 0
-
-    def text(self) -> str:
-        head = f"snapshot {self.snapshot_version} failed validation:"
-        return "\n  - ".join([head, *map(str, self.failures)])
-
-    def demand(self) -> None:
-        if not self.passed:
-            raise RulesBroken(self.text())
-
-
 def column_profile(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -201,16 +167,30 @@ def validate_snapshot(
     version: str,
     tables: dict[str, DataFrame],
     rules: QualityRules = QualityRules(),
-) -> Report:
-    """The report of one snapshot; never raises on a violation."""
+) -> DataFrame:
+    """The report rows of one snapshot; none if it keeps every rule."""
     layout = {version: {name: list(df.columns) for name, df in tables.items()}}
-    found = quality_report(spark, with_version(tables, version), layout, rules)
-    return reports_of(found, [version])[version]
+    return quality_report(spark, with_version(tables, version), layout, rules)
+
+
+def passed_versions(versions: DataFrame, report: DataFrame) -> DataFrame:
+    """Rows of `versions` (with a `snapshot_version` column) of which the report says nothing."""
+    return versions.join(report.select(VERSION).distinct(), VERSION, "left_anti")
 
 
-def reports_of(found: DataFrame, versions: Sequence[str]) -> dict[str, Report]:
-    """Violations as driver-side reports: at most one row per version and rule."""
-    reports = {v: Report(v) for v in versions}
-    for row in found.orderBy(VERSION, "ordinal").collect():
-        reports[row[VERSION]].failures.append(Failure(row["table"], row["check"], row["detail"]))
-    return reports
+def report_lines(report: DataFrame) -> DataFrame:
+    """`snapshot_version`, `ordinal`, `line`: each violation as one line of text."""
+    line = F.concat(F.col("table"), F.lit("."), F.col("check"), F.lit(": "), F.col("detail"))
+    return report.select(VERSION, "ordinal", line.alias("line"))
+
+
+def report_texts(report: DataFrame) -> DataFrame:
+    """`snapshot_version`, `text`: all violations of a version in the order of the rules.
+
+    A version has at most one row per rule, so what is gathered is bounded by the rules.
+    """
+    found = F.array_sort(F.collect_list(F.struct("ordinal", "line")))
+    bullets = F.array_join(F.transform(found, lambda r: F.concat(F.lit("\n  - "), r["line"])), "")
+    head = F.concat(F.lit("snapshot "), F.col(VERSION), F.lit(" failed validation:"))
+    grouped = report_lines(report).groupBy(VERSION).agg(bullets.alias("bullets"))
+    return grouped.select(VERSION, F.concat(head, "bullets").alias("text"))

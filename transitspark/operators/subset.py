@@ -6,7 +6,7 @@ that the same plan works on one snapshot and on a whole history read as one tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,6 +103,20 @@ def rows_of(
     return table.join(right, keys, "left_semi").select(*table.columns)
 
 
+def require_inputs(have: Mapping[str, Sequence[str]], by: Sequence[str] = ()) -> None:
+    """A `MissingInput` if the tables, given by their columns, do not hold what the subset needs."""
+    trips, routes = ["trip_id", "route_id"], ["route_id"]
+    if "calendar" in have or "calendar_dates" in have:
+        trips.append("service_id")
+    if "agency" in have:
+        routes.append("agency_id")
+    wanted = {"stops": ["stop_id", "stop_name"], "stop_times": ["trip_id", "stop_id"], "trips": trips, "routes": routes}
+    optional = {"calendar": "service_id", "calendar_dates": "service_id", "agency": "agency_id", "frequencies": "trip_id"}
+    wanted |= {name: [column] for name, column in optional.items() if name in have}
+    for name, columns in wanted.items():
+        need(have, name, *by, *columns)
+
+
 def city_subset(
     tables: dict[str, DataFrame],
     prefix: str = ZONE_PREFIX,
@@ -115,14 +129,8 @@ def city_subset(
     `_routes` in dependency order. A job passes a function that writes and reads back, so each
     step is computed once and later joins see true sizes; the default keeps everything lazy.
     """
-    stops_in = need(tables, "stops", *by, "stop_id", "stop_name")
-    times_in = need(tables, "stop_times", *by, "trip_id", "stop_id")
-    trips_in = need(tables, "trips", *by, "trip_id", "route_id")
-    routes_in = need(tables, "routes", *by, "route_id")
-    if "calendar" in tables or "calendar_dates" in tables:
-        need(tables, "trips", "service_id")
-    if "agency" in tables:
-        need(tables, "routes", "agency_id")
+    require_inputs({name: df.columns for name, df in tables.items()}, by)
+    stops_in, times_in, trips_in, routes_in = (tables[n] for n in ("stops", "stop_times", "trips", "routes"))
 
     out: dict[str, DataFrame] = {}
 
@@ -152,10 +160,9 @@ def city_subset(
 
     for name in ("calendar", "calendar_dates"):
         if name in tables:
-            add(name, rows_of(need(tables, name, "service_id"), trips, "service_id", by))
+            add(name, rows_of(tables[name], trips, "service_id", by))
     if "agency" in tables:
-        add("agencies", rows_of(need(tables, "agency", "agency_id"), routes, "agency_id", by))
+        add("agencies", rows_of(tables["agency"], routes, "agency_id", by))
     if "frequencies" in tables:
-        frequencies = need(tables, "frequencies", "trip_id")
-        add("frequencies", rows_of(frequencies, trips, "trip_id", by, unique=True))
+        add("frequencies", rows_of(tables["frequencies"], trips, "trip_id", by, unique=True))
     return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,11 @@ from transitspark.operators import versions
 from transitspark.session import local_rows, rewritten
 from transitspark.sources import files, publish
 from transitspark.sources.members import convert_members, member_inventory, member_verdicts
+from transitspark.sources.snapshots import Snapshot
 
+ERROR_CHARS = 2000
+# corrections come before what the same run then does with a version
+BEFORE = timedelta(microseconds=1)
 S, L, I, TS = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampType()
 
 
@@ -45,6 +49,23 @@ def current_history(spark: SparkSession, path: str) -> DataFrame:
     return latest.select("version", "r.*")
 
 
+def store_corrections(plan: DataFrame, history_path: str, now: datetime) -> None:
+    """Records the plan changed without work of ours: recovered ones, and installed ones not marked so."""
+    changed = F.col("recovered") | ((F.col("action") == versions.KEEP) & F.col("completed_at").eqNullSafe(F.lit(now)))
+    rows = plan.where(changed & F.col("state").isNotNull()).withColumn("recorded_at", F.lit(now - BEFORE))
+    if not rows.isEmpty():
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA]
+        rows.select(*typed).write.mode("append").parquet(history_path)
+
+
+def _converted(spark: SparkSession, unpacked: str, bronze_root: str, name: str) -> Snapshot:
+    """One unpacked folder converted aside and published; nothing left over from before goes along."""
+    staged = publish.staging_path(bronze_root, name)
+    files.remove_folder(spark, staged)
+    convert_members(spark, unpacked, staged)
+    return publish.publish(spark, bronze_root, name)
+
+
 def land(
     spark: SparkSession,
     resources: DataFrame,
@@ -58,9 +79,10 @@ def land(
     """Lands every version the plan wants and whose unpacked folder passes the member rules.
 
     `resources`: parsed catalogue (`sources.catalog.parse_resources`). `unpacked_root` holds one
-    folder of CSV members per `snapshot_dir`. A bad version is recorded as failed and does not
-    stop the next. Returns the summary of the run. The loop is over versions of one run, a
-    handful; the work inside each step is Spark's.
+    folder of CSV members per `snapshot_dir`. Corrections the plan makes to older records are
+    stored first. Each version is landed on its own, its members side by side: one that cannot be
+    read is recorded as failed with the reason and stops no other. A version's records are
+    written as soon as it is done. Returns the summary of the run.
     """
     upstream = versions.unique_upstream(resources) if "position" in resources.columns else resources
     before = _read(spark, catalog_path, CATALOG_SCHEMA)
@@ -69,7 +91,11 @@ def land(
     plan = versions.plan_versions(
         upstream, installed_before, current_history(spark, history_path), F.lit(now), cutoff
     )
-    verdicts = member_verdicts(member_inventory(spark, unpacked_root))
+    plan = rewritten(plan, "plan")
+    store_corrections(plan, history_path, now)
+    eligible = versions.eligible_versions(plan).select("version").join(upstream, "version")
+    folders = [r["snapshot_dir"] for r in eligible.select("snapshot_dir").collect()]
+    verdicts = member_verdicts(member_inventory(spark, unpacked_root, folders))
     wanted = (
         versions.eligible_versions(plan)
         .select("version", "source_url", "attempt")
@@ -79,30 +105,28 @@ def land(
         .collect()
     )
 
-    landed, records = [], []
-    for row in wanted:
+    def one(row: Row) -> tuple[str, str | None]:
         name, error = row["snapshot_dir"], row["first_problem"]
         if row["passed"] is None:
             error = "no unpacked folder"
         if error is None:
-            staged = publish.staging_path(bronze_root, name)
-            convert_members(spark, f"{unpacked_root.rstrip('/')}/{name}", staged)
+            try:
+                final = _converted(spark, f"{unpacked_root.rstrip('/')}/{name}", bronze_root, name)
+            except Exception as problem:  # whatever is wrong with one version is that version's record
+                error = f"{type(problem).__name__}: {problem}"[:ERROR_CHARS]
+        if error is None:
             size = sum(e.length for e in files.children(spark, f"{unpacked_root.rstrip('/')}/{name}"))
-            final = publish.publish(spark, bronze_root, name)
-            landed.append((row["version"], row["source_url"], now, size, final.path, "verified"))
+            entry = (row["version"], row["source_url"], now, size, final.path, "verified")
+            local_rows(spark, CATALOG_SCHEMA, [entry]).write.mode("append").parquet(catalog_path)
         state = versions.FAILED if error else versions.PUBLISHED
-        attempt = row["attempt"] + 1
-        records.append(
-            (row["version"], row["source_url"], state, attempt, None, now, now, error, now)
-        )
-    if landed:
-        local_rows(spark, CATALOG_SCHEMA, landed).write.mode("append").parquet(catalog_path)
-    if records:
-        local_rows(spark, HISTORY_SCHEMA, records).write.mode("append").parquet(history_path)
+        record = (row["version"], row["source_url"], state, row["attempt"] + 1, None, now, now, error, now)
+        local_rows(spark, HISTORY_SCHEMA, [record]).write.mode("append").parquet(history_path)
+        return row["version"], error
 
+    records = [one(row) for row in wanted]
     attempted = local_rows(spark, VERSIONS, [(r[0],) for r in records])
     failed = local_rows(
-        spark, VERSIONS, [(r[0],) for r in records if r[2] == versions.FAILED]
+        spark, VERSIONS, [(version,) for version, error in records if error]
     )
     after = _read(spark, catalog_path, CATALOG_SCHEMA)
     return versions.run_summary(upstream, installed_before, after, attempted, failed, cutoff)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from transitspark.config import ZONE_PREFIX, QualityRules
+from transitspark.config import ZONE_PREFIX, MissingInput, QualityRules
 from transitspark.operators import rules as quality
-from transitspark.operators.subset import city_subset
-from transitspark.session import local_rows, scratch_path
+from transitspark.operators.subset import city_subset, require_inputs
+from transitspark.session import local_rows, rewritten, scratch_path
 from transitspark.sources import files, publish
 from transitspark.sources.snapshots import (
     VERSION,
@@ -22,7 +20,6 @@ from transitspark.sources.snapshots import (
     snapshots,
 )
 
-MODES = ("latest", "replay")
 METRICS_SCHEMA = (
     T.StructType()
     .add(VERSION, T.StringType())
@@ -31,27 +28,27 @@ METRICS_SCHEMA = (
 )
 
 
-@dataclass
-class Outcome:
-    snapshot: Snapshot
-    report: quality.Report
-    published: Snapshot | None = None
-    row_counts: dict[str, int] | None = None
+def checked(
+    spark: SparkSession, found: list[Snapshot], rules: QualityRules = QualityRules()
+) -> tuple[DataFrame, list[Snapshot]]:
+    """The rule report over all given snapshots, and those that keep every rule, oldest first.
 
+    All versions are checked by one job; the report is written once and read from there.
+    """
+    ruled = {*rules.required, *rules.bounds}
+    ruled.update(t for child, _, parent, _ in rules.foreign_keys for t in (child, parent))
+    layout = describe_history(spark, found, ruled)
+    rows = quality.quality_report(spark, load_history(spark, found), layout, rules)
+    report = rewritten(rows, "report")
+    versions = local_rows(spark, T.StructType().add(VERSION, T.StringType()), [(s.version,) for s in found])
+    kept = {r[VERSION] for r in quality.passed_versions(versions, report).collect()}
+    return report, [s for s in found if s.version in kept]
 
-def transform_snapshot(
-    spark: SparkSession,
-    snapshot: Snapshot,
-    silver_root: str,
-    prefix: str = ZONE_PREFIX,
-    rules: QualityRules = QualityRules(),
-) -> Outcome:
-    """Checks one snapshot and, only if it passes, writes and publishes its subset."""
-    tables = load_tables(spark, snapshot)
-    report = quality.validate_snapshot(spark, snapshot.version, tables, rules)
-    if not report.passed:
-        return Outcome(snapshot, report)
 
+def publish_subset(
+    spark: SparkSession, snapshot: Snapshot, silver_root: str, prefix: str = ZONE_PREFIX
+) -> list[tuple[str, str, int]]:
+    """Writes and publishes the subset of one snapshot; its rows per artifact."""
     folder = publish.staging_path(silver_root, snapshot.version)
     helpers = scratch_path(spark, "subset")
     files.remove_folder(spark, folder)
@@ -59,34 +56,42 @@ def transform_snapshot(
     def stage(name: str, df: DataFrame) -> DataFrame:
         return publish.write_artifact(df, helpers if name.startswith("_") else folder, name)
 
-    artifacts = city_subset(tables, prefix, stage=stage)
-    counts = {r["artifact"]: r["value"] for r in publish.artifact_counts(artifacts).collect()}
-    published = publish.publish(spark, silver_root, snapshot.version)
+    artifacts = city_subset(load_tables(spark, snapshot), prefix, stage=stage)
+    counts = publish.artifact_counts(artifacts).collect()
+    publish.publish(spark, silver_root, snapshot.version)
     files.remove_folder(spark, helpers)
-    return Outcome(snapshot, report, published, counts)
+    return [(snapshot.version, r["artifact"], r["value"]) for r in counts]
+
 
+def _publish_passed(
+    spark: SparkSession, found: list[Snapshot], silver_root: str, prefix: str, rules: QualityRules
+) -> tuple[DataFrame, DataFrame]:
+    report, kept = checked(spark, found, rules)
+    rows = [row for s in kept for row in publish_subset(spark, s, silver_root, prefix)]
+    return report, local_rows(spark, METRICS_SCHEMA, rows)
 
-def run(
+
+def publish_latest(
     spark: SparkSession,
     bronze_root: str,
     silver_root: str,
-    mode: str = "latest",
     prefix: str = ZONE_PREFIX,
     rules: QualityRules = QualityRules(),
-) -> list[Outcome]:
-    """The newest snapshot, or every one oldest first; a failed one does not stop the others."""
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
-    found = [latest_snapshot(spark, bronze_root)] if mode == "latest" else snapshots(spark, bronze_root)
-    return [transform_snapshot(spark, s, silver_root, prefix, rules) for s in found]
+) -> tuple[DataFrame, DataFrame]:
+    """The newest snapshot's subset: its report, and rows per version and artifact."""
+    newest = latest_snapshot(spark, bronze_root)
+    return _publish_passed(spark, [newest], silver_root, prefix, rules)
 
 
-def run_metrics(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:
-    """Rows per version and artifact of a run."""
-    rows = [
-        (o.snapshot.version, name, n) for o in outcomes for name, n in (o.row_counts or {}).items()
-    ]
-    return local_rows(spark, METRICS_SCHEMA, rows)
+def publish_each(
+    spark: SparkSession,
+    bronze_root: str,
+    silver_root: str,
+    prefix: str = ZONE_PREFIX,
+    rules: QualityRules = QualityRules(),
+) -> tuple[DataFrame, DataFrame]:
+    """The same for every snapshot in turn, oldest first; versions that break a rule are left out."""
+    return _publish_passed(spark, snapshots(spark, bronze_root), silver_root, prefix, rules)
 
 
 def replay_history(
@@ -95,32 +100,41 @@ def replay_history(
     history_root: str,
     prefix: str = ZONE_PREFIX,
     rules: QualityRules = QualityRules(),
-) -> tuple[dict[str, quality.Report], DataFrame]:
+) -> tuple[DataFrame, DataFrame]:
     """Every snapshot in one pass: the version is part of each key, nothing loops over versions.
 
     Writes one table per artifact below `history_root`, partitioned by version. Versions that
-    fail a rule are left out of every artifact. Returns all reports and the rows per version and
-    artifact. With many versions this replaces `run(mode="replay")`, whose jobs are each too
-    small to fill a cluster.
+    break a rule are left out of every artifact, also if an earlier run wrote them. Returns the
+    report and the rows per version and artifact. With many versions this replaces
+    `publish_each`, whose jobs are each too small to fill a cluster. A version that passes but
+    lacks a table or column the subset needs is an error before anything is written.
     """
     found = snapshots(spark, bronze_root)
-    ruled = {*rules.required, *rules.bounds}
-    ruled.update(t for child, _, parent, _ in rules.foreign_keys for t in (child, parent))
-    layout = describe_history(spark, found, ruled)
-    report = quality.quality_report(spark, load_history(spark, found), layout, rules)
-    reports = quality.reports_of(report, [s.version for s in found])
-    passed = [v for v, r in reports.items() if r.passed]
-    if not passed:
-        return reports, local_rows(spark, METRICS_SCHEMA, [])
-
+    report, kept = checked(spark, found, rules)
+    layout = describe_history(spark, kept, ("stops", "stop_times", "trips", "routes", "calendar", "calendar_dates", "agency", "frequencies"))
+    lacking = []
+    for version, have in layout.items():
+        try:
+            require_inputs(have)
+        except MissingInput as problem:
+            lacking.append(f"{version}: {problem}")
+    if lacking:
+        raise MissingInput("; ".join(lacking))
+
+    passed = [s.version for s in kept]
+    withdrawn = [s.version for s in found if s not in kept]
+    if not kept:
+        publish.withdraw(spark, history_root, withdrawn)
+        return report, local_rows(spark, METRICS_SCHEMA, [])
     helpers = scratch_path(spark, "history")
     # only the files of versions that passed are read again
-    kept = load_history(spark, [s for s in found if s.version in passed])
+    tables = load_history(spark, kept)
 
     def stage(name: str, df: DataFrame) -> DataFrame:
         root = helpers if name.startswith("_") else history_root
         return publish.write_history(df, root, name, passed)
 
-    artifacts = city_subset(kept, prefix, by=(VERSION,), stage=stage)
+    artifacts = city_subset(tables, prefix, by=(VERSION,), stage=stage)
     files.remove_folder(spark, helpers)
-    return reports, publish.artifact_counts(artifacts, [VERSION])
+    publish.withdraw(spark, history_root, withdrawn)
+    return report, publish.artifact_counts(artifacts, [VERSION])

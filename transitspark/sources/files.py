@@ -62,3 +62,8 @@ def replace_folder(spark: SparkSession, staged: str, final: str) -> None:
 def remove_folder(spark: SparkSession, path: str) -> None:
     fs, target = _fs(spark, path)
     fs.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.mkdirs(target)

@@ -64,17 +64,19 @@ _INVENTORY = (
 )
 
 
-def member_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Files below each snapshot folder of `root`: `snapshot`, `member`, `length`.
+def member_inventory(spark: SparkSession, root: str, snapshots: Sequence[str] | None = None) -> DataFrame:
+    """Files below each snapshot folder of `root`, or of the named ones: `snapshot`, `member`, `length`.
 
     A folder listing only, no content. Spark's file readers skip empty files, which are what
     the rules are after, so the listing comes from the file system itself.
     """
     rows = []
-    for entry in files.below(spark, root):
-        snapshot, _, member = entry.name.partition("/")
-        if member:
-            rows.append((snapshot, member, entry.length))
+    if snapshots is None:
+        snapshots = [e.name for e in files.children(spark, root) if e.is_dir]
+    for snapshot in snapshots:
+        folder = f"{root.rstrip('/')}/{snapshot}"
+        if files.exists(spark, folder):
+            rows += [(snapshot, e.name, e.length) for e in files.below(spark, folder)]
     return local_rows(spark, _INVENTORY, rows)
 
 

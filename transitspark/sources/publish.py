@@ -44,24 +44,41 @@ def published_latest(spark: SparkSession, root: str) -> str | None:
 def write_history(df: DataFrame, root: str, name: str, versions: Sequence[str]) -> DataFrame:
     """One artifact of many versions as a table partitioned by version; returns these versions.
 
-    The given versions are replaced, also where they have no rows any more; others stay. The
-    rebalance hint lets AQE cut a large version into several files and put small ones together,
-    instead of one task per version.
+    The given versions are replaced, also where they have no rows any more; others stay. Rows are
+    written aside first, so a job that fails leaves the table as it was; each version then moves
+    in by a rename. The rebalance hint lets AQE cut a large version into several files and put
+    small ones together, instead of one task per version.
     """
     spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}"
-    for version in versions:
-        files.remove_folder(spark, f"{path}/{VERSION}={version}")
+    aside = f"{root.rstrip('/')}/.staging/{name}"
     (
         df.hint("rebalance", VERSION)
-        .write.mode("append")
+        .write.mode("overwrite")
         .option("compression", "zstd")
         .partitionBy(VERSION)
-        .parquet(path)
+        .parquet(aside)
     )
+    written = {e.name: e.path for e in files.children(spark, aside) if e.is_dir}
+    files.make_folder(spark, path)
+    for version in versions:
+        folder = f"{VERSION}={version}"
+        if folder in written:
+            files.replace_folder(spark, written[folder], f"{path}/{folder}")
+        else:
+            files.remove_folder(spark, f"{path}/{folder}")
+    files.remove_folder(spark, aside)
     kept = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     return kept.where(F.col(VERSION).isin(list(versions)))
 
 
+def withdraw(spark: SparkSession, root: str, versions: Sequence[str]) -> None:
+    """Takes versions out of every history table below `root`."""
+    for artifact in files.children(spark, root):
+        if artifact.is_dir and not artifact.name.startswith((".", "_")):
+            for version in versions:
+                files.remove_folder(spark, f"{artifact.path}/{VERSION}={version}")
+
+
 def artifact_counts(artifacts: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """Rows per artifact (and version) of what was written; counts come from Parquet footers."""
     if not by:
