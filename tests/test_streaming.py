@@ -38,13 +38,15 @@ def test_ledger_in_cycles(spark, tmp_path):
     (src / "poll-0002.json").write_text("not json\n")
     drain(start())
     found = spark.read.parquet(out)
-    assert values(found.where("key is not null and entity_type != 'UNKNOWN'"), "key") == ["vehicle.a", "vehicle.a", "vehicle.b"]
+    assert values(found, "key") == ["vehicle.a", "vehicle.a", "vehicle.b"]
+    assert values(ledger.read_unreadable(spark, str(src)), "line") == ["not json"]
+    drain(realtime_jobs.start_unreadable(spark, str(src), str(tmp_path / "root"), every=None))
+    assert values(spark.read.parquet(str(tmp_path / "root" / realtime_jobs.UNREADABLE)), "line") == ["not json"]
     # one ingestion instant per cycle
     assert found.where(f"feed_ts = timestamp_seconds({T0})").select("ingestion_ts").distinct().count() == 1
     batch = ledger.raw_messages(ledger.read_entities(spark, str(src)))
     columns = ("key", "entity_type", "entity_id", "feed_date")
-    good = "entity_type != 'UNKNOWN'"
-    assert values(found.where(good), *columns) == values(batch.where(good), *columns)
+    assert values(found, *columns) == values(batch, *columns)
 
 
 def test_repeats_are_dropped_once_per_instant(spark, tmp_path):
@@ -60,6 +62,18 @@ def test_repeats_are_dropped_once_per_instant(spark, tmp_path):
     assert values(got) == values(batch.select("key", F.unix_seconds("feed_ts")))
 
 
+def test_two_entities_of_one_key_both_stay(spark, tmp_path):
+    src = tmp_path / "in"
+    twin = {**vehicle("a", "2"), "id": "twin"}
+    poll(src, 0, [vehicle("a", "1"), twin, twin, {"vehicle": {}}])
+    rows = ledger.normalized(ledger.raw_messages(ledger.stream_entities(spark, str(src))))
+    drain(ledger.start_table(rows, str(tmp_path / "out"), str(tmp_path / "cp"), every=None))
+    batch = ledger.normalized(ledger.raw_messages(ledger.read_entities(spark, str(src))))
+    for got in (spark.read.parquet(str(tmp_path / "out")), batch):
+        assert values(got, "key", "entity_id") == [("vehicle.a", "e-a"), ("vehicle.a", "twin")]
+    assert ledger.read_unreadable(spark, str(src)).count() == 1
+
+
 POLLS = [{"a": 1, "b": 1}, {"a": 1, "b": 2}, {"b": 2}, {"a": 3, "b": 2}, {"c": 1}]
 WANT = [
     ("a", 0, "appeared", None, 1), ("b", 0, "appeared", None, 1), ("b", 1, "changed", 1, 2), ("a", 2, "disappeared", 1, None),

@@ -461,11 +461,29 @@ def rt_stream_ledger(spark, sf):
     return table_.select("key", "entity_type", "entity_id", _seconds("feed_ts"))
 
 
-@query("rt_stream_normalized", event_sql("SELECT DISTINCT key, hour_s feed_ts FROM live"))
+@query("rt_stream_normalized", event_sql("SELECT DISTINCT key, id entity_id, hour_s feed_ts FROM live"))
 def rt_stream_normalized(spark, sf):
     messages = ledger.raw_messages(feed_rows(_stream(spark, sf)))
     table_ = _drained(ledger.normalized(messages), "normalized")
-    return table_.select("key", _seconds("feed_ts"))
+    return table_.select("key", "entity_id", _seconds("feed_ts"))
+
+
+@query(
+    "rt_bad_lines",
+    event_sql("SELECT entity_type = 'VEHICLE_POSITION' AS broken, COUNT(*) n FROM ev GROUP BY entity_type = 'VEHICLE_POSITION'"),
+)
+def rt_bad_lines(spark, sf):
+    """All entities as lines of JSON, those of vehicles cut short: what is published and what is set aside."""
+    rows = entities(spark, sf)
+    line = F.to_json(F.struct("*"))
+    cut = F.when(F.col("vehicle").isNotNull(), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+    folder = scratch_path(spark, "lines")
+    rows.withColumn("line", line).select(cut.alias("value")).write.text(folder)
+    counts = [
+        found.agg(F.count(F.lit(1)).alias("n")).select(F.lit(broken).alias("broken"), "n")
+        for broken, found in ((False, ledger.read_entities(spark, folder)), (True, ledger.read_unreadable(spark, folder)))
+    ]
+    return counts[0].unionByName(counts[1])
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation
@@ -190,7 +191,7 @@ def degrees(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component of every node, named by its smallest member.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in
@@ -215,9 +216,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     )
     rounds = Rounds(edges.sparkSession, "components")
     links, seen = rounds.keep(first, **shape)
-    for _ in range(max_rounds):
-        if seen["links"] == 0:
-            break
+    before = None
+    while seen["links"] and seen != before:
         # large star: whoever is linked to b is linked to the smallest node b knows
         lowest = per_key(links, ["a"], F.min("b").alias("m"))
         onward = lowest.select(F.col("a").alias("b"), "m")
@@ -231,10 +231,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         small = large.join(floor, "a").select(F.explode(moved).alias("p")).select("p.*")
         before = seen
         links, seen = rounds.keep(small.where(a != b).distinct(), **shape)
-        if seen == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = links.select(a.alias("stop_id"), b.alias("component"))
     return (
         nodes.select("stop_id")
@@ -248,7 +244,7 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("stops"))
 
 
-def shortest_hops(edges: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def shortest_hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Fewest hops from each source stop to every stop it reaches (breadth first).
 
     Only the stops found last are joined with the edges in a round; each round is a new folder of
@@ -270,18 +266,17 @@ def shortest_hops(edges: DataFrame, sources: DataFrame, max_rounds: int = 100_00
 
     pairs = sources.select(F.col("stop_id").alias("source"), "stop_id").distinct()
     frontier, _ = keep(pairs, 0)
-    for depth in range(1, max_rounds + 1):
+    for depth in itertools.count(1):
         reached = spark.read.schema(schema).parquet(table).select("source", "stop_id")
         out = frontier.join(step, F.col("stop_id") == F.col("source_stop_id"))
         fresh = out.select("source", F.col("target_stop_id").alias("stop_id")).distinct()
         frontier, found = keep(fresh.join(reached, ["source", "stop_id"], "left_anti"), depth)
         if found == 0:
             return spark.read.schema(schema).parquet(table)
-    raise RuntimeError(f"breadth-first search did not end in {max_rounds} rounds")
 
 
 def shortest_times(
-    travel: DataFrame, sources: DataFrame, weight: str = "min_travel_s", max_rounds: int = 100_000
+    travel: DataFrame, sources: DataFrame, weight: str = "min_travel_s"
 ) -> DataFrame:
     """Least total travel time from each source stop; edges of negative weight are an error.
 
@@ -301,7 +296,7 @@ def shortest_times(
     rounds = Rounds(spark, "times")
     best, _ = rounds.keep(start, n=F.count(F.lit(1)))
     improved = best
-    for _ in range(max_rounds):
+    while True:
         offer = (
             improved.join(step, F.col("stop_id") == F.col("source_stop_id"))
             .groupBy("source", F.col("target_stop_id").alias("stop_id"))
@@ -321,4 +316,3 @@ def shortest_times(
         if measured["improved"] == 0:
             return best.withColumnRenamed("total", "travel_s")
         improved = merged.where("better").select("source", "stop_id", "total")
-    raise RuntimeError(f"travel times did not settle in {max_rounds} rounds")

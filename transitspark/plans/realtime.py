@@ -22,6 +22,7 @@ RAW, NORMALIZED, DELTAS, METRICS = (
     "transit.state.deltas",
     "transit.metrics.operational",
 )
+UNREADABLE = "transit.snapshots.unreadable"
 LEDGER_SCHEMA = (
     T.StructType()
     .add("key", T.StringType())
@@ -60,6 +61,12 @@ def start_raw(spark: SparkSession, feed_path: str, root: str, every: str | None
     return ledger.start_table(messages, _table(root, RAW), _checkpoint(root, RAW), every)
 
 
+def start_unreadable(spark: SparkSession, feed_path: str, root: str, every: str | None = ledger.POLL) -> StreamingQuery:
+    """Feed lines that are no entity, kept with their text beside the ledger."""
+    lines = ledger.stream_unreadable(spark, feed_path)
+    return ledger.start_table(lines, _table(root, UNREADABLE), _checkpoint(root, UNREADABLE), every)
+
+
 def start_derived(
     spark: SparkSession,
     root: str,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from transitspark.functions.clock import feed_instant
 from transitspark.operators.realtime import ledger_messages, named_model
@@ -15,16 +16,48 @@ from transitspark.sources import files
 from transitspark.sources.feed_schema import FEED_SCHEMA
 
 POLL = "30 seconds"
+_CORRUPT = "__line"
+_READABLE = f"({_CORRUPT} IS NULL AND id IS NOT NULL)"
+
+
+_LINES = T.StructType([*FEED_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+
+
+def _lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """Every line of the landed files; the text of one that does not decode is in `_CORRUPT`."""
+    return reader.schema(_LINES).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
+
+
+def _decoded(lines: DataFrame) -> DataFrame:
+    return lines.where(_READABLE).drop(_CORRUPT)
+
+
+def _unreadable(lines: DataFrame) -> DataFrame:
+    """`line`, `read_at` of what is no entity: not JSON, of other types, or without an id."""
+    text = F.coalesce(F.col(_CORRUPT), F.to_json(F.struct(*FEED_SCHEMA.names)))
+    return lines.where(f"NOT {_READABLE}").select(text.alias("line"), F.current_timestamp().alias("read_at"))
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded entities (JSON, one per line, header repeated) of landed feed snapshots."""
-    return spark.read.schema(FEED_SCHEMA).json(path)
+    """Decoded entities (JSON, one per line, header repeated) of landed feed snapshots.
+
+    Lines that do not decode are not among them; see `read_unreadable`.
+    """
+    return _decoded(_lines(spark.read, path))
+
+
+def read_unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of landed feed snapshots that are no entity: `line`, `read_at`."""
+    return _unreadable(_lines(spark.read, path))
 
 
 def stream_entities(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream: each new file is picked up once."""
-    return spark.readStream.schema(FEED_SCHEMA).json(path)
+    """`read_entities` as a stream: each new file is picked up once."""
+    return _decoded(_lines(spark.readStream, path))
+
+
+def stream_unreadable(spark: SparkSession, path: str) -> DataFrame:
+    return _unreadable(_lines(spark.readStream, path))
 
 
 def raw_messages(entities: DataFrame) -> DataFrame:
@@ -79,18 +112,18 @@ def start_kafka(
 
 
 def normalized(messages: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Valid messages, each key once per feed instant; repeats beyond the watermark are not seen.
+    """Valid messages, each entity of a key once per feed instant; later repeats are not seen.
 
-    The feed instant is part of the key, so which repeat is kept does not depend on batches.
+    Two entities may share a key at one instant (several updates for one trip); both stay. A
+    repeat is the same entity sent again, so any of its copies will do.
     """
+    once = ["key", "entity_id", "feed_ts"]
     valid = messages.where(
         F.col("feed_ts").isNotNull() & F.col("key").isNotNull() & (F.col("entity_type") != "UNKNOWN")
     )
     if not messages.isStreaming:
-        return valid.dropDuplicates(["key", "feed_ts"])
-    return valid.withWatermark("feed_ts", watermark).dropDuplicatesWithinWatermark(
-        ["key", "feed_ts"]
-    )
+        return valid.dropDuplicates(once)
+    return valid.withWatermark("feed_ts", watermark).dropDuplicatesWithinWatermark(once)
 
 
 def _batch_folder(root: str, batch: int) -> str:
