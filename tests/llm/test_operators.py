@@ -181,6 +181,25 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 15, 40, 80])
+def test_bit_samples_reach_their_recall_at_the_largest_bound(n):
+    rng = random.Random(n)
+    letter, e = lambda: rng.getrandbits(62), decontaminate.bound(n)
+    met = tried = 0
+    for _ in range(150):
+        item = [letter() for _ in range(n)]
+        edited = list(item)
+        for _ in range(e):
+            at = rng.randrange(len(edited))
+            edited[at : at + rng.randrange(2)] = [letter()] * rng.randrange(2)
+        text = np.array([letter() for _ in range(e)] + edited + [letter() for _ in range(n + 3 * e)], np.uint64)
+        windows = text[np.arange(2 * e + 1)[:, None] + np.arange(n + e)]
+        near = decontaminate.least_distance(np.array(item, np.uint64), windows)[0] <= e
+        agree = (decontaminate.embedded(windows[:, :n]) == decontaminate.embedded(np.array([item], np.uint64))[0]).any(1)
+        tried, met = tried + near.any(), met + (near & agree).any()
+    assert tried == 150 and met / tried >= 0.99
+
+
 def test_language(spark, docs, none):
     rng = random.Random(3)
     syllables = {"aa": ["ka", "ro", "mi"], "bb": ["sch", "üng", "tz"], "cc": ["жи", "ла", "по"]}
