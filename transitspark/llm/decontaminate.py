@@ -5,8 +5,8 @@ grams with it (each edit spoils at most three), so one pass over the texts keeps
 filter without loss. Each kept window and each item is embedded by random walks that turn edit distance
 into Hamming distance (Chakraborty, Goldenberg and Koucky, "Streaming algorithms for embedding and
 computing edit distance", 2016). Samples of embedded places are the hash values; a window that agrees
-with an item in any of `WALKS * SAMPLES` samples is verified by its exact edit distance. The target recall is 0.99 for items edited up to the largest
-bound; a test measures it on random words, for items of 10 to 80 words.
+with an item in any of `WALKS * SAMPLES` samples is verified by its exact edit distance. The target recall is
+0.99 for items edited up to the largest bound; a test measures it on random words, for items of 10 to 80 words.
 
 The benchmark is read in blocks of about `BLOCK_BYTES`, each a pass over the documents, so what a task
 holds does not grow with it.
