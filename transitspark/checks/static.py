@@ -460,7 +460,12 @@ def profile_stop_kinds(spark, sf):
             f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", COUNT(*) AS rows, COUNT(*) - COUNT({c}) nulls, "
             f"round((COUNT(*) - COUNT({c})) / COUNT(*), 6) null_share FROM {t}"
             for t, cols in (
+                ("agency", ("agency_id", "agency_name")),
+                ("calendar", ("service_id",)),
+                ("calendar_dates", ("service_id", "date")),
+                ("frequencies", ("trip_id", "headway_min")),
                 ("routes", ("route_id", "agency_id", "route_short_name")),
+                ("stop_times", ("trip_id", "stop_id", "stop_sequence", "arrival_time", "departure_time")),
                 ("stops", ("stop_id", "stop_name", "stop_lat", "stop_lon", "parent_station", "stop_kind")),
                 ("trips", ("trip_id", "route_id", "service_id")),
             )
@@ -470,7 +475,7 @@ def profile_stop_kinds(spark, sf):
 )
 def profile_missing_values(spark, sf):
     t = tables(spark, sf)
-    found = summaries.missing_values({n: t[n] for n in ("routes", "stops", "trips")})
+    found = summaries.missing_values(dict(t.items()))
     return found.withColumn("null_share", F.round("null_share", 6))
 
 
