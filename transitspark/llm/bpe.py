@@ -1,16 +1,16 @@
-"""Byte-level BPE over a table of distinct words.
+"""Byte-level BPE over one table of the corpus's distinct words.
 
-Texts are split into words by the tokenizer's own pattern. Within a task every distinct word is encoded
-once by the given tokenizer and kept in the task's word table; the ids of a text are its words' entries in
-order. Decoding joins ids with the pieces of the vocabulary.
-
-A row for every word of the corpus, joined with one global table and sorted back, would move each word
-twice; the table is therefore one for each task, and its size is bounded by `TABLE_WORDS` (it starts anew
-beyond that, which costs time and changes no result).
+Texts are split into words by the tokenizer's own pattern. Rows are dealt into blocks of `BLOCK_ROWS`
+neighbours; a block names each of its words once, the distinct words of all blocks make the word table, and
+the given tokenizer encodes each entry of that table once. A join on the word gives every block the ids
+of its words, and a block's texts, split again, take their ids from there position by position. So a word
+crosses the network once for each block that holds it, not once for each place, a frequent word is one row
+of a block like any other, and a text crosses it once. Decoding joins ids with the pieces of the vocabulary.
 
 The pattern's classes are stated for characters below U+0250, where no version of Unicode differs; a text
-with others is encoded by the tokenizer as a whole. The special token's string in a text is the special
-token, as the tokenizer reads it.
+with others is split by the tokenizer itself. The special token's string in a text is the special
+token, as the tokenizer reads it. Blocks follow the order of the input; where that order is not the same when
+a lost task is repeated, a word that its block does not list is encoded where it stands, with the same ids.
 
 Defined results: null and empty texts have no ids and decode to an empty text; every row gives one row;
 ids of documents may be null; other columns are left out by the digests and carried along by `encode`.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TABLE_WORDS = 300_000
+from transitspark.session import rewritten
+
+BLOCK_ROWS = 256
 
 # White space as the tokenizer's pattern means it, and the pattern itself.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -50,34 +52,42 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Encoder:
-    """Ids of texts through a word table; ids are little-endian unsigned 32-bit integers."""
+class Splitter:
+    """Words of texts whose ids do not depend on what stands around them."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.special = {t["content"]: np.uint32(t["id"]).tobytes() for t in json.loads(spec)["added_tokens"]}
+        self.special = {t["content"] for t in json.loads(spec)["added_tokens"]}
         self.word = regex.compile(WORD)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.foreign = regex.compile(r"[^\x00-ɏ]")
-        self.table: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        if self.foreign.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        parts = self.cut.split(text) if self.cut else [text]
-        return b"".join(self.special.get(p) or self._plain(p) for p in parts if p)
+    def words(self, text: str) -> list[str]:
+        split = self._by_tokenizer if self.foreign.search(text) else self.word.findall
+        if self.cut is None or not self.cut.search(text):
+            return split(text)
+        return [w for part in self.cut.split(text) for w in ([part] if part in self.special else split(part))]
+
+    def _by_tokenizer(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of words as little-endian unsigned 32-bit integers."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+class Table(dict):
+    """Ids by word, of one block."""
+
+    def __init__(self, entries: Iterable[tuple[str, bytes]], splitter: Splitter) -> None:
+        super().__init__(entries)
+        self._splitter = splitter
 
-    def _plain(self, text: str) -> bytes:
-        found = self.word.findall(text)
-        if len(self.table) > TABLE_WORDS:
-            self.table = {}
-        new = [w for w in set(found) if w not in self.table]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.table[w] = np.array(e.ids, np.uint32).tobytes()
-        return b"".join(map(self.table.__getitem__, found))
+    def __missing__(self, word: str) -> bytes:
+        self[word] = self._splitter.encoded([word])[0]
+        return self[word]
 
 
 class Decoder:
@@ -89,8 +99,8 @@ class Decoder:
         self.piece = {i: bytes(byte[c] for c in w) for w, i in spec["model"]["vocab"].items()}
         self.piece |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
-    def text(self, ids: bytes) -> str:
-        return b"".join(map(self.piece.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")
+    def text(self, ids: list[int]) -> str:
+        return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def _one_thread() -> None:
@@ -99,20 +109,59 @@ def _one_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def encode(docs: DataFrame, spec: str) -> DataFrame:
-    """The columns of `docs` and `ids` (array of int), the ids of `text`."""
-    spread = docs.sparkSession.sparkContext.broadcast(spec)
+def block_words(blocks: DataFrame, spec: str) -> DataFrame:
+    """(block, word): each word of a block once. `blocks`: block, text, with the rows of a block in a row."""
+    spread = blocks.sparkSession.sparkContext.broadcast(spec)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, of, seen = Splitter(spread.value), None, set()
+
+        def listed() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.full(len(seen), of or 0), pa.int64()), pa.array(list(seen), pa.string())], ["block", "word"])
+
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if block != of:
+                    yield listed()
+                    of, seen = block, set()
+                seen.update(splitter.words(text.as_py() or ""))
+        yield listed()
+
+    return blocks.select("block", "text").mapInArrow(words, "block long, word string")
+
+
+def word_table(words: DataFrame, spec: str) -> DataFrame:
+    """(word, word_ids) of the distinct words of `words`, each encoded once."""
+    spread = words.sparkSession.sparkContext.broadcast(spec)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _one_thread()
-        encoder = Encoder(spread.value)
+        splitter = Splitter(spread.value)
         for batch in batches:
-            out = [np.frombuffer(encoder.ids(t.as_py() or ""), np.int32) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names[:-1], "ids"])
+            yield pa.record_batch([batch.column(0), pa.array(splitter.encoded(batch.column(0).to_pylist()), pa.binary())], ["word", "word_ids"])
 
-    rows = docs.select(*[c for c in docs.columns if c != "ids"], F.col("text").cast("string").alias("ids"))
-    shape = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(ids, shape)
+    return words.select("word").distinct().mapInArrow(ids, "word string, word_ids binary")
+
+
+def encode(docs: DataFrame, spec: str) -> DataFrame:
+    """The columns of `docs` and `ids` (array of int), the ids of `text`."""
+    spread = docs.sparkSession.sparkContext.broadcast(spec)
+    rid = F.monotonically_increasing_id()
+    row = F.struct(*[c for c in docs.columns if c != "ids"])
+    blocks = docs.select((rid - rid % BLOCK_ROWS).alias("block"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    listed = rewritten(block_words(blocks, spec), "block_words")
+    coded = listed.join(rewritten(word_table(listed, spec), "words"), "word").select("block", "word", "word_ids")
+
+    def ids(texts: pa.Table, words: pa.Table) -> pa.Table:
+        splitter = Splitter(spread.value)
+        table = Table(zip(words["word"].to_pylist(), words["word_ids"].to_pylist()), splitter)
+        found = [b"".join(map(table.__getitem__, splitter.words(t.as_py() or ""))) for t in texts["text"]]
+        ends = np.cumsum([0, *(len(f) // 4 for f in found)])
+        flat = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
+        return pa.table({"row": texts["row"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
+
+    shape = T.StructType([blocks.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(ids, shape).select("row.*", "ids")
 
 
 def decode(encoded: DataFrame, spec: str) -> DataFrame:
@@ -122,8 +171,9 @@ def decode(encoded: DataFrame, spec: str) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(spread.value)
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1).to_pylist()
-            out = [decoder.text(np.array(x or [], np.uint32).tobytes()) for x in ids]
+            column = batch.column(batch.num_columns - 1)
+            ids, ends = column.values.to_pylist(), column.offsets.to_pylist()
+            out = [decoder.text(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     columns = [c for c in encoded.columns if c not in ("ids", "decoded")]
@@ -132,21 +182,16 @@ def decode(encoded: DataFrame, spec: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, spec: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    spread = docs.sparkSession.sparkContext.broadcast(spec)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, by `encode` and `decode`."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _one_thread()
-        encoder, decoder = Encoder(spread.value), Decoder(spread.value)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for t in batch.column(1):
-                ids = encoder.ids(t.as_py() or "")
-                counts.append(len(ids) // 4)
-                ids_sha.append(sha(ids))
-                text_sha.append(sha(decoder.text(ids).encode()))
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            column, texts = batch.column(1), batch.column(2)
+            ids, ends = np.asarray(column.values, np.uint32), np.asarray(column.offsets)
+            ids_sha = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
+            text_sha = [hashlib.sha256(t.as_buffer() or b"").hexdigest() for t in texts]
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    back = decode(encode(rows, spec).drop("text"), spec)
+    return back.select("doc_id", "ids", "decoded").mapInArrow(of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
