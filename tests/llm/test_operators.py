@@ -95,21 +95,23 @@ def test_bpe(docs, none, texts):
     assert bpe.digests(none, spec).count() == 0
 
 
-def test_bpe_words_of_many_blocks(spark, monkeypatch):
+def test_bpe_words_of_many_blocks(spark):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "BLOCK_ROWS", 3)
     spec, rng = vocabulary(), random.Random(9)
     tokenizer, splitter = Tokenizer.from_str(spec), bpe.Splitter(spec)
     bits = ["a", "Be", "é", " ", "  ", "\n", "\t", "\xa0", "'s", "'LL", "7", "½", "?!", "<|endoftext|>", "ж", "漢字", "💥", "\u2003", "e\u0301", "\x85"]
     given = ["".join(rng.choices(bits[: 14 if i % 2 else None], k=rng.randrange(40))) for i in range(120)]
     for text in given:
         assert [i for e in splitter.encoded(splitter.words(text)) for i in np.frombuffer(e, "<u4")] == tokenizer.encode(text, add_special_tokens=False).ids
-    many = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["ids"] for r in bpe.encode(many, spec).collect()}
+    many = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(many, spec, size=40).collect()}
     assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(given)}
-    listed = spark.createDataFrame([(b, w) for b in range(3) for w in ("a", " b", "c")], "block long, word string")
-    assert sorted(r["word"] for r in bpe.word_table(listed, spec).collect()) == [" b", "a", "c"]
+    coded = bpe.word_ids(bpe.block_words(many.select("text", "doc_id"), spec, 40), spec).collect()
+    entries = Counter(i for r in coded for i in bpe._unparcel(r["lengths"], r["ids"]))
+    assert len({r["block"] for r in coded}) > 20 and set(entries) == set(splitter.encoded(sorted({w for t in given for w in splitter.words(t)})))
+    places = np.array([0, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**31])
+    assert bpe.unpacked(bpe.packed(places)).tolist() == places.tolist() and bpe.unpacked(b"").size == 0
 
 
 def test_licenses(docs, none):

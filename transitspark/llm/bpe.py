@@ -1,16 +1,20 @@
 """Byte-level BPE over one table of the corpus's distinct words.
 
-Texts are split into words by the tokenizer's own pattern. Rows are dealt into blocks of `BLOCK_ROWS`
-neighbours; a block names each of its words once, the distinct words of all blocks make the word table, and
-the given tokenizer encodes each entry of that table once. A join on the word gives every block the ids
-of its words, and a block's texts, split again, take their ids from there position by position. So a word
-crosses the network once for each block that holds it, not once for each place, a frequent word is one row
-of a block like any other, and a text crosses it once. Decoding joins ids with the pieces of the vocabulary.
+Texts are split into words by the tokenizer's own pattern. Neighbouring rows form blocks of `BLOCK_WORDS`
+words; a block lists each of its words once, frequent ones first, and a text becomes its places in that
+list. The lists are dealt by the words' hash into as many parts as Spark shuffles into: all blocks' lists of a part
+meet in one task, which encodes each distinct word of that part once and hands every list its ids.
+Joined by block again, the places of a text pick its ids. A word crosses the network once for each block that
+holds it, and a frequent word is one entry of a block like any other; texts do not cross it at all. A task holds the
+distinct words of one part, as a hash aggregate would. Decoding joins ids with the pieces of the vocabulary.
+
+Blocks are built twice, for their lists and for their places, so `docs` must give its rows in the same order
+whenever it is read, as a table does. A block's name holds a digest of its list: were the order to change in between,
+the names would not meet and the job would fail; its results are never wrong.
 
 The pattern's classes are stated for characters below U+0250, where no version of Unicode differs; a text
 with others is split by the tokenizer itself. The special token's string in a text is the special
-token, as the tokenizer reads it. Blocks follow the order of the input; where that order is not the same when
-a lost task is repeated, a word that its block does not list is encoded where it stands, with the same ids.
+token, as the tokenizer reads it.
 
 Defined results: null and empty texts have no ids and decode to an empty text; every row gives one row;
 ids of documents may be null; other columns are left out by the digests and carried along by `encode`.
@@ -20,18 +24,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transitspark.session import rewritten
-
-BLOCK_ROWS = 256
+BLOCK_WORDS = 1_000_000
 
 # White space as the tokenizer's pattern means it, and the pattern itself.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -78,18 +82,58 @@ class Splitter:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-class Table(dict):
-    """Ids by word, of one block."""
-
-    def __init__(self, entries: Iterable[tuple[str, bytes]], splitter: Splitter) -> None:
-        super().__init__(entries)
-        self._splitter = splitter
+class _Numbers(dict):
+    """Numbers words by first appearance."""
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = self._splitter.encoded([word])[0]
+    def __missing__(self, word: str) -> int:
+        self[word] = len(self)
         return self[word]
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Numbers in groups of seven bits, low ones first; all but the last byte of a number have the high bit set."""
+    places = places.astype(np.uint32)
+    size = 1 + sum((places >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
+    first = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(5):
+        has = size > k
+        out[first[has] + k] = (places[has] >> np.uint32(7 * k)) & np.uint32(127) | ((size[has] > k + 1) * 128).astype(np.uint32)
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(part < 128) + 1
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    first = np.concatenate([[0], ends[:-1]])
+    shift = 7 * (np.arange(len(part)) - np.repeat(first, ends - first))
+    return np.add.reduceat((part & 127).astype(np.int64) << shift, first)
+
+
+class Block:
+    """Words of neighbouring rows."""
+
+    def __init__(self) -> None:
+        self._numbers, self._texts, self.words = _Numbers(), [], 0
+
+    def add(self, words: list[str]) -> None:
+        self._texts.append(np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words)))
+        self.words += len(words)
+
+    def listed(self, at: tuple[int, int]) -> tuple[int, list[str], Iterator[bytes]]:
+        """Its name, its words by falling frequency, and the places of each text in that list, made when asked for."""
+        counts = np.bincount(np.concatenate(self._texts), minlength=len(self._numbers))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        by_number = list(self._numbers)
+        words = [by_number[i] for i in order]
+        name = hashlib.blake2b(f"{at} {self.words} ".encode() + "\0".join(words).encode(), digest_size=8).digest()
+        return int.from_bytes(name, "little", signed=True), words, (packed(rank[t]) for t in self._texts)
+
+
 class Decoder:
     """Texts of ids: each id joined with its piece's bytes."""
 
@@ -109,59 +153,118 @@ def _one_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def block_words(blocks: DataFrame, spec: str) -> DataFrame:
-    """(block, word): each word of a block once. `blocks`: block, text, with the rows of a block in a row."""
-    spread = blocks.sparkSession.sparkContext.broadcast(spec)
+def _blocks(batches: Iterator[pa.RecordBatch], splitter: Splitter, size: int) -> Iterator[tuple[Block, tuple[int, int], list[pa.Array]]]:
+    """Blocks of rows (text, row), their number in the task, and their row columns."""
+    partition, number = TaskContext.get().partitionId(), 0
+    block, rows = Block(), []
+    for batch in batches:
+        first = 0
+        for i, text in enumerate(batch.column(0)):
+            block.add(splitter.words(text.as_py() or ""))
+            if block.words >= size:
+                yield block, (partition, number), [*rows, batch.column(1)[first : i + 1]]
+                block, rows, number, first = Block(), [], number + 1, i + 1
+        rows.append(batch.column(1)[first:])
+    if sum(map(len, rows)):
+        yield block, (partition, number), rows
+
+
+def _parcel(texts: list[bytes]) -> tuple[bytes, bytes]:
+    """Strings as their lengths and their compressed sequence."""
+    return packed(np.fromiter(map(len, texts), np.int64, len(texts))), zlib.compress(b"".join(texts), 1)
+
+
+def _unparcel(lengths: bytes, data: bytes) -> list[bytes]:
+    data, ends = zlib.decompress(data), np.cumsum(unpacked(lengths)).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def block_words(texts: DataFrame, spec: str, size: int = BLOCK_WORDS) -> DataFrame:
+    """(block, part, places, lengths, words): each word of a block once, by the part of its hash. `texts`: text, and any column."""
+    spread = texts.sparkSession.sparkContext.broadcast(spec)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, of, seen = Splitter(spread.value), None, set()
+        for block, at, _ in _blocks(batches, Splitter(spread.value), size):
+            name, listed, _ = block.listed(at)
+            listed = [w.encode() for w in listed]
+            part = np.fromiter(map(zlib.crc32, listed), np.int64, len(listed)) % parts
+            by_part = np.argsort(part, kind="stable")
+            found, first = np.unique(part[by_part], return_index=True)
+            out = []
+            for of in np.split(by_part, first[1:]) if len(found) else []:
+                out.append((packed(np.diff(of, prepend=0)), *_parcel([listed[i] for i in of])))
+            binary = [pa.array([o[c] for o in out], pa.binary()) for c in range(3)]
+            yield pa.record_batch([np.full(len(found), name), pa.array(found, pa.int32()), *binary], ["block", "part", "places", "lengths", "words"])
 
-        def listed() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.full(len(seen), of or 0), pa.int64()), pa.array(list(seen), pa.string())], ["block", "word"])
+    return texts.mapInArrow(words, "block long, part int, places binary, lengths binary, words binary")
 
-        for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if block != of:
-                    yield listed()
-                    of, seen = block, set()
-                seen.update(splitter.words(text.as_py() or ""))
-        yield listed()
 
-    return blocks.select("block", "text").mapInArrow(words, "block long, word string")
+def block_places(texts: DataFrame, spec: str, size: int = BLOCK_WORDS) -> DataFrame:
+    """(block, places, row): the places of each text in the list of its block. `texts`: text, row."""
+    spread = texts.sparkSession.sparkContext.broadcast(spec)
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, at, rows in _blocks(batches, Splitter(spread.value), size):
+            name, _, of = block.listed(at)
+            of = pa.array(list(of), pa.binary())
+            yield pa.record_batch([np.full(len(of), name), of, pa.concat_arrays(rows)], ["block", "places", "row"])
 
-def word_table(words: DataFrame, spec: str) -> DataFrame:
-    """(word, word_ids) of the distinct words of `words`, each encoded once."""
-    spread = words.sparkSession.sparkContext.broadcast(spec)
+    return texts.mapInArrow(places, T.StructType([T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType()), texts.schema["row"]]))
+
+
+def word_ids(listed: DataFrame, spec: str) -> DataFrame:
+    """(block, places, lengths, ids) of what `block_words` gives; each distinct word is encoded once."""
+    spread = listed.sparkSession.sparkContext.broadcast(spec)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _one_thread()
-        splitter = Splitter(spread.value)
+        splitter, of, table = Splitter(spread.value), None, {}
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(splitter.encoded(batch.column(0).to_pylist()), pa.binary())], ["word", "word_ids"])
-
-    return words.select("word").distinct().mapInArrow(ids, "word string, word_ids binary")
-
-
-def encode(docs: DataFrame, spec: str) -> DataFrame:
-    """The columns of `docs` and `ids` (array of int), the ids of `text`."""
-    spread = docs.sparkSession.sparkContext.broadcast(spec)
-    rid = F.monotonically_increasing_id()
-    row = F.struct(*[c for c in docs.columns if c != "ids"])
-    blocks = docs.select((rid - rid % BLOCK_ROWS).alias("block"), F.col("text").cast("string").alias("text"), row.alias("row"))
-    listed = rewritten(block_words(blocks, spec), "block_words")
-    coded = listed.join(rewritten(word_table(listed, spec), "words"), "word").select("block", "word", "word_ids")
+            out = []
+            for part, lengths, words in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4))):
+                if part != of:
+                    of, table = part, {}
+                words = _unparcel(lengths, words)
+                new = [w for w in words if w not in table]
+                table.update(zip(new, splitter.encoded([w.decode() for w in new])))
+                out.append(_parcel([table[w] for w in words]))
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([o[c] for o in out], pa.binary()) for c in (0, 1))], ["block", "places", "lengths", "ids"])
+
+    by_part = listed.repartition("part").sortWithinPartitions("part")
+    return by_part.mapInArrow(ids, "block long, places binary, lengths binary, ids binary")
+
+
+def encode(docs: DataFrame, spec: str, keep: Sequence[str] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
+    """The columns of `docs` (or those of `keep`) and `ids` (array of int), the ids of `text`."""
+    columns = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    text = F.col("text").cast("string").alias("text")
+    texts = docs.select(text, F.struct(*columns).alias("row"))
+    listed = block_words(docs.select(text, F.lit(0).alias("row")), spec, size)
 
     def ids(texts: pa.Table, words: pa.Table) -> pa.Table:
-        splitter = Splitter(spread.value)
-        table = Table(zip(words["word"].to_pylist(), words["word_ids"].to_pylist()), splitter)
-        found = [b"".join(map(table.__getitem__, splitter.words(t.as_py() or ""))) for t in texts["text"]]
-        ends = np.cumsum([0, *(len(f) // 4 for f in found)])
-        flat = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
-        return pa.table({"row": texts["row"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
-
-    shape = T.StructType([blocks.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(ids, shape).select("row.*", "ids")
+        at = [np.cumsum(unpacked(p)) for p in words["places"].to_pylist()]
+        at = np.concatenate([np.zeros(0, np.int64), *at])
+        table = [b""] * len(at)
+        entries = (i for row in zip(words["lengths"].to_pylist(), words["ids"].to_pylist()) for i in _unparcel(*row))
+        for place, entry in zip(at.tolist(), entries):
+            table[place] = entry
+        flat = np.frombuffer(b"".join(table), "<i4")
+        length = np.fromiter((len(w) // 4 for w in table), np.int64, len(table))
+        first = np.cumsum(length) - length
+        found, ends = [np.zeros(0, np.int32)], [0]
+        for places in texts["places"]:
+            at = unpacked(places.as_py())
+            if len(at) and at.max() >= len(table):
+                raise RuntimeError("the documents came in another order when read again; write them to a table first")
+            n = length[at]
+            found.append(flat[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            ends.append(ends[-1] + len(found[-1]))
+        return pa.table({"row": texts["row"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))})
+
+    shape = T.StructType([texts.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    placed, coded = block_places(texts, spec, size), word_ids(listed, spec)
+    return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(ids, shape).select("row.*", "ids")
 
 
 def decode(encoded: DataFrame, spec: str) -> DataFrame:
@@ -172,8 +275,8 @@ def decode(encoded: DataFrame, spec: str) -> DataFrame:
         decoder = Decoder(spread.value)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            ids, ends = column.values.to_pylist(), column.offsets.to_pylist()
-            out = [decoder.text(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            ids, ends = np.asarray(column.values), column.offsets.to_pylist()
+            out = [decoder.text(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     columns = [c for c in encoded.columns if c not in ("ids", "decoded")]
@@ -193,5 +296,5 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    back = decode(encode(rows, spec).drop("text"), spec)
+    back = decode(encode(rows, spec, keep=["doc_id"]), spec)
     return back.select("doc_id", "ids", "decoded").mapInArrow(of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
