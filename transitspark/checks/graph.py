@@ -24,6 +24,12 @@ _TRAVEL = """timed AS (
     WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence, stop_id, arrival_s, departure_s)) WHERE nxt IS NOT NULL),
 travel AS (SELECT source_stop_id, target_stop_id, COUNT(*) hops, CAST(MIN(travel_s) AS BIGINT) min_travel_s, AVG(travel_s) mean_travel_s
   FROM timed GROUP BY 1, 2)"""
+# line items of an order are delivered in no order of time, so this takes the stops of a trip by their arrival
+_FORWARD = """onward AS (
+  SELECT stop_id source_stop_id, nxt target_stop_id, nxt_arrival - arrival_s travel_s FROM (
+    SELECT *, lead(stop_id) OVER w nxt, lead(arrival_s) OVER w nxt_arrival FROM stop_seconds
+    WINDOW w AS (PARTITION BY trip_id ORDER BY arrival_s, stop_id)) WHERE nxt IS NOT NULL),
+travel AS (SELECT source_stop_id, target_stop_id, CAST(MIN(travel_s) AS BIGINT) min_travel_s FROM onward GROUP BY 1, 2)"""
 
 
 def _hops(t) -> DataFrame:
@@ -220,17 +226,19 @@ def delayed_travel_times(spark, sf):
     "fastest_times",
     static_sql(
         "SELECT source, stop_id, travel_s FROM ride",
-        _TRAVEL,
+        _FORWARD,
         """ride(source, stop_id, travel_s) USING KEY (stop_id) AS (
           SELECT MIN(stop_id), MIN(stop_id), CAST(0 AS DOUBLE) FROM stops
           UNION
           SELECT ANY_VALUE(w.source), e.target_stop_id, MIN(w.travel_s + e.min_travel_s) FROM ride w JOIN travel e ON e.source_stop_id = w.stop_id
           LEFT JOIN recurring.ride r ON r.stop_id = e.target_stop_id
-          WHERE e.min_travel_s >= 0 AND w.travel_s + e.min_travel_s < COALESCE(r.travel_s, 1e18) GROUP BY e.target_stop_id)""",
+          WHERE w.travel_s + e.min_travel_s < COALESCE(r.travel_s, 1e18) GROUP BY e.target_stop_id)""",
     ),
 )
 def fastest_times(spark, sf):
-    """Least scheduled travel time from the first stop, over edges that do not go back in time."""
+    """Least scheduled travel time from the first stop; trips run by arrival, and stops take no time."""
     t = tables(spark, sf)
-    forward = _travel(t).where(F.col("min_travel_s") >= 0)
-    return graph.shortest_times(forward, _first_stop(t["stops"]))
+    arrival = clock_seconds(F.col("arrival_time"))
+    timed = t["stop_times"].withColumns({"stop_sequence": arrival, "arrival_s": arrival, "departure_s": arrival})
+    onward = graph.hops(timed, times=("arrival_s", "departure_s"), block_size=4 * 3600)
+    return graph.shortest_times(graph.edge_travel_times(onward), _first_stop(t["stops"]))
