@@ -1,5 +1,7 @@
 """The registered queries of the subpackage and the pipeline on the smallest tables."""
 
+import random
+import shutil
 import sys
 
 from compare import compare, duck
@@ -25,3 +27,25 @@ def test_stages_keep_columns_and_clean_documents(spark):
         sizes.append(out.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > docs.count() / 2
     assert sys.modules["corpus_pipeline"].ORACLE_SQL is None
+
+
+def test_run_keeps_one_of_each_planted_group(spark, tmp_path):
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = sorted((r for r in docs.filter("length(text) > 3000").collect()), key=lambda r: r["doc_id"])[:4]
+    rows, groups = [], []
+    for g, r in enumerate(clean):
+        words = r["text"].split()
+        rng.shuffle(words)  # lines of this group only
+        lines = [" ".join(words[a : a + 20]) for a in range(0, 400, 20)]
+        exact, near = list(lines), list(lines)
+        near[7] = near[7] + f" edited{g} here"
+        ids = [900_000 + 10 * g + k for k in range(3)]
+        rows += [r.asDict() | {"doc_id": i, "text": "\n".join(t), "n_chars": len("\n".join(t))} for i, t in zip(ids, (lines, exact, near))]
+        groups.append(set(ids))
+    sf = tmp_path / "sf"
+    docs.unionByName(spark.createDataFrame(rows, docs.schema)).write.parquet(str(sf / "documents.parquet"))
+    shutil.copy(f"{SF}/benchmark.parquet", sf)
+    out = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, str(sf)).collect()}
+    assert [sorted(ids & set(out)) for ids in groups] == [[min(ids)] for ids in groups]
+    assert min(out.values()) > 0

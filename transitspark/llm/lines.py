@@ -10,7 +10,7 @@ later copies. Long runs are covered by the intervals of their inner suffixes, wh
 A run counts from `RUN` lines on, or one line of at least `LONG` characters. Names are 64-bit hashes.
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line; a text whose
-lines all are later copies becomes empty; rows that repeat in full are one document and fare alike; a
+lines all are later copies becomes empty, or goes if asked; rows that repeat in full are one document and fare alike; a
 null id comes before all others; other columns are carried along by `without_repeated_lines`.
 """
 
@@ -74,9 +74,14 @@ def _kept(docs: DataFrame, run: int, long: int) -> DataFrame:
     return joined.select("row", "id", "lines", "gone", kept.alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
-    """The rows of `docs` with later copies of runs cut out of `text`; n_chars, if there, follows the text."""
+def without_repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG, drop: bool = False) -> DataFrame:
+    """The rows of `docs` with later copies of runs cut out of `text`; n_chars, if there, follows the text.
+
+    `drop`: a row that had words and has none left goes.
+    """
     out = _kept(docs, run, long)
+    if drop:
+        out = out.filter(~F.coalesce(F.col("row.text").rlike(r"\S") & ~F.col("kept").rlike(r"\S"), F.lit(False)))
     columns = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
