@@ -130,6 +130,26 @@ def test_lines(docs, none, texts):
     assert lines.line_digests(none).count() == 0
 
 
+def test_runs_of_any_length_count_by_their_words(spark, docs):
+    rng, least = random.Random(2), lines.WORDS
+    bank = ["a", "b", "c d", "e f", "p q r", "the planted line of all", "", " "]
+    given = [(i, "\n".join(rng.choices(bank, k=rng.randrange(1, 7)) + [f"own {i} {i} {i}"] + rng.choices(bank, k=rng.randrange(7)))) for i in range(60)]
+    given += [(60, "own 9 9 9\n\nthe planted line of all"), (61, "x"), (62, "x"), (63, None), (64, ""), (None, "p q r")]
+    first, want = {}, Counter()
+    order = sorted(given, key=lambda r: (r[0] is not None, r[0]))
+    spans = lambda w: [(a, b) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if sum(len(x.split()) for _, x in w[a:b]) >= least]
+    for i, t in order:
+        w = [(k, x) for k, x in enumerate(t.split("\n") if t is not None else []) if x.strip()]
+        gone = set()
+        for a, b in spans(w):
+            if first.setdefault(tuple(x for _, x in w[a:b]), (i, a)) != (i, a):
+                gone |= set(range(w[a][0], w[b - 1][0] + 1))
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone) if t is not None else None
+        want[i, left] += not ((t or "").strip() and not (left or "").strip())
+    assert rows(lines.without_repeated_runs(spark.createDataFrame(given, "doc_id long, text string")), "doc_id", "text") == +want
+    assert lines.without_repeated_runs(docs).columns == docs.columns
+
+
 def test_line_names_by_doubling(spark):
     df = spark.sql("SELECT transform(split('a b a b a c', ' '), x -> xxhash64(x)) AS n")
     three = df.select(lines.suffix_names(df["n"], 3)).first()[0]

@@ -7,21 +7,25 @@ interval of the suffix array whose longest common prefix is at least the depth;
 than one suffix is a repeated run, and all of its places but the first, by document and line, are
 later copies. Long runs are covered by the intervals of their inner suffixes, whose first places come first too.
 
-A run counts from `RUN` lines on, or one line of at least `LONG` characters. Names are 64-bit hashes.
+`later_copies` counts a run from `RUN` lines on, or one line of at least `LONG` characters; its SQL says the
+same. `later_runs` counts any run, single lines too, that holds `WORDS` words in all. Names are 64-bit hashes.
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line; a text whose
-lines all are later copies becomes empty, or goes if asked; rows that repeat in full are one document and fare alike; a
-null id comes before all others; other columns are carried along by `without_repeated_lines`.
+lines all are later copies becomes empty (`without_repeated_runs` drops it); rows that repeat in full are one document and fare alike; a
+null id comes before all others; other columns are carried along.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transitspark.session import rewritten
 
 RUN, LONG = 2, 100
+WORDS = 3
 
 
 def doubled(names: Column, h: int) -> Column:
@@ -57,40 +61,85 @@ def later_copies(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame
     runs = F.transform(suffix_names(F.col("names"), run), lambda n: F.struct(n.alias("name"), F.lit(run).alias("size")))
     suffixes = rows.select("rid", "id", F.posexplode(single).alias("line", "s")).filter("s IS NOT NULL")
     suffixes = suffixes.unionByName(rows.select("rid", "id", F.posexplode(runs).alias("line", "s"))).select("rid", "id", "line", "s.*")
+    return _later(suffixes.withColumn("last", F.col("line") + F.col("size") - 1))
+
+
+def later_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
+    """(rid, gone): the numbers of the lines of each text that lie in a later copy of a run of `least` words or more.
+
+    Lines without words count for nothing, and go with a run they stand in. Of the runs with enough words it
+    takes those that have too few without their first or without their last line: they are of `least` lines
+    at most, every longer run is covered by them, and each is a later copy where the longer one is. All runs
+    of two lines are taken too, to cover lines without words between.
+    """
+    counts = lambda x: sum(x.rlike(rf"^\s*+\S++(?:\s++\S++){{{k}}}").cast("int") for k in range(least))
+    line = lambda x, i: F.struct(i.alias("line"), i.alias("last"), F.xxhash64(x).alias("name"), counts(x).alias("total"), counts(x).alias("head"), counts(x).alias("tail"))
+    texts = keyed(docs).select("rid", "id", F.filter(F.transform("lines", line), lambda x: x["total"] > 0).alias("w"))
+    texts = rewritten(texts.filter(F.size("w") > 0), "line_names")
+
+    def longer(a: Column, b: Column) -> Column:
+        return F.struct(a["line"], b["last"], F.xxhash64(a["name"], b["name"]).alias("name"), (a["total"] + b["total"]).alias("total"), a["head"], b["tail"])
+
+    runs, windows = F.col("w"), []
+    for size in range(1, max(least, 2) + 1):
+        if size > 1:
+            n = F.greatest(F.size("w") - size + 1, F.lit(0))
+            runs = F.zip_with(F.slice(runs, 1, n), F.slice("w", size, n), longer)
+        enough = F.filter(runs, _enough(least, size))
+        windows.append(_named(enough, size))
+    return _later(texts.select("rid", "id", F.explode(F.concat(*windows)).alias("s")).select("rid", "id", "s.*"))
+
+
+def _enough(least: int, size: int) -> Callable[[Column], Column]:
+    return lambda x: (x["total"] >= least) & ((x["total"] - F.greatest(x["head"], x["tail"]) < least) | F.lit(size == 2))
+
+
+def _named(runs: Column, size: int) -> Column:
+    return F.transform(runs, lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["name"].alias("name"), F.lit(size).alias("size")))
+
+
+def _later(suffixes: DataFrame) -> DataFrame:
+    """(rid, gone) of suffixes (rid, id, line, last, name, size)."""
     # intervals of one suffix hold no repeat; what is left is small beside the input
     more = suffixes.groupBy("name", "size").agg(F.count("*").alias("places")).filter("places > 1").select("name", "size")
     intervals = rewritten(suffixes.join(more, ["name", "size"], "left_semi"), "intervals")
     first = intervals.groupBy("name", "size").agg(F.min(F.struct("id", "rid", "line")).alias("first"))
     later = intervals.join(first, ["name", "size"]).filter(~F.struct("id", "rid", "line").eqNullSafe(F.col("first")))
-    covered = later.select("rid", F.explode(F.sequence("line", F.col("line") + F.col("size") - 1)).alias("line"))
+    covered = later.select("rid", F.explode(F.sequence("line", "last")).alias("line"))
     return covered.distinct().groupBy("rid").agg(F.collect_list("line").alias("gone"))
 
 
-def _kept(docs: DataFrame, run: int, long: int) -> DataFrame:
+def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """(row, id, lines, gone, kept): kept is the text that stays."""
-    joined = keyed(docs).join(later_copies(docs.select("doc_id", "text"), run, long), "rid", "left")
+    joined = keyed(docs).join(gone, "rid", "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n"))
     return joined.select("row", "id", "lines", "gone", kept.alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG, drop: bool = False) -> DataFrame:
-    """The rows of `docs` with later copies of runs cut out of `text`; n_chars, if there, follows the text.
-
-    `drop`: a row that had words and has none left goes.
-    """
-    out = _kept(docs, run, long)
-    if drop:
-        out = out.filter(~F.coalesce(F.col("row.text").rlike(r"\S") & ~F.col("kept").rlike(r"\S"), F.lit(False)))
+def _with_kept(docs: DataFrame, out: DataFrame) -> DataFrame:
     columns = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def without_repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """The rows of `docs` with later copies of runs cut out of `text`; n_chars, if there, follows the text."""
+    return _with_kept(docs, _kept(docs, later_copies(docs.select("doc_id", "text"), run, long)))
+
+
+def without_repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
+    """Like `without_repeated_lines`, by `later_runs`; a row that had words and has none left goes."""
+    out = _kept(docs, later_runs(docs.select("doc_id", "text"), least))
+    emptied = F.col("row.text").rlike(r"\S") & ~F.col("kept").rlike(r"\S")
+    return _with_kept(docs, out.filter(~F.coalesce(emptied, F.lit(False))))
+
+
 def line_digests(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every row; a null text has no lines and an empty digest text."""
     gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
-    return _kept(docs.select("doc_id", "text"), run, long).select(F.col("id").alias("doc_id"), lines.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    docs = docs.select("doc_id", "text")
+    return _kept(docs, later_copies(docs, run, long)).select(F.col("id").alias("doc_id"), lines.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = f"""
