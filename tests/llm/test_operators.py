@@ -239,6 +239,20 @@ def test_bit_samples_reach_their_recall_at_the_largest_bound(n):
     assert tried == 150 and met / tried >= 0.99
 
 
+@pytest.mark.parametrize("n", [20, 30, 40, 71, 80, 100])
+def test_bit_samples_keep_edited_windows_and_refuse_unrelated_ones(n):
+    rng = np.random.default_rng(n)
+    letters = lambda *shape: rng.integers(1, 1 << 62, shape, dtype=np.uint64)
+    item, other, edited = letters(1, n), letters(200, n), []
+    of_item = decontaminate.embedded(item)[0]
+    for _ in range(150):
+        row = item[0].copy()
+        row[rng.choice(n, decontaminate.bound(n), replace=False)] = letters(decontaminate.bound(n))
+        edited.append(row)
+    assert decontaminate.agreeing(decontaminate.embedded(np.array(edited)), of_item).mean() >= 0.99
+    assert decontaminate.agreeing(decontaminate.embedded(other), of_item).mean() < 0.01
+
+
 def test_language(spark, docs, none):
     rng = random.Random(3)
     syllables = {"aa": ["ka", "ro", "mi"], "bb": ["sch", "üng", "tz"], "cc": ["жи", "ла", "по"]}

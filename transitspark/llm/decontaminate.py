@@ -43,7 +43,10 @@ def bound(n: int) -> int:
 
 
 def embedded(windows: np.ndarray, walk_seed: int = 0) -> np.ndarray:
-    """Samples of the random-walk embeddings of each row of words: rows x (WALKS * SAMPLES) hash values."""
+    """Samples of the random-walk embeddings of each row of words: rows x (WALKS * SAMPLES) hash values.
+
+    A sample of padding alone, beyond the end of the walk, tells nothing of the words and is 0.
+    """
     rows, n = windows.shape
     steps = 3 * n
     padded = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], 1)
@@ -58,10 +61,18 @@ def embedded(windows: np.ndarray, walk_seed: int = 0) -> np.ndarray:
         coin = ((letter ^ salt[j]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
         at = np.minimum(at + coin.astype(np.int64), n)
     out = np.zeros((rows, WALKS, SAMPLES), np.uint64)
+    some = np.zeros(out.shape, bool)
     for w in range(WALKS):
         for p in range(PLACES):
-            out[:, w] = mix(out[:, w] * np.uint64(31) + walked[places[w, :, p], :, w].T)
-    return out.reshape(rows, -1)
+            letters = walked[places[w, :, p], :, w].T
+            out[:, w] = mix(out[:, w] * np.uint64(31) + letters)
+            some[:, w] |= letters != 0
+    return np.where(some, out, np.uint64(0)).reshape(rows, -1)
+
+
+def agreeing(samples: np.ndarray, of_item: np.ndarray) -> np.ndarray:
+    """Which rows share a sample with the item; samples of padding alone do not count."""
+    return ((samples == of_item) & (of_item != 0)).any(1)
 
 
 def least_distance(item: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +163,7 @@ class Items:
             s, r = starts[a : a + 4096], rows[a : a + 4096]
             reach = s[:, None] + np.arange(n + e)
             after = np.where(reach < end[a : a + 4096, None], w.hash[np.minimum(reach, len(w.hash) - 1)], np.uint64(0))
-            agree = (embedded(after[:, :n]) == self.sample(item)).any(1)
+            agree = agreeing(embedded(after[:, :n]), self.sample(item))
             s, r, after = s[agree], r[agree], after[agree]
             if not len(s):
                 continue
