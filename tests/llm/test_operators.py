@@ -192,6 +192,14 @@ def test_minhash(spark, docs, none, texts):
     assert minhash.near_duplicates(spark, none).count() == 0
 
 
+def test_bands_follow_the_threshold(spark, docs):
+    for percent in (70, 80, 85, 90):
+        bands, bins = minhash.banding(percent)
+        assert (1 - (percent / 100) ** bins) ** bands <= minhash.MISS
+    assert minhash.banding(85) == (48, 8)
+    assert {len(r["bands"]) for r in minhash.sketches(docs, 5, 80).collect()} == {0, 51}
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     v = [(i, rng.normal(size=8).tolist()) for i in range(120)] + [(i, [1.0] + [0.0] * 7) for i in range(200, 230)]

@@ -1,9 +1,10 @@
 """Near-duplicate documents by one-permutation hashing, optimal densification and star-shaped edges.
 
-Every distinct shingle set is one node. Its shingle hashes fall into `BINS` bins, the least of each bin is
+Every distinct shingle set is one node. Its shingle hashes fall into bins, the least of each bin is
 kept, and an empty bin takes the value of the first full bin of its own fixed random order (Shrivastava,
-"Optimal Densification for Fast and Accurate Minwise Hashing", 2017). `BANDS` bands of `ROWS` bins are
-the buckets. A pair at similarity 0.85 shares no bucket with probability (1 - 0.85**8)**48 = 2.3e-7.
+"Optimal Densification for Fast and Accurate Minwise Hashing", 2017). Bands of some bins each are the
+buckets. `banding` sets them by the threshold, so that a pair at it shares no bucket with probability `MISS`
+at most: at 0.85 (1 - 0.85**8)**48 = 2.3e-7, at 0.8 (1 - 0.8**6)**51 = 1.8e-7.
 
 Inside a bucket there are no pairs but star edges from a centre to the nodes not yet joined with it. A
 centre has then been compared with the whole bucket and leaves it; a bucket whose nodes are all joined is
@@ -19,6 +20,7 @@ out here and carried along by `one_of_each`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +32,25 @@ from transitspark.llm.text import WHITE, Piece, lists, mix, pieces, signed, word
 from transitspark.operators.graph import connected_components
 from transitspark.session import rewritten
 
-BANDS, ROWS = 48, 8
-BINS = BANDS * ROWS
+MISS, MOST_BANDS = 2.4e-7, 52
 SHINGLE, PERCENT = 3, 85
 STARS, RARITY_BITS = 2, 18
 
 _SKETCH = "rid long, doc_id long, tkey long, n_shingles long, node long, bands array<long>"
 
 
-def _orders() -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and bins a band: as many bins a band as `MOST_BANDS` bands allow; if one is too many, one."""
+    if percent >= 100:
+        return 1, 8
+    need = lambda rows: math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+    rows = max((r for r in range(1, 65) if need(r) <= MOST_BANDS), default=1)
+    return need(rows), rows
+
+
+def _orders(bins: int) -> np.ndarray:
     """For every bin, the order in which it looks for a full one; the same in every task."""
-    key = mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS)
+    key = mix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(77)).reshape(bins, bins)
     return np.argsort(key, axis=1)
 
 
@@ -61,13 +71,13 @@ def sorted_sets(p: Piece, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 def densified(values: np.ndarray, at: np.ndarray, orders: np.ndarray) -> np.ndarray:
     """One value for each bin of each text; texts without shingles get zeros."""
-    rows = len(at) - 1
+    rows, bins = len(at) - 1, len(orders)
     row = np.repeat(np.arange(rows), np.diff(at))
-    cell = row * BINS + ((values >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    cell = row * bins + ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     head = np.flatnonzero(np.diff(cell, prepend=-1))
-    out, full = np.zeros(rows * BINS, np.uint64), np.zeros(rows * BINS, bool)
+    out, full = np.zeros(rows * bins, np.uint64), np.zeros(rows * bins, bool)
     out[cell[head]], full[cell[head]] = values[head], True
-    out, full = out.reshape(rows, BINS), full.reshape(rows, BINS)
+    out, full = out.reshape(rows, bins), full.reshape(rows, bins)
     for i in np.flatnonzero(full.any(1) & ~full.all(1)):
         empty = np.flatnonzero(~full[i])
         order = orders[empty]
@@ -75,15 +85,16 @@ def densified(values: np.ndarray, at: np.ndarray, orders: np.ndarray) -> np.ndar
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    orders = _orders()
+def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    bands, in_band = banding(percent)
+    orders = _orders(bands * in_band)
     for batch in batches:
         for p in pieces(batch.column(3)):
             values, at = sorted_sets(p, shingle)
             size = np.diff(at)
-            bins = densified(values, at, orders).reshape(p.rows, BANDS, ROWS)
-            band = np.tile(np.arange(BANDS, dtype=np.uint64), (p.rows, 1))
-            for r in range(ROWS):
+            bins = densified(values, at, orders).reshape(p.rows, bands, in_band)
+            band = np.tile(np.arange(bands, dtype=np.uint64), (p.rows, 1))
+            for r in range(in_band):
                 band = mix(band * np.uint64(31) + bins[:, :, r])
             sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([mix(values), mix(~values)], 1), axis=0, dtype=np.uint64)])
             total = sums[at[1:]] - sums[at[:-1]]
@@ -95,7 +106,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
                     *(batch.column(c)[rows] for c in range(3)),
                     pa.array(size, pa.int64()),
                     pa.array(signed(node), pa.int64(), mask=~some),
-                    lists(signed(band[some].reshape(-1)), np.where(some, BANDS, 0), pa.int64()),
+                    lists(signed(band[some].reshape(-1)), np.where(some, bands, 0), pa.int64()),
                 ],
                 ["rid", "doc_id", "tkey", "n_shingles", "node", "bands"],
             )
@@ -112,10 +123,10 @@ def _verified(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) ->
         yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(rid, doc_id, tkey, n_shingles, node, bands) of every row; rid numbers rows, tkey is the text's hash."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: _sketch(b, shingle), _SKETCH)
+    return rows.mapInArrow(lambda b: _sketch(b, shingle, percent), _SKETCH)
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
@@ -227,7 +238,7 @@ def node_components(spark: SparkSession, docs: DataFrame, sketch: DataFrame, shi
 
 def _labelled(spark: SparkSession, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(rid, doc_id, n_shingles, node, component, component_id)."""
-    sketch = rewritten(sketches(docs, shingle), "sketches")
+    sketch = rewritten(sketches(docs, shingle, percent), "sketches")
     components = node_components(spark, docs, sketch, shingle, percent)
     rows = sketch.drop("bands").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # one row for each component, made map-side first, so a large group costs its rows and no more
