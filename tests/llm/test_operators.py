@@ -164,6 +164,15 @@ def test_sharding(docs, none, texts):
     assert sharding.shard_digests(none).count() == 0
 
 
+def test_small_tables_are_dealt_by_a_drawn_matrix(spark, monkeypatch):
+    drawn, draw = [], sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda *a: drawn.append(draw(*a)) or drawn[-1])
+    got = sharding.shuffled(spark.range(3000).toDF("doc_id"), 5).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3000)) and len(drawn[0]) > 5
+    assert len({tuple(n / sum(r) for n in r) for r in drawn[0]}) > 5
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(5) for k in range(600)]
+
+
 def test_communication_matrix_is_exact_and_fair():
     total = Counter()
     for seed in range(300):

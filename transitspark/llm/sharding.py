@@ -5,9 +5,10 @@ communication matrix follow the multivariate hypergeometric law, so the counts a
 permutation and the shard sizes are exact. Then every block is permuted on its own and dealt out by its
 row of the matrix, and every shard is permuted again.
 
-The matrix has blocks * shards cells and is drawn by the driver; a block holds about `BLOCK_ROWS` rows, so
-10 billion rows and 40 shards are 100,000 cells. Ranks inside blocks and shards are counted in buckets of
-a random key, so no task sorts more than about `BLOCK_ROWS` rows.
+The matrix has blocks * shards cells and is drawn by the driver; there are `BLOCKS` blocks, or as many more as
+keep them to about `BLOCK_ROWS` rows, so 10 billion rows and 40 shards are 100,000 cells. Ranks are counted on
+row numbers alone, in shards in buckets of a random key, so no task sorts more than about `BLOCK_ROWS` of
+them; the columns are joined to their places once, by row number.
 
 Defined results: every row gets one place, repeated rows too; null texts have size 16 and the checksum of
 an empty text; ids may be null; an empty table gives no rows; `shuffled` carries all columns along, but for its own `shard` and `slot`.
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from transitspark.session import local_rows, rewritten
 
-SHARDS, BLOCK_ROWS, SEED = 40, 4_000_000, 20_240_517
+SHARDS, BLOCKS, BLOCK_ROWS, SEED = 40, 64, 4_000_000, 20_240_517
 
 
 def hypergeometric(good: int, bad: int, draws: int, u: float) -> int:
@@ -88,10 +89,10 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows
     """
     spark = docs.sparkSession
     data = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
-    rows = rewritten(docs.select(data.alias("_data"), F.monotonically_increasing_id().alias("_row")), "rows")
-    total = rows.count()
-    blocks = max(1, -(-total // block_rows))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(blocks)).cast("int"))
+    kept = rewritten(docs.select(data.alias("_data"), F.monotonically_increasing_id().alias("_row")), "rows")
+    total = kept.count()
+    blocks = max(1, min(total, BLOCKS), -(-total // block_rows))
+    rows = kept.select("_row").withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(blocks)).cast("int"))
     sizes = dict(rows.groupBy("_block").count().collect())
     matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], even_sizes(total, shards), seed)
     ends = []
@@ -105,7 +106,8 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows
     first = _ranked(rows, "_block", F.xxhash64(F.lit(seed + 1), "_row"), 1, "_rank")
     dealt = first.join(bounds, "_block").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).cast("int")).drop("_ends", "_block", "_rank")
     buckets = max(1, -(-total // shards // block_rows))
-    return _ranked(dealt, "shard", F.xxhash64(F.lit(seed + 2), "_row"), buckets, "slot").select("_data.*", "shard", F.col("slot").cast("long").alias("slot"))
+    places = _ranked(dealt, "shard", F.xxhash64(F.lit(seed + 2), "_row"), buckets, "slot").select("_row", "shard", F.col("slot").cast("long").alias("slot"))
+    return kept.join(places, "_row").select("_data.*", "shard", "slot")
 
 
 def shard_digests(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
