@@ -223,6 +223,12 @@ def test_ann(spark):
     assert set(got) == {0, 50, 100, 200}
 
 
+def test_ann_ties_of_many_nodes_go_to_the_least_ids(spark):
+    v = [(i, [2.0 ** (i - 1000), 0.0]) for i in range(1001, 1041)] + [(0, [1.0, 0.0]), (1, [0.0, 1.0])]
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.nearest(spark.createDataFrame(v, "vec_id long, embedding array<double>")).collect() if r["query_id"] == 0)
+    assert got == [(k, 1000 + k) for k in range(1, 6)]
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(9)
     item = words(rng, 40, 10_000)

@@ -165,8 +165,7 @@ def _ask(shard: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         for i, found in enumerate(met, a):
             found = found[found >= 0]
             score = (vectors[found] * asked[i]).sum(1) / (length[found] * np.sqrt((asked[i] * asked[i]).sum()))
-            best = np.argsort(-score, kind="stable")[: 2 * k + 2]
-            near = sorted((-s, v) for s, f in zip(score[best].tolist(), found[best]) for v in ids[f] if v != own[i])
+            near = sorted((-s, v) for s, f in zip(score.tolist(), found) for v in ids[f] if v != own[i])
             rows += [(own[i], own_node[i], v, -s) for s, v in near[:k]]
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kind)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
 
