@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transitspark.llm import ann, bpe, decontaminate, language, licenses, lines, minhash, pii, sharding, substrings
+from transitspark.llm import ann, bpe, decontaminate, infill, language, licenses, lines, minhash, periods, pii, sharding, substrings, vectors
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,6 +63,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +83,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_substrings, op3_bpe, op4_licenses, op5_lines, op6_sharding, op7_minhash, op8_ann, op9_decontamination, op10_language, pipeline)
-}
-SQL: dict[str, str] = {"op5_lines": lines.SQL}
+    for f in (
+        op1_pii, op2_substrings, op3_bpe, op4_licenses, op5_lines, op6_sharding, op7_minhash, op8_ann, op9_decontamination, op10_language,
+        op11_vectors, op12_infill, op13_periods, pipeline,
+    )
+}
+SQL: dict[str, str] = {"op5_lines": lines.SQL, "op12_infill": infill.SQL}
