@@ -95,23 +95,71 @@ def test_differences_of_snapshots(spark):
     assert flat(state.snapshot_deltas(snapshot_rows(spark, range(5)), ["key"], ["v"])) == WANT
 
 
+def deltas_job(tmp_path):
+    return {"keys": ["key"], "values": ["v"], "out": str(tmp_path / "out"), "state": str(tmp_path / "state"), "tie": ["id"]}
+
+
+def run_deltas(spark, tmp_path, pieces, hold=1):
+    """Each piece is a file and a micro-batch of its own."""
+    src = str(tmp_path / "in")
+    for piece in pieces:
+        piece.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(pieces[0].schema).option("maxFilesPerTrigger", 1).parquet(src)
+    drain(ledger.start_deltas(stream, checkpoint=str(tmp_path / "cp"), every=None, hold=hold, **deltas_job(tmp_path)))
+
+
 @pytest.mark.parametrize("batches", [[[0], [1], [2], [3], [4]], [[0, 1], [2, 3, 4]], [[0, 1, 2, 3, 4]]])
 def test_differences_do_not_depend_on_batches(spark, tmp_path, batches):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for numbers in batches:
-        snapshot_rows(spark, numbers).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-        drain(ledger.start_deltas(stream, ["key"], ["v"], out, str(tmp_path / "state"), str(tmp_path / "cp"), ["id"], every=None))
-    assert flat(spark.read.parquet(out)) == WANT
+    run_deltas(spark, tmp_path, [snapshot_rows(spark, numbers) for numbers in batches])
+    out = str(tmp_path / "out")
+    # the newest snapshot is open until it is closed by a newer one or by the flush
+    assert flat(spark.read.parquet(out)) == [r for r in WANT if r[1] < 4]
+    for _ in range(2):
+        ledger.flush_deltas(spark, **deltas_job(tmp_path))
+        assert flat(spark.read.parquet(out)) == WANT
+    assert not (tmp_path / "out_late").exists() and not (tmp_path / "state_work").exists()
+
+
+@pytest.mark.parametrize("cuts", [range(1, 9), (1, 4, 6), (3, 8)])
+def test_a_snapshot_may_be_split_at_any_row(spark, tmp_path, cuts):
+    rows = [(k, n, v) for n in range(5) for k, v in POLLS[n].items()]
+    ends = [0, *cuts, len(rows)]
+    whole = "key", f"timestamp_seconds({T0} + 30 * n) feed_ts", "v", "n id"
+    pieces = [frame(spark, "key string, n int, v int", rows[a:b]).selectExpr(*whole) for a, b in zip(ends, ends[1:])]
+    run_deltas(spark, tmp_path, pieces)
+    ledger.flush_deltas(spark, **deltas_job(tmp_path))
+    assert flat(spark.read.parquet(str(tmp_path / "out"))) == WANT
+    assert not (tmp_path / "out_late").exists()
+
+
+def test_the_stream_goes_on_after_a_flush(spark, tmp_path):
+    run_deltas(spark, tmp_path, [snapshot_rows(spark, [0, 1])])
+    ledger.flush_deltas(spark, **deltas_job(tmp_path))
+    run_deltas(spark, tmp_path, [snapshot_rows(spark, [2, 3]), snapshot_rows(spark, [4])])
+    ledger.flush_deltas(spark, **deltas_job(tmp_path))
+    assert flat(spark.read.parquet(str(tmp_path / "out"))) == WANT
+
+
+def test_the_copy_with_the_highest_tie_wins_across_batches(spark, tmp_path):
+    rows = lambda *r: frame(spark, "key string, n int, v int, id int", list(r)).selectExpr("key", f"timestamp_seconds({T0} + 30 * n) feed_ts", "v", "id")
+    run_deltas(spark, tmp_path, [rows(("a", 0, 1, 5)), rows(("a", 0, 2, 9), ("a", 0, 7, 3)), rows(("a", 1, 2, 1))])
+    ledger.flush_deltas(spark, **deltas_job(tmp_path))
+    assert flat(spark.read.parquet(str(tmp_path / "out"))) == [("a", 0, "appeared", None, 2)]
+
+
+def test_instants_that_overlap_need_a_longer_hold(spark, tmp_path):
+    pieces = [snapshot_rows(spark, [n]) for n in (1, 0, 3, 2, 4)]
+    run_deltas(spark, tmp_path, pieces, hold=2)
+    ledger.flush_deltas(spark, **deltas_job(tmp_path))
+    assert flat(spark.read.parquet(str(tmp_path / "out"))) == WANT
 
 
 def test_late_records_are_set_aside(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for numbers in ([0, 2], [1]):
-        snapshot_rows(spark, numbers).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-        drain(ledger.start_deltas(stream, ["key"], ["v"], out, str(tmp_path / "state"), str(tmp_path / "cp"), ["id"], every=None))
+    run_deltas(spark, tmp_path, [snapshot_rows(spark, n) for n in ([0, 2], [3], [1], [4])])
+    out = str(tmp_path / "out")
     assert values(spark.read.parquet(f"{out}_late"), "key", "v") == [("a", 1), ("b", 2)]
+    # snapshot 0 and those after it are compared without the late one
+    assert [r[:3] for r in flat(spark.read.parquet(out))] == [("a", 0, "appeared"), ("b", 0, "appeared"), ("a", 2, "disappeared"), ("b", 2, "changed"), ("a", 3, "appeared")]
 
 
 def test_changes_as_of_and_known(spark):
@@ -159,6 +207,7 @@ def test_all_tables_from_landed_polls(spark, tmp_path):
         drain(realtime_jobs.start_raw(spark, str(src), root, every=None))
         for query in realtime_jobs.start_derived(spark, root, every=None).values():
             drain(query)
+    realtime_jobs.flush_deltas(spark, root)
     raw = realtime_jobs.read_ledger(spark, root)
     assert raw.count() == 12
     assert spark.read.parquet(f"{root}/{realtime_jobs.NORMALIZED}").count() == 12

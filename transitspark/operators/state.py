@@ -103,7 +103,11 @@ def snapshot_sequence(records: DataFrame, feed: Sequence[str] = ()) -> DataFrame
 
 
 def snapshot_deltas(
-    records: DataFrame, keys: Sequence[str], values: Sequence[str], feed: Sequence[str] = ()
+    records: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    feed: Sequence[str] = (),
+    following: DataFrame | None = None,
 ) -> DataFrame:
     """Differences between each full snapshot and the one right after it.
 
@@ -112,9 +116,12 @@ def snapshot_deltas(
     (key, instant). A key missing from the next snapshot is a disappearance, found by comparing
     snapshots, not by a timeout. Join keys are unique on both sides, so a key with very many
     records is spread over all tasks. Keys of the first snapshot appear.
+
+    `following` is the `snapshot_sequence` of the records, for callers that keep it themselves.
     """
-    # one row per poll, written so that Spark knows how small it is and need not shuffle records
-    following = rewritten(snapshot_sequence(records, feed), "polls")
+    if following is None:
+        # one row per poll, written so that Spark knows how small it is and need not shuffle records
+        following = rewritten(snapshot_sequence(records, feed), "polls")
     now = F.struct(*values)
     on = list(dict.fromkeys([*feed, *keys, "feed_ts"]))
     current = records.select(*on, now.alias("__after"))

@@ -95,19 +95,27 @@ def start_derived(
             ledger.normalized(raw(), watermark), _table(root, NORMALIZED), _checkpoint(root, NORMALIZED), every
         ),
         DELTAS: ledger.start_deltas(
-            states,
-            ["key"],
-            ["entity_type", "payload"],
-            _table(root, DELTAS),
-            _table(root, "checkpoints/last-snapshot"),
-            _checkpoint(root, DELTAS),
-            ["entity_id"],
-            every,
+            states, checkpoint=_checkpoint(root, DELTAS), every=every, **_snapshot_deltas(root)
         ),
         METRICS: ledger.start_table(dated, _table(root, METRICS), _checkpoint(root, METRICS), every),
     }
 
 
+def _snapshot_deltas(root: str) -> dict:
+    return {
+        "keys": ["key"],
+        "values": ["entity_type", "payload"],
+        "out": _table(root, DELTAS),
+        "state": _table(root, "checkpoints/last-snapshot"),
+        "tie": ["entity_id"],
+    }
+
+
+def flush_deltas(spark: SparkSession, root: str) -> None:
+    """Compares the newest snapshot too, once its stream is stopped."""
+    ledger.flush_deltas(spark, **_snapshot_deltas(root))
+
+
 def ledger_at(ledger_rows: DataFrame, at: F.Column, known_at: F.Column | None = None) -> DataFrame:
     """The message of every key that held at an instant; any instant can be replayed.
 

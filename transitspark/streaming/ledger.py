@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from transitspark.functions.clock import feed_instant
 from transitspark.operators.realtime import ledger_messages, named_model
-from transitspark.operators.state import deduplicated, snapshot_deltas
+from transitspark.operators.state import snapshot_deltas, snapshot_sequence
 from transitspark.sources import files
 from transitspark.sources.feed_schema import FEED_SCHEMA
 
@@ -126,8 +126,94 @@ def normalized(messages: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return valid.withWatermark("feed_ts", watermark).dropDuplicatesWithinWatermark(once)
 
 
-def _batch_folder(root: str, batch: int) -> str:
-    return f"{root.rstrip('/')}/batch_id={batch}"
+# --- differences of full snapshots --------------------------------------------------------------
+
+_OPEN, _LATE = "__open", "__late"
+
+
+def _batch_folder(root: str, batch: int, flush: int = 0) -> str:
+    return f"{root.rstrip('/')}/batch_id={batch}/flush={flush}"
+
+
+def _whole(spark: SparkSession, folder: str) -> bool:
+    """True if the table in `folder` was written to its end."""
+    return files.exists(spark, f"{folder}/_SUCCESS")
+
+
+class _Deltas:
+    """What a stream of snapshots knows between two micro-batches, as tables.
+
+    `state` holds, for each batch, the newest closed snapshot and all records of open ones. An
+    instant is open while fewer than `hold` newer ones have been seen: the records of a snapshot may
+    come in any number of batches as long as no `hold` newer snapshots come in between.
+    """
+
+    def __init__(
+        self, keys: Sequence[str], values: Sequence[str], tie: Sequence[str], out: str, state: str, hold: int
+    ) -> None:
+        if hold < 1:
+            raise ValueError("at least the newest instant is open")
+        self.keys, self.values, self.tie, self.hold = keys, values, tie, hold
+        self.out, self.state = out.rstrip("/"), state.rstrip("/")
+        self.columns = [*dict.fromkeys([*keys, "feed_ts", *values, *tie])]
+
+    def known(self, spark: SparkSession, batch: int) -> DataFrame | None:
+        for flush in (1, 0):
+            folder = _batch_folder(self.state, batch, flush)
+            if _whole(spark, folder):
+                return spark.read.parquet(folder)
+        return None
+
+    def advance(
+        self, spark: SparkSession, known: DataFrame | None, fresh: DataFrame, target: tuple[int, int], hold: int
+    ) -> None:
+        """Closes what `fresh` closes: its differences to `out`, what is left to `state`."""
+        out, state = _batch_folder(self.out, *target), _batch_folder(self.state, *target)
+        work = _batch_folder(f"{self.state}_work", *target)
+        edge = None
+        rows = fresh.select(*self.columns)
+        if known is not None:
+            edge = known.where(f"NOT {_OPEN}").agg(F.max("feed_ts").alias("t")).first()["t"]
+            rows = rows.unionByName(known.where(_OPEN).select(*self.columns))
+        # records are read and reduced once; all that follows reads what is written here
+        latest = F.max_by(F.struct(*self.columns), F.struct(*self.tie)).alias("r")
+        rows = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*self.keys, "feed_ts"])]).agg(latest).select("r.*")
+        late = F.lit(False) if edge is None else F.col("feed_ts") <= F.lit(edge)
+        rows.withColumn(_LATE, late).write.mode("overwrite").parquet(f"{work}/rows")
+        rows = spark.read.parquet(f"{work}/rows")
+
+        behind, ahead = rows.where(_LATE).drop(_LATE), rows.where(f"NOT {_LATE}").drop(_LATE)
+        if not behind.isEmpty():
+            behind.write.mode("overwrite").parquet(_batch_folder(f"{self.out}_late", *target))
+        newest = [r[0] for r in ahead.select("feed_ts").distinct().orderBy(F.desc("feed_ts")).limit(hold + 1).collect()]
+        closed, opened = ahead, ahead.where(F.lit(False))
+        if hold and newest:
+            open_from = F.lit(newest[: hold][-1])
+            closed, opened = ahead.where(F.col("feed_ts") < open_from), ahead.where(F.col("feed_ts") >= open_from)
+        last = None if known is None else known.where(f"NOT {_OPEN}").select(*self.columns)
+        together = closed if last is None else last.unionByName(closed)
+        snapshot_sequence(together).write.mode("overwrite").parquet(f"{work}/polls")
+        found = snapshot_deltas(together, self.keys, self.values, following=spark.read.parquet(f"{work}/polls"))
+        if edge is not None:
+            found = found.where(F.col("feed_ts") > F.lit(edge))
+        found.write.mode("overwrite").parquet(out)
+
+        kept = together.where(F.col("feed_ts") == F.lit(newest[hold] if len(newest) > hold else edge))
+        kept = kept.withColumn(_OPEN, F.lit(False)).unionByName(opened.withColumn(_OPEN, F.lit(True)))
+        kept.write.mode("overwrite").parquet(state)
+        files.remove_folder(spark, f"{self.state}_work")
+
+    def step(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        self.advance(spark, self.known(spark, batch_id - 1), batch, (batch_id, 0), self.hold)
+        files.remove_folder(spark, f"{self.state}/batch_id={batch_id - 2}")
+
+    def flush(self, spark: SparkSession) -> None:
+        batches = [int(e.name.removeprefix("batch_id=")) for e in files.children(spark, self.state) if e.name.startswith("batch_id=")]
+        done = [b for b in batches if _whole(spark, _batch_folder(self.state, b))]
+        if done and not _whole(spark, _batch_folder(self.state, max(done), 1)):
+            known = spark.read.parquet(_batch_folder(self.state, max(done)))
+            self.advance(spark, known, known.where(F.lit(False)), (max(done), 1), 0)
 
 
 def start_deltas(
@@ -139,41 +225,28 @@ def start_deltas(
     checkpoint: str,
     tie: Sequence[str],
     every: str | None = POLL,
+    hold: int = 1,
 ) -> StreamingQuery:
     """Differences between consecutive full snapshots of a stream.
 
-    Each micro-batch is compared with the last snapshot of the batch before, which is kept as a
-    table. Results and state are named by the batch, so a repeated batch writes the same folders
-    again. A snapshot must arrive whole in one batch (one file per poll); records older than the
-    kept snapshot are set aside under `late/` below `out`'s sibling folder, not dropped.
+    The newest `hold` instants stay open, so a snapshot may be spread over any number of
+    micro-batches; it is compared once it is closed by a newer one, or by `flush_deltas`. What is known
+    between batches are the last closed snapshot and the open records, as tables. Results and
+    state are named by the batch, so a repeated batch writes the same folders again. Only records
+    of an instant already compared are late: they are set aside below `<out>_late`, not dropped.
     """
-    columns = [*dict.fromkeys([*keys, "feed_ts", *values])]
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = deduplicated(batch, keys, values, tie).select(*columns)
-        known = _batch_folder(state, batch_id - 1)
-        last = spark.read.parquet(known) if files.exists(spark, known) else None
-        edge = None
-        if last is not None:
-            edge = last.agg(F.max("feed_ts").alias("t")).first()["t"]
-        if edge is not None:
-            late = fresh.where(F.col("feed_ts") <= edge)
-            if not late.isEmpty():
-                late.write.mode("overwrite").parquet(_batch_folder(f"{out.rstrip('/')}_late", batch_id))
-            fresh = fresh.where(F.col("feed_ts") > edge)
-        together = fresh if last is None else last.select(*columns).unionByName(fresh)
-        found = snapshot_deltas(together, keys, values)
-        if edge is not None:
-            found = found.where(F.col("feed_ts") > edge)
-        found.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
-
-        newest = together.agg(F.max("feed_ts").alias("t")).first()["t"]
-        kept = together.where(F.col("feed_ts") == F.lit(newest))
-        kept.write.mode("overwrite").parquet(_batch_folder(state, batch_id))
-        if batch_id >= 2:
-            files.remove_folder(spark, _batch_folder(state, batch_id - 2))
-
+    step = _Deltas(keys, values, tie, out, state, hold).step
     writer = records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     timed = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
     return timed.start()
+
+
+def flush_deltas(
+    spark: SparkSession, keys: Sequence[str], values: Sequence[str], out: str, state: str, tie: Sequence[str]
+) -> None:
+    """Closes the instants a stopped `start_deltas` still holds open, as at the end of a day.
+
+    Doing it twice changes nothing. The stream may be started again afterwards; records that still come
+    for a flushed instant are then late.
+    """
+    _Deltas(keys, values, tie, out, state, 1).flush(spark)
