@@ -1,10 +1,15 @@
+import random
+from collections import Counter
 from datetime import datetime
 
+import pytest
 from conftest import frame, values
 
+from pyspark.sql import functions as F
+
 from transitspark.operators.explore import dataset_inventory
 from transitspark.plans.landing import HISTORY_SCHEMA, current_history, land
-from transitspark.sources import catalog, members
+from transitspark.sources import catalog, members, quoted
 from transitspark.sources.snapshots import latest_snapshot, load_tables
 
 
@@ -34,6 +39,70 @@ def test_quotes_blanks_and_line_breaks(spark, tmp_path):
     assert values(members.read_member(spark, str(tmp_path / "b.txt"))) == [("1", "two\nlines"), ("2", "x")]
 
 
+def odd_member(path, rows=3000):
+    """A member with line breaks, doubled quotes, stray quotes, blanks and carriage returns in its fields."""
+    rng = random.Random(3)
+    plain = ["abc", "x y", "", '""', "ü", 'a "stray', '5" pipe', 'x"y"z']
+    quoted = ['"line\nbreak, ""q"" \r\n end"', '"a,b"', '""""', '"\n"', '"\n\n,"', '"x""\n"', '"a\n"",""b"', '"' + "long\n" * 40 + '"']
+    lines = [",".join([str(i), *(rng.choice(plain + quoted) for _ in range(3))]) for i in range(rows)]
+    path.write_bytes(("id,a,b,c\n" + "\n".join(lines) + "\n\n").encode())
+    return str(path)
+
+
+def test_a_member_with_line_breaks_is_split(spark, tmp_path):
+    path = odd_member(tmp_path / "m.txt")
+    whole = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    want = Counter(map(tuple, whole.collect()))
+    size, kept = (tmp_path / "m.txt").stat().st_size, {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for splits in (64, 3):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size // splits)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            ranges = quoted.text_lines(spark, path).select(F.spark_partition_id().alias("task"), "__range").distinct()
+            assert ranges.select("task").distinct().count() >= splits <= ranges.select("__range").distinct().count()
+            assert Counter(map(tuple, members.read_member(spark, path).collect())) == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_each_file_of_a_member_has_its_own_header_and_quotes(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    for i in range(3):
+        odd_member(tmp_path / "m" / f"part-{i}.csv", rows=50)
+    assert members.read_member(spark, str(tmp_path / "m")).count() == 150
+
+
+def test_a_row_of_the_wrong_width_is_an_error(spark, tmp_path):
+    write(tmp_path / "a.txt", 'id,name\n1,"two\nlines"\n2,x,y\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        members.read_member(spark, str(tmp_path / "a.txt")).collect()
+
+
+@pytest.mark.parametrize("line", ["plain", 'a,"b', '"a","b', '"a"b,"c', '"a""', 'a"b', '","', '"', '""', '"""', '""""', 'x,""",', '"a",b"', 'b","c"', '"",""', '",""'])
+def test_ends_of_lines(spark, line):
+    """Each line against a walk over its characters, from both states."""
+
+    def ends_inside(inside):
+        i, at_start = 0, not inside
+        while i < len(line):
+            if inside:
+                j = line.find('"', i)
+                if j < 0:
+                    return True
+                i = j + 2 if line[j : j + 2] == '""' else j + 1
+                inside = line[j : j + 2] == '""'
+                at_start = False
+            elif at_start and line[i] == '"':
+                inside, i, at_start = True, i + 1, False
+            else:
+                at_start, i = line[i] == ",", i + 1
+        return inside
+
+    row = frame(spark, "v string", [(line,)]).select(F.col("v").rlike(quoted.ENDS_INSIDE_FROM_OUTSIDE), F.col("v").rlike(quoted.ENDS_INSIDE_FROM_INSIDE)).first()
+    assert tuple(row) == (ends_inside(False), ends_inside(True))
+
+
 def test_inventory(spark):
     found = dataset_inventory({"a": spark.range(3), "b": spark.range(5).selectExpr("id", "id x")})
     assert [tuple(r) for r in found.collect()] == [("b", 5, 2, "b.parquet"), ("a", 3, 1, "a.parquet")]

@@ -5,8 +5,9 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from transitspark.__main__ import main
-from transitspark.config import MissingInput, QualityRules
+from transitspark.config import QualityRules
 from transitspark.operators.rules import report_lines
+from transitspark.operators.subset import DERIVED_FROM, city_subset, dependents
 from transitspark.plans.static import publish_each, publish_latest, replay_history
 from transitspark.sources.publish import published_latest, write_history
 from transitspark.sources.snapshots import latest_snapshot, snapshots
@@ -101,12 +102,51 @@ def test_a_failed_write_leaves_the_table_as_it_was(spark, tmp_path):
     assert values(spark.read.parquet(f"{root}/t")) == [(1, "v1")]
 
 
-def test_a_passing_version_that_lacks_a_column_is_named(spark, bronze, tmp_path, universe):
-    for name, df in universe.items():
-        df = df.drop("route_id") if name == "trips" else df
-        df.write.parquet(f"{bronze}/gtfs_fp2026_20260819/{name}.parquet")
-    with pytest.raises(MissingInput, match="gtfs_fp2026_20260819.*route_id"):
-        replay_history(spark, bronze, str(tmp_path / "h"), rules=QualityRules(required={}, bounds={}, foreign_keys=()))
+NO_RULES = QualityRules(required={}, bounds={}, foreign_keys=())
+
+
+@pytest.mark.parametrize("job", [publish_each, replay_history])
+def test_versions_that_lack_inputs_are_left_out(spark, bronze, tmp_path, universe, job):
+    """One without a table, one without a column, one with a broken file; the others are published."""
+    for version in ("gtfs_fp2026_20260812", "gtfs_fp2026_20260819", "gtfs_fp2026_20260826"):
+        for name, df in universe.items():
+            df = df.drop("route_id") if (version, name) == ("gtfs_fp2026_20260819", "trips") else df
+            if (version, name) != ("gtfs_fp2026_20260812", "stops"):
+                df.write.parquet(f"{bronze}/{version}/{name}.parquet")
+    broken = tmp_path / "bronze" / "gtfs_fp2026_20260826" / "routes.parquet"
+    for part in broken.glob(".*.crc"):
+        part.unlink()
+    for part in broken.glob("*.parquet"):
+        part.write_bytes(b"PAR1 no table")
+    report, counts = job(spark, bronze, str(tmp_path / "out"), rules=NO_RULES)
+    told = values(report, "snapshot_version", "table", "check", "column")
+    assert told == [
+        ("gtfs_fp2026_20260812", "stops", "missing_input", None), ("gtfs_fp2026_20260819", "trips", "missing_input", "route_id"),
+        ("gtfs_fp2026_20260826", "routes", "missing_input", None),
+    ]
+    detail = {r["table"]: r["detail"] for r in report.collect()}
+    assert detail["routes"] == "table routes is missing; needed by routes, internal_routes, crossing_routes, mixed_routes, agencies"
+    # BAD has no stop of the zone, so no rows
+    assert {v for (v, _), n in per_artifact(counts).items() if n} == set(GOOD)
+
+
+def test_a_version_that_fails_while_derived_is_reported(spark, bronze, tmp_path):
+    """Its footers can be read, its rows cannot."""
+    for part in (tmp_path / "bronze" / GOOD[0] / "stop_times.parquet").glob("*.parquet"):
+        data = bytearray(part.read_bytes())
+        data[4:60] = b"\xff" * 56
+        part.write_bytes(bytes(data))
+        (part.parent / f".{part.name}.crc").unlink()
+    report, counts = publish_each(spark, bronze, str(tmp_path / "out"), rules=NO_RULES)
+    assert values(report, "snapshot_version", "check") == [(GOOD[0], "derivation")]
+    assert {v for v, _ in per_artifact(counts)} == {GOOD[1], BAD}
+
+
+def test_lineage_names_all_artifacts(universe, spark):
+    extra = {"agency": "agency_id string", "calendar": "service_id string", "calendar_dates": "service_id string", "frequencies": "trip_id string"}
+    made = city_subset({**universe, **{n: spark.createDataFrame([], t) for n, t in extra.items()}})
+    assert sorted(made) == sorted(DERIVED_FROM) == sorted(dependents("stops"))
+    assert dependents("calendar") == ["calendar"] and "stops" not in dependents("stop_times")
 
 
 def test_command_line(bronze, tmp_path, capsys):

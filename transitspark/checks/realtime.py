@@ -489,7 +489,7 @@ def rt_bad_lines(spark, sf):
 @query(
     "rt_stream_window_delay",
     event_sql(
-        "SELECT route_id, window_start, updates, mean_delay_s, late_share FROM metrics "
+        "SELECT route_id, window_start, updates, mean_delay_s, p50_delay_s, p95_delay_s, late_share FROM metrics "
         "WHERE window_start + 21600 <= (SELECT MAX(hour_s) FROM stop_updates) - 600",
         _WINDOWED,
     ),
@@ -499,7 +499,7 @@ def rt_stream_window_delay(spark, sf):
     updates = _delays(realtime.trip_update_rows(_with_time(feed_rows(_stream(spark, sf)))))
     found = delays.streamed_delay_metrics(updates, ["route_id"], "6 hours", "10 minutes")
     table_ = _rounded(_drained(found, "metrics"))
-    return table_.select("route_id", "window_start", "updates", "mean_delay_s", "late_share")
+    return table_.select("route_id", "window_start", "updates", "mean_delay_s", "p50_delay_s", "p95_delay_s", "late_share")
 
 
 @query("rt_stream_deltas", _DELTAS)

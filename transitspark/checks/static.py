@@ -11,6 +11,7 @@ from transitspark.config import QualityRules
 from transitspark.functions.clock import clock_seconds
 from transitspark.operators import explore, rules, subset, summaries
 from transitspark.operators.graph import route_stops
+from transitspark.plans.static import replay_history
 from transitspark.session import scratch_path
 from transitspark.sources import members, publish, snapshots
 
@@ -228,6 +229,33 @@ def quality_report(spark, sf):
     return found.select("table", "check", "column", "observed", "detail")
 
 
+_REPLAYED = ("stops", "trips", "routes", "stop_times")
+
+
+@query(
+    "replay_report",
+    static_sql(
+        "SELECT v snapshot_version, 'rows' AS kind, a.* FROM (VALUES ('feed_20260805'), ('feed_20260819')) versions(v), "
+        "(SELECT 'stops' AS name, COUNT(*) AS value FROM zone UNION ALL SELECT 'trips', COUNT(*) FROM trip_classes "
+        "UNION ALL SELECT 'routes', COUNT(*) FROM route_classes "
+        "UNION ALL SELECT 'stop_times', COUNT(*) FROM stop_times WHERE trip_id IN (SELECT trip_id FROM profile)) a "
+        "UNION ALL SELECT 'feed_20260812', 'missing_input', 'stops', 1"
+    ),
+)
+def replay_report(spark, sf):
+    """Three versions derived in one pass, the second without stops: what is reported, and what is published."""
+    root = scratch_path(spark, "replay")
+    for version in ("feed_20260805", "feed_20260812", "feed_20260819"):
+        for name in (*_REPLAYED, "agency"):
+            if (version, name) != ("feed_20260812", "stops"):
+                publish.write_artifact(tables(spark, sf)[name], f"{root}/bronze/{version}", name)
+    lenient = QualityRules(required={}, bounds={}, foreign_keys=())
+    report, counts = replay_history(spark, f"{root}/bronze", f"{root}/history", PREFIX, lenient)
+    told = report.select("snapshot_version", F.col("check").alias("kind"), F.col("table").alias("name"), F.col("observed").alias("value"))
+    made = counts.where(F.col("artifact").isin(*_REPLAYED))
+    return told.unionByName(made.select("snapshot_version", F.lit("rows").alias("kind"), F.col("artifact").alias("name"), "value"))
+
+
 # --- exploration ------------------------------------------------------------------------------
 
 @query(
@@ -550,6 +578,24 @@ def csv_members(spark, sf):
     return publish.write_artifact(text, f"{folder}/out", "customer")
 
 
+@query(
+    "csv_line_breaks",
+    "SELECT CAST(c_custkey AS VARCHAR) c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || ', \"' || c_mktsegment || chr(10) "
+    "WHEN c_custkey % 3 = 1 THEN '5\" ' || c_name ELSE c_name END c_name FROM customer",
+)
+def csv_line_breaks(spark, sf):
+    """The customer table as a CSV member with line breaks, commas and quotes inside its fields."""
+    folder = scratch_path(spark, "members")
+    key, name = F.col("c_custkey"), F.col("c_name")
+    broken = F.concat(name, F.lit('\n, "'), "c_mktsegment", F.lit("\n"))
+    rows = table(spark, sf, "customer").select(
+        key.cast("string").alias("c_custkey"),
+        F.when(key % 3 == 0, broken).when(key % 3 == 1, F.concat(F.lit('5" '), name)).otherwise(name).alias("c_name"),
+    )
+    rows.write.options(header=True, escape='"', ignoreTrailingWhiteSpace=False).csv(f"{folder}/customer.txt")
+    return members.read_member(spark, f"{folder}/customer.txt")
+
+
 @query("published_subset", static_sql("SELECT route_id, agency_id, route_short_name FROM routes"))
 def published_subset(spark, sf):
     """Routes written aside, published under a version, found as the newest and read back."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transitspark.config import QualityRules
+from transitspark.operators.subset import dependents, wanted_inputs
 from transitspark.session import local_rows
 
 VERSION = "snapshot_version"
@@ -26,7 +27,7 @@ REPORT_SCHEMA = (
 )
 _PRESENT = T.StructType().add(VERSION, _S).add("present", T.ArrayType(_S))
 # room between the ordinals of two tables; keys are reported after every table
-_TABLE_STEP, _KEYS_FROM = 1_000, 1_000_000
+_TABLE_STEP, _KEYS_FROM, _INPUTS_FROM, _FAILED = 1_000, 1_000_000, 2_000_000, 3_000_000
 
 
 def column_profile(
@@ -157,6 +158,30 @@ def quality_report(
     return reduce(DataFrame.unionByName, parts)
 
 
+def missing_inputs(spark: SparkSession, layout: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """Report rows for the tables and columns the subset needs and a version does not have.
+
+    The detail names the artifacts that cannot be derived without it. One row per version and
+    missing table or column, from the layout alone; no table is read.
+    """
+    rows = []
+    for version, have in layout.items():
+        ordinal = _INPUTS_FROM
+        for name, columns in wanted_inputs(have).items():
+            lost = f"; needed by {', '.join(dependents(name))}"
+            for column in [None] if name not in have else [c for c in columns if c not in have[name]]:
+                what = f"table {name} is missing" if column is None else f"column {column} is missing"
+                rows.append((version, ordinal, name, "missing_input", column, 1, what + lost))
+                ordinal += 1
+    return local_rows(spark, REPORT_SCHEMA, rows)
+
+
+def failed_versions(spark: SparkSession, failures: dict[str, str]) -> DataFrame:
+    """Report rows for versions whose derivation ended in an error."""
+    rows = [(v, _FAILED, "*", "derivation", None, 1, text) for v, text in failures.items()]
+    return local_rows(spark, REPORT_SCHEMA, rows)
+
+
 def with_version(tables: dict[str, DataFrame], version: str) -> dict[str, DataFrame]:
     """The tables of one snapshot with its version as a column."""
     return {name: df.withColumn(VERSION, F.lit(version)) for name, df in tables.items()}

@@ -6,7 +6,7 @@ that the same plan works on one snapshot and on a whole history read as one tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,8 +103,38 @@ def rows_of(
     return table.join(right, keys, "left_semi").select(*table.columns)
 
 
-def require_inputs(have: Mapping[str, Sequence[str]], by: Sequence[str] = ()) -> None:
-    """A `MissingInput` if the tables, given by their columns, do not hold what the subset needs."""
+#: What each artifact is derived from: input tables, and artifacts before it.
+DERIVED_FROM: dict[str, tuple[str, ...]] = {
+    "stops": ("in:stops",),
+    "trip_ids": ("in:stop_times", "stops"),
+    "trips": ("in:trips", "trip_ids"),
+    "internal_trips": ("trips",),
+    "crossing_trips": ("trips",),
+    "routes": ("in:routes", "trips"),
+    "internal_routes": ("routes",),
+    "crossing_routes": ("routes",),
+    "mixed_routes": ("routes",),
+    "stop_times": ("in:stop_times", "trip_ids"),
+    "internal_stop_times": ("stop_times", "internal_trips"),
+    "crossing_stop_times": ("stop_times", "crossing_trips"),
+    "calendar": ("in:calendar", "trips"),
+    "calendar_dates": ("in:calendar_dates", "trips"),
+    "agencies": ("in:agency", "routes"),
+    "frequencies": ("in:frequencies", "trips"),
+}
+
+
+def dependents(table: str) -> list[str]:
+    """The artifacts that cannot be made without an input table, directly or not."""
+    lost: list[str] = []
+    for artifact, sources in DERIVED_FROM.items():  # sources come before what is made of them
+        if f"in:{table}" in sources or any(s in lost for s in sources):
+            lost.append(artifact)
+    return lost
+
+
+def wanted_inputs(have: Collection[str]) -> dict[str, list[str]]:
+    """The columns the subset needs of each table, if these tables are there; optional ones only where present."""
     trips, routes = ["trip_id", "route_id"], ["route_id"]
     if "calendar" in have or "calendar_dates" in have:
         trips.append("service_id")
@@ -112,8 +142,12 @@ def require_inputs(have: Mapping[str, Sequence[str]], by: Sequence[str] = ()) ->
         routes.append("agency_id")
     wanted = {"stops": ["stop_id", "stop_name"], "stop_times": ["trip_id", "stop_id"], "trips": trips, "routes": routes}
     optional = {"calendar": "service_id", "calendar_dates": "service_id", "agency": "agency_id", "frequencies": "trip_id"}
-    wanted |= {name: [column] for name, column in optional.items() if name in have}
-    for name, columns in wanted.items():
+    return wanted | {name: [column] for name, column in optional.items() if name in have}
+
+
+def require_inputs(have: Mapping[str, Sequence[str]], by: Sequence[str] = ()) -> None:
+    """A `MissingInput` if the tables, given by their columns, do not hold what the subset needs."""
+    for name, columns in wanted_inputs(have).items():
         need(have, name, *by, *columns)
 
 

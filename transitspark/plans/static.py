@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from transitspark.config import ZONE_PREFIX, MissingInput, QualityRules
 from transitspark.operators import rules as quality
-from transitspark.operators.subset import city_subset, require_inputs
+from transitspark.operators.subset import city_subset
 from transitspark.session import local_rows, rewritten, scratch_path
 from transitspark.sources import files, publish
 from transitspark.sources.snapshots import (
@@ -28,21 +30,29 @@ METRICS_SCHEMA = (
 )
 
 
+_INPUTS = ("stops", "stop_times", "trips", "routes", "calendar", "calendar_dates", "agency", "frequencies")
+
+Layout = dict[str, dict[str, list[str]]]
+
+
 def checked(
     spark: SparkSession, found: list[Snapshot], rules: QualityRules = QualityRules()
-) -> tuple[DataFrame, list[Snapshot]]:
-    """The rule report over all given snapshots, and those that keep every rule, oldest first.
+) -> tuple[DataFrame, list[Snapshot], Layout]:
+    """The report over all given snapshots, those of which it says nothing, oldest first, and what each has.
 
-    All versions are checked by one job; the report is written once and read from there.
+    All versions are checked by one job; the report is written once and read from there. A version
+    that lacks an input of the subset is in the report like one that breaks a rule.
     """
     ruled = {*rules.required, *rules.bounds}
     ruled.update(t for child, _, parent, _ in rules.foreign_keys for t in (child, parent))
-    layout = describe_history(spark, found, ruled)
-    rows = quality.quality_report(spark, load_history(spark, found), layout, rules)
-    report = rewritten(rows, "report")
+    layout = describe_history(spark, found, {*ruled, *_INPUTS})
+    checkable = {v: {n: c for n, c in have.items() if n in ruled} for v, have in layout.items()}
+    rows = quality.quality_report(spark, load_history(spark, found, checkable), checkable, rules)
+    needed = {v: {n: c for n, c in have.items() if n in _INPUTS} for v, have in layout.items()}
+    report = rewritten(rows.unionByName(quality.missing_inputs(spark, needed)), "report")
     versions = local_rows(spark, T.StructType().add(VERSION, T.StringType()), [(s.version,) for s in found])
     kept = {r[VERSION] for r in quality.passed_versions(versions, report).collect()}
-    return report, [s for s in found if s.version in kept]
+    return report, [s for s in found if s.version in kept], layout
 
 
 def publish_subset(
@@ -66,8 +76,16 @@ def publish_subset(
 def _publish_passed(
     spark: SparkSession, found: list[Snapshot], silver_root: str, prefix: str, rules: QualityRules
 ) -> tuple[DataFrame, DataFrame]:
-    report, kept = checked(spark, found, rules)
-    rows = [row for s in kept for row in publish_subset(spark, s, silver_root, prefix)]
+    """A version whose derivation fails is reported, and the next one goes on."""
+    report, kept, _ = checked(spark, found, rules)
+    rows, failures = [], {}
+    for snapshot in kept:
+        try:
+            rows += publish_subset(spark, snapshot, silver_root, prefix)
+        except (PySparkException, Py4JJavaError, MissingInput) as problem:
+            failures[snapshot.version] = str(problem).splitlines()[0]
+    if failures:
+        report = report.unionByName(quality.failed_versions(spark, failures))
     return report, local_rows(spark, METRICS_SCHEMA, rows)
 
 
@@ -104,23 +122,13 @@ def replay_history(
     """Every snapshot in one pass: the version is part of each key, nothing loops over versions.
 
     Writes one table per artifact below `history_root`, partitioned by version. Versions that
-    break a rule are left out of every artifact, also if an earlier run wrote them. Returns the
-    report and the rows per version and artifact. With many versions this replaces
-    `publish_each`, whose jobs are each too small to fill a cluster. A version that passes but
-    lacks a table or column the subset needs is an error before anything is written.
+    break a rule or lack a table or column the subset needs are in the report, with the artifacts that
+    depend on it, and are left out of every artifact, also if an earlier run wrote them; the others are published.
+    Returns the report and the rows per version and artifact. With many versions this replaces
+    `publish_each`, whose jobs are each too small to fill a cluster.
     """
     found = snapshots(spark, bronze_root)
-    report, kept = checked(spark, found, rules)
-    layout = describe_history(spark, kept, ("stops", "stop_times", "trips", "routes", "calendar", "calendar_dates", "agency", "frequencies"))
-    lacking = []
-    for version, have in layout.items():
-        try:
-            require_inputs(have)
-        except MissingInput as problem:
-            lacking.append(f"{version}: {problem}")
-    if lacking:
-        raise MissingInput("; ".join(lacking))
-
+    report, kept, layout = checked(spark, found, rules)
     passed = [s.version for s in kept]
     withdrawn = [s.version for s in found if s not in kept]
     if not kept:
@@ -128,7 +136,7 @@ def replay_history(
         return report, local_rows(spark, METRICS_SCHEMA, [])
     helpers = scratch_path(spark, "history")
     # only the files of versions that passed are read again
-    tables = load_history(spark, kept)
+    tables = load_history(spark, kept, layout)
 
     def stage(name: str, df: DataFrame) -> DataFrame:
         root = helpers if name.startswith("_") else history_root

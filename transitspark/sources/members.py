@@ -11,30 +11,22 @@ from pyspark.sql import types as T
 
 from transitspark.config import OPTIONAL_MEMBERS, REQUIRED_MEMBERS
 from transitspark.session import local_rows
-from transitspark.sources import files
-
-
-def _spans_lines(spark: SparkSession, path: str) -> bool:
-    """True if some quoted field holds a line break: a line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+from transitspark.sources import files, quoted
 
 
 def read_member(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV member with every column as text; a blank is null.
+    """A CSV member with every column as text; a blank is null. A row of the wrong width is an error.
 
-    Read line by line, so a large member is split over tasks; only a member that really has line
-    breaks inside quotes is read in one piece. A row of the wrong width is an error.
+    Read line by line, so a large member is split over tasks. One with line breaks inside quotes is split
+    too: `sources.quoted` finds out for each byte range whether it begins inside quotes.
     """
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-        .option("multiLine", _spans_lines(spark, path))
-        .csv(path)
-    )
+    options = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    if not quoted.spans_lines(spark, path):
+        return spark.read.options(**options).csv(path)
+    # only the header is read here
+    schema = spark.read.options(**options).option("multiLine", True).csv(path).schema
+    rows = quoted.records(quoted.text_lines(spark, path)).where("NOT first")
+    return quoted.parsed(rows, schema)
 
 
 def convert_members(spark: SparkSession, csv_dir: str, out_dir: str) -> list[str]:

@@ -7,6 +7,8 @@ from collections.abc import Collection
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,33 +61,48 @@ def load_tables(spark: SparkSession, snapshot: Snapshot) -> dict[str, DataFrame]
 
 
 def describe_history(
-    spark: SparkSession, found: list[Snapshot], names: Collection[str]
+    spark: SparkSession, found: list[Snapshot], names: Collection[str] | None = None
 ) -> dict[str, dict[str, list[str]]]:
-    """Which of the named tables each snapshot has, and with which columns.
+    """Which tables (or which of the named ones) each snapshot has, and with which columns.
 
     A table read over all snapshots has every column any of them has, so what one of them lacks
-    shows only here. Reads footers, several files at a time.
+    shows only here. Reads footers, several files at a time. A table that cannot be opened
+    counts as not there, so one broken file costs its own version only.
     """
     wanted = [
         (s.version, name, path)
         for s in found
         for name, path in table_paths(spark, s).items()
-        if name in names
+        if names is None or name in names
     ]
+
+    def columns_of(item: tuple[str, str, str]) -> list[str] | None:
+        try:
+            return list(spark.read.parquet(item[2]).columns)
+        except (PySparkException, Py4JJavaError):
+            return None
+
     with ThreadPoolExecutor(8) as pool:
-        columns = list(pool.map(lambda item: list(spark.read.parquet(item[2]).columns), wanted))
+        columns = list(pool.map(columns_of, wanted))
     layout: dict[str, dict[str, list[str]]] = {s.version: {} for s in found}
     for (version, name, _), have in zip(wanted, columns):
-        layout[version][name] = have
+        if have is not None:
+            layout[version][name] = have
     return layout
 
 
-def load_history(spark: SparkSession, found: list[Snapshot]) -> dict[str, DataFrame]:
-    """Each table of all snapshots as one DataFrame with a `snapshot_version` column."""
+def load_history(
+    spark: SparkSession, found: list[Snapshot], layout: dict[str, dict[str, list[str]]] | None = None
+) -> dict[str, DataFrame]:
+    """Each table of all snapshots as one DataFrame with a `snapshot_version` column.
+
+    With a `layout`, only the tables it names.
+    """
     paths: dict[str, list[str]] = {}
     for snapshot in found:
         for name, path in table_paths(spark, snapshot).items():
-            paths.setdefault(name, []).append(path)
+            if layout is None or name in layout[snapshot.version]:
+                paths.setdefault(name, []).append(path)
     history = {}
     for name in sorted(paths):
         df = spark.read.option("mergeSchema", "true").parquet(*paths[name])
