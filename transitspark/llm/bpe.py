@@ -1,23 +1,28 @@
 """Byte-level BPE over one table of the corpus's distinct words.
 
-Texts are split into words by the tokenizer's own pattern. Neighbouring rows form blocks of `BLOCK_WORDS`
+Spark splits texts into words by the tokenizer's own pattern. Neighbouring rows form blocks of `BLOCK_WORDS`
 words; a block lists each of its words once, frequent ones first, and a text becomes its places in that
 list. The lists are dealt by the words' hash into as many parts as Spark shuffles into: all blocks' lists of a part
 meet in one task, which encodes each distinct word of that part once and hands every list its ids.
 Joined by block again, the places of a text pick its ids. A word crosses the network once for each block that
 holds it, and a frequent word is one entry of a block like any other; texts do not cross it at all. A task holds the
-distinct words of one part, as a hash aggregate would. Decoding joins ids with the pieces of the vocabulary.
+distinct words of one part, as a hash aggregate would.
+
+Decoding is a join of ids with the pieces of the vocabulary: `decode` joins every place of every text; `round_trip`
+joins the distinct ids of each block, and the texts of the block pick their pieces. The pieces, as many as the
+vocabulary has, are the side that is broadcast.
 
 Blocks are built twice, for their lists and for their places, so `docs` must give its rows in the same order
 whenever it is read, as a table does. A block's name holds a digest of its list: were the order to change in between,
 the names would not meet and the job would fail; its results are never wrong.
 
 The pattern's classes are stated for characters below U+0250, where no version of Unicode differs; a text
-with others is split by the tokenizer itself. The special token's string in a text is the special
+with others is split by the tokenizer itself, as is one with the special token's string, which is the special
 token, as the tokenizer reads it.
 
 Defined results: null and empty texts have no ids and decode to an empty text; every row gives one row;
-ids of documents may be null; other columns are left out by the digests and carried along by `encode`.
+ids of documents may be null; other columns are left out by the digests and carried along by `encode`. An id
+without a piece ends the job.
 """
 
 from __future__ import annotations
@@ -29,11 +34,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from transitspark.session import local_rows, rewritten
 
 BLOCK_WORDS = 1_000_000
 
@@ -41,6 +50,8 @@ BLOCK_WORDS = 1_000_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
+FOREIGN = r"[^\x00-\u024F]"
+
 
 def vocabulary(path: str) -> str:
     """The tokenizer's file with truncation and padding off; a few MB, read once by the driver."""
@@ -66,7 +77,7 @@ class Splitter:
         self.special = {t["content"] for t in json.loads(spec)["added_tokens"]}
         self.word = regex.compile(WORD)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.foreign = regex.compile(r"[^\x00-ɏ]")
+        self.foreign = regex.compile(FOREIGN)
 
     def words(self, text: str) -> list[str]:
         split = self._by_tokenizer if self.foreign.search(text) else self.word.findall
@@ -82,14 +93,6 @@ class Splitter:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-class _Numbers(dict):
-    """Numbers words by first appearance."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = len(self)
-        return self[word]
-
-
 def packed(places: np.ndarray) -> bytes:
     """Numbers in groups of seven bits, low ones first; all but the last byte of a number have the high bit set."""
     places = places.astype(np.uint32)
@@ -116,56 +119,73 @@ class Block:
     """Words of neighbouring rows."""
 
     def __init__(self) -> None:
-        self._numbers, self._texts, self.words = _Numbers(), [], 0
-
-    def add(self, words: list[str]) -> None:
-        self._texts.append(np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words)))
-        self.words += len(words)
-
-    def listed(self, at: tuple[int, int]) -> tuple[int, list[str], Iterator[bytes]]:
-        """Its name, its words by falling frequency, and the places of each text in that list, made when asked for."""
-        counts = np.bincount(np.concatenate(self._texts), minlength=len(self._numbers))
+        self._numbers: dict[str, int] = {}
+        self._codes, self._sizes, self.words = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+
+    def add(self, texts: pa.ListArray) -> None:
+        flat = texts.flatten().dictionary_encode()
+        number = self._numbers
+        of = np.fromiter((number.setdefault(w, len(number)) for w in flat.dictionary.to_pylist()), np.int32, len(flat.dictionary))
+        self._codes.append(of[np.asarray(flat.indices)])
+        self._sizes.append(np.diff(np.asarray(texts.offsets)))
+        self.words += len(flat)
+
+    def listed(self, at: tuple[int, int]) -> tuple[int, list[str], np.ndarray, np.ndarray]:
+        """Its name, its words by falling frequency, the places of its texts in that list, and how many each text has."""
+        codes = np.concatenate(self._codes)
+        counts = np.bincount(codes, minlength=len(self._numbers))
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         by_number = list(self._numbers)
         words = [by_number[i] for i in order]
         name = hashlib.blake2b(f"{at} {self.words} ".encode() + "\0".join(words).encode(), digest_size=8).digest()
-        return int.from_bytes(name, "little", signed=True), words, (packed(rank[t]) for t in self._texts)
+        return int.from_bytes(name, "little", signed=True), words, rank[codes], np.concatenate(self._sizes)
 
 
-class Decoder:
-    """Texts of ids: each id joined with its piece's bytes."""
+def _one_thread() -> None:
+    import os
 
-    def __init__(self, spec: str) -> None:
-        spec = json.loads(spec)
-        byte = _byte_of()
-        self.piece = {i: bytes(byte[c] for c in w) for w, i in spec["model"]["vocab"].items()}
-        self.piece |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-    def text(self, ids: list[int]) -> str:
-        return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
 
+def _split(texts: DataFrame, spec: str) -> DataFrame:
+    """(words, text, row): the words Spark split, or the text where the tokenizer itself must split. `texts`: text, row."""
+    text = F.coalesce("text", F.lit(""))
+    plain = ~text.rlike(FOREIGN)
+    for token in json.loads(spec)["added_tokens"]:
+        plain = plain & ~text.contains(token["content"])
+    return texts.select(F.when(plain, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("words"), F.when(~plain, text).alias("text"), "row")
 
-def _one_thread() -> None:
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _words(batch: pa.RecordBatch, splitter: Splitter) -> pa.ListArray:
+    """The words of each row."""
+    words, kind, parts, first = batch.column(0), pa.list_(pa.string()), [], 0
+    words = words.cast(kind)
+    for i in np.flatnonzero(np.asarray(words.is_null())).tolist():
+        parts += [words[first:i], pa.array([splitter.words(batch.column(1)[i].as_py())], kind)]
+        first = i + 1
+    return pa.concat_arrays([*parts, words[first:]]) if parts else words
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], splitter: Splitter, size: int) -> Iterator[tuple[Block, tuple[int, int], list[pa.Array]]]:
-    """Blocks of rows (text, row), their number in the task, and their row columns."""
+    """Blocks of rows (words, text, row), their number in the task, and their row columns."""
     partition, number = TaskContext.get().partitionId(), 0
     block, rows = Block(), []
     for batch in batches:
-        first = 0
-        for i, text in enumerate(batch.column(0)):
-            block.add(splitter.words(text.as_py() or ""))
-            if block.words >= size:
-                yield block, (partition, number), [*rows, batch.column(1)[first : i + 1]]
-                block, rows, number, first = Block(), [], number + 1, i + 1
-        rows.append(batch.column(1)[first:])
-    if sum(map(len, rows)):
+        words, first = _words(batch, splitter), 0
+        upto = np.cumsum(np.diff(np.asarray(words.offsets)))
+        while first < len(words):
+            done = int(upto[first - 1]) if first else 0
+            end = int(np.searchsorted(upto, done + size - block.words)) + 1  # the row that fills the block
+            full, end = end <= len(words), min(end, len(words))
+            block.add(words[first:end])
+            rows.append(batch.column(2)[first:end])
+            if full:
+                yield block, (partition, number), rows
+                block, rows, number = Block(), [], number + 1
+            first = end
+    if rows:
         yield block, (partition, number), rows
 
 
@@ -186,7 +206,7 @@ def block_words(texts: DataFrame, spec: str, size: int = BLOCK_WORDS) -> DataFra
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, at, _ in _blocks(batches, Splitter(spread.value), size):
-            name, listed, _ = block.listed(at)
+            name, listed, _, _ = block.listed(at)
             listed = [w.encode() for w in listed]
             part = np.fromiter(map(zlib.crc32, listed), np.int64, len(listed)) % parts
             by_part = np.argsort(part, kind="stable")
@@ -197,104 +217,156 @@ def block_words(texts: DataFrame, spec: str, size: int = BLOCK_WORDS) -> DataFra
             binary = [pa.array([o[c] for o in out], pa.binary()) for c in range(3)]
             yield pa.record_batch([np.full(len(found), name), pa.array(found, pa.int32()), *binary], ["block", "part", "places", "lengths", "words"])
 
-    return texts.mapInArrow(words, "block long, part int, places binary, lengths binary, words binary")
+    return _split(texts.select("text", F.lit(0).alias("row")), spec).mapInArrow(words, "block long, part int, places binary, lengths binary, words binary")
 
 
 def block_places(texts: DataFrame, spec: str, size: int = BLOCK_WORDS) -> DataFrame:
-    """(block, places, row): the places of each text in the list of its block. `texts`: text, row."""
+    """(block, sizes, places, rows): one row for each block, the places of its texts in its list. `texts`: text, row."""
     spread = texts.sparkSession.sparkContext.broadcast(spec)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, at, rows in _blocks(batches, Splitter(spread.value), size):
-            name, _, of = block.listed(at)
-            of = pa.array(list(of), pa.binary())
-            yield pa.record_batch([np.full(len(of), name), of, pa.concat_arrays(rows)], ["block", "places", "row"])
+            name, _, places, sizes = block.listed(at)
+            rows = pa.concat_arrays(rows)
+            binary = [pa.array([x], pa.binary()) for x in (packed(sizes), zlib.compress(packed(places), 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), *binary, pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], ["block", "sizes", "places", "rows"])
+
+    row = texts.schema["row"].dataType
+    return _split(texts, spec).mapInArrow(places, T.StructType.fromDDL("block long, sizes binary, places binary").add("rows", T.ArrayType(row)))
 
-    return texts.mapInArrow(places, T.StructType([T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType()), texts.schema["row"]]))
 
+def word_ids(listed: DataFrame, spec: str, distinct: bool = False) -> DataFrame:
+    """(block, places, lengths, ids, id) of what `block_words` gives; each distinct word is encoded once.
 
-def word_ids(listed: DataFrame, spec: str) -> DataFrame:
-    """(block, places, lengths, ids) of what `block_words` gives; each distinct word is encoded once."""
+    With `distinct`, rows that hold nothing but `block` and `id` follow, one for each id in a row before.
+    """
     spread = listed.sparkSession.sparkContext.broadcast(spec)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _one_thread()
         splitter, of, table = Splitter(spread.value), None, {}
         for batch in batches:
-            out = []
-            for part, lengths, words in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4))):
+            out, seen = [], []
+            for block, part, lengths, words in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4))):
                 if part != of:
                     of, table = part, {}
                 words = _unparcel(lengths, words)
                 new = [w for w in words if w not in table]
                 table.update(zip(new, splitter.encoded([w.decode() for w in new])))
-                out.append(_parcel([table[w] for w in words]))
-            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([o[c] for o in out], pa.binary()) for c in (0, 1))], ["block", "places", "lengths", "ids"])
+                found = [table[w] for w in words]
+                out.append(_parcel(found))
+                if distinct:
+                    seen.append((block, np.unique(np.frombuffer(b"".join(found), "<i4"))))
+            n = batch.num_rows
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([o[c] for o in out], pa.binary()) for c in (0, 1)), pa.nulls(n, pa.int32())], _CODED)
+            for block, own in seen:
+                none = [pa.nulls(len(own), pa.binary())] * 3
+                yield pa.record_batch([pa.array(np.full(len(own), block)), *none, pa.array(own, pa.int32())], _CODED)
 
     by_part = listed.repartition("part").sortWithinPartitions("part")
-    return by_part.mapInArrow(ids, "block long, places binary, lengths binary, ids binary")
+    return by_part.mapInArrow(ids, "block long, places binary, lengths binary, ids binary, id int")
 
 
-def encode(docs: DataFrame, spec: str, keep: Sequence[str] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
-    """The columns of `docs` (or those of `keep`) and `ids` (array of int), the ids of `text`."""
-    columns = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    text = F.col("text").cast("string").alias("text")
-    texts = docs.select(text, F.struct(*columns).alias("row"))
-    listed = block_words(docs.select(text, F.lit(0).alias("row")), spec, size)
+_CODED = ["block", "places", "lengths", "ids", "id"]
+
+
+def pieces_of(docs: DataFrame, spec: str) -> DataFrame:
+    """(id, piece): the bytes of every id of the vocabulary."""
+    spec = json.loads(spec)
+    byte = _byte_of()
+    piece = {i: bytes(byte[c] for c in w) for w, i in spec["model"]["vocab"].items()}
+    piece |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return local_rows(docs.sparkSession, T.StructType.fromDDL("id int, piece binary"), list(piece.items()))
 
-    def ids(texts: pa.Table, words: pa.Table) -> pa.Table:
-        at = [np.cumsum(unpacked(p)) for p in words["places"].to_pylist()]
-        at = np.concatenate([np.zeros(0, np.int64), *at])
+
+class _Coded:
+    """The word list of a block: the ids of each word, and the pieces of its ids."""
+
+    def __init__(self, words: pa.Table) -> None:
+        parcels = words.filter(pc.is_valid(words["places"]))
+        at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpacked(p)) for p in parcels["places"].to_pylist())])
         table = [b""] * len(at)
-        entries = (i for row in zip(words["lengths"].to_pylist(), words["ids"].to_pylist()) for i in _unparcel(*row))
+        entries = (i for row in zip(parcels["lengths"].to_pylist(), parcels["ids"].to_pylist()) for i in _unparcel(*row))
         for place, entry in zip(at.tolist(), entries):
             table[place] = entry
-        flat = np.frombuffer(b"".join(table), "<i4")
-        length = np.fromiter((len(w) // 4 for w in table), np.int64, len(table))
-        first = np.cumsum(length) - length
-        found, ends = [np.zeros(0, np.int32)], [0]
-        for places in texts["places"]:
-            at = unpacked(places.as_py())
-            if len(at) and at.max() >= len(table):
-                raise RuntimeError("the documents came in another order when read again; write them to a table first")
-            n = length[at]
-            found.append(flat[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-            ends.append(ends[-1] + len(found[-1]))
-        return pa.table({"row": texts["row"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))})
-
-    shape = T.StructType([texts.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    placed, coded = block_places(texts, spec, size), word_ids(listed, spec)
-    return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(ids, shape).select("row.*", "ids")
+        self.flat = np.frombuffer(b"".join(table), "<i4")
+        self.length = np.fromiter((len(w) // 4 for w in table), np.int64, len(table))
+        self.first = np.cumsum(self.length) - self.length
+
+    def ids(self, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, and where each text's end."""
+        if len(places) and places.max() >= len(self.length):
+            raise RuntimeError("the documents came in another order when read again; write them to a table first")
+        n = self.length[places]
+        done = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(self.first[places] - done[:-1], n) + np.arange(done[-1])], done[np.concatenate([[0], np.cumsum(sizes)])]
+
+    @staticmethod
+    def decoded(ids: np.ndarray, ends: np.ndarray, words: pa.Table) -> pa.Array:
+        """Texts of ids by the pieces that came with the word list."""
+        joined = words.filter(pc.is_valid(words["id"]))
+        own, first = np.unique(np.asarray(joined["id"]), return_index=True)
+        piece = joined["piece"].combine_chunks().take(pa.array(first))
+        data, at = b"".join(piece.to_pylist()), np.concatenate([[0], np.cumsum([len(p) for p in piece.to_pylist()])])
+        which = np.searchsorted(own, ids)
+        n = np.diff(at)[which]
+        done = np.concatenate([[0], np.cumsum(n)])
+        out = np.frombuffer(data, np.uint8)[np.repeat(at[which] - done[:-1], n) + np.arange(done[-1])].tobytes()
+        bounds = done[ends].tolist()
+        return pa.array([out[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+
+
+def _joined(docs: DataFrame, spec: str, keep: Sequence[str], size: int, back: bool) -> DataFrame:
+    """(row, ids, decoded): the columns `keep` of every row, the ids of `text`, and if `back` their text."""
+    text = F.col("text").cast("string").alias("text")
+    texts = docs.select(text, F.struct(*keep).alias("row"))
+    coded = word_ids(block_words(docs.select(text), spec, size), spec, back)
+    if back:
+        # rows of word lists have no id and pass through
+        coded = coded.join(F.broadcast(pieces_of(docs, spec)), "id", "left")
+
+    def picked(texts: pa.Table, words: pa.Table) -> pa.Table:
+        table = _Coded(words)
+        out = []
+        for sizes, places, rows in zip(texts["sizes"].to_pylist(), texts["places"].to_pylist(), texts["rows"]):
+            ids, ends = table.ids(unpacked(zlib.decompress(places)), unpacked(sizes))
+            decoded = table.decoded(ids, ends, words) if back else pa.nulls(len(ends) - 1, pa.string())
+            out.append(pa.table({"row": rows.values, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), "decoded": decoded}))
+        return pa.concat_tables(out) if out else shape_arrow.empty_table()
+
+    shape = T.StructType([texts.schema["row"]]).add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+    shape_arrow = to_arrow_schema(shape)
+    return block_places(texts, spec, size).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(picked, shape)
 
 
-def decode(encoded: DataFrame, spec: str) -> DataFrame:
-    """The columns of `encoded` and `decoded`, the text of `ids`."""
-    spread = encoded.sparkSession.sparkContext.broadcast(spec)
+def encode(docs: DataFrame, spec: str, keep: Sequence[str] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
+    """The columns of `docs` (or those of `keep`) and `ids` (array of int), the ids of `text`."""
+    columns = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    return _joined(docs, spec, columns, size, False).select("row.*", "ids")
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(spread.value)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            ids, ends = np.asarray(column.values), column.offsets.to_pylist()
-            out = [decoder.text(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
-    columns = [c for c in encoded.columns if c not in ("ids", "decoded")]
-    rows = encoded.select(*columns, "ids")
-    return rows.mapInArrow(texts, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+def round_trip(docs: DataFrame, spec: str, keep: Sequence[str] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
+    """As `encode`, and `decoded`, the text of the ids."""
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
+    return _joined(docs, spec, columns, size, True).select("row.*", "ids", "decoded")
 
 
-def digests(docs: DataFrame, spec: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, by `encode` and `decode`."""
+def decode(encoded: DataFrame, spec: str) -> DataFrame:
+    """The columns of `encoded` and `decoded`, the text of `ids`: every id is joined with its piece, wherever the ids come from."""
+    columns = [c for c in encoded.columns if c != "decoded"]
+    rows = rewritten(encoded.select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__all")), "encoded")
+    tokens = rows.select("__row", F.posexplode("__all.ids").alias("at", "id")).join(F.broadcast(pieces_of(encoded, spec)), "id", "left")
+    piece = F.coalesce(F.col("piece").cast("string"), F.raise_error(F.concat(F.lit("no piece of id "), F.col("id"))))
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))), lambda t: t["piece"])
+    texts = tokens.groupBy("__row").agg(F.make_valid_utf8(F.array_join(inside, "")).alias("decoded"))
+    back = rows.join(texts, "__row", "left").select("__all.*", F.coalesce("decoded", F.lit("")).alias("decoded"))
+    return back.select(*columns, "decoded")
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, texts = batch.column(1), batch.column(2)
-            ids, ends = np.asarray(column.values, np.uint32), np.asarray(column.offsets)
-            ids_sha = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
-            text_sha = [hashlib.sha256(t.as_buffer() or b"").hexdigest() for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    back = decode(encode(rows, spec, keep=["doc_id"]), spec)
-    return back.select("doc_id", "ids", "decoded").mapInArrow(of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digests(docs: DataFrame, spec: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, by `round_trip`."""
+    rows = round_trip(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spec, keep=["doc_id"])
+    # an id as eight hexadecimal digits, low byte first
+    swapped = lambda i: F.shiftleft(i.bitwiseAND(0xFF), 24).bitwiseOR(F.shiftleft(i.bitwiseAND(0xFF00), 8)).bitwiseOR(F.shiftright(i, 8).bitwiseAND(0xFF00)).bitwiseOR(F.shiftrightunsigned(i, 24))
+    little = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(swapped(i).cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from transitspark.llm.text import Piece, pieces, words
 
 SAMPLE_ROWS, BUCKET_BITS, SWITCH, FLOOR = 3000, 14, 12.0, 8.0
+#: Words times languages that are walked side by side, padding included; a longer text is walked alone.
+WALK_CELLS = 1 << 20
 UNKNOWN = "und"
 
 # What separates words, and the script that a character's first byte tells (0: none).
@@ -112,10 +114,14 @@ class Model:
             hard[i] = (run - low).max() > SWITCH / 2
         todo = some[hard]
         todo = todo[np.argsort(-np.diff(of)[todo], kind="stable")]
-        for a in range(0, len(todo), 64):
-            part = todo[a : a + 64]
+        a = 0
+        while a < len(todo):
+            # texts side by side are padded to the longest, so what they hold together is bounded
+            longest = int(of[todo[a] + 1] - of[todo[a]])
+            part = todo[a : a + max(1, min(64, WALK_CELLS // (longest * len(scores))))]
             for t, path in zip(part, self._walk([scores[:, of[t] : of[t + 1]] for t in part])):
                 label[of[t] : of[t + 1]] = path
+            a += len(part)
         return label
 
     @staticmethod
@@ -222,12 +228,13 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """(row: all columns of `docs`, lang_pred, score, spans: array of lang, start and end byte)."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
     span = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [x for p in pieces(batch.column(1)) for x in label_piece(spread.value, p)]
+            text = batch.column(0).field("text").cast(pa.string())
+            out = [x for p in pieces(text) for x in label_piece(spread.value, p)]
             spans = [[dict(zip(("lang", "start", "end"), s)) for s in x[2]] for x in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array(spans, kind)], ["row", "lang_pred", "score", "spans"])
 

@@ -2,12 +2,14 @@
 
 A `Piece` is a run of consecutive rows of one Arrow batch with about `PIECE_BYTES` of text, so the memory
 of a task does not grow with its batch. A single longer text is a piece of its own. Null texts have no
-words. Hashes are polynomials modulo 2**64 over randomised bytes, so the hash of any span is the
-difference of two prefix sums; where results must be exact, two independent hashes or the text decide.
+words. A word of up to `LANES` bytes is hashed by mixing its eight-byte lanes one after another, a longer one by
+BLAKE2b; neither is a polynomial, so no pattern of letters makes two words equal. A span of words is a polynomial
+modulo 2**64 over word hashes, the difference of two prefix sums; spans are short (windows, shingles, items).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,9 @@ import pyarrow as pa
 PIECE_BYTES = 1 << 20
 
 U = np.uint64
-_BYTE_STEP, _WORD_STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
+_WORD_STEP, _LANE_STEP, _LANE_SALT = 0xD1342543DE82EF95 | 1, 0x9E3779B97F4A7C15 | 1, 0xA0761D6478BD642F
+#: Bytes of a word that are mixed lane by lane.
+LANES = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,12 +66,29 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
 
-def byte_values(fold: bool, seed: int = 0) -> np.ndarray:
-    """A random value for each byte; with `fold`, A-Z get those of a-z."""
-    table = mix(np.arange(1, 257, dtype=np.uint64) + U(seed * 1000))
-    if fold:
-        table[65:91] = table[97:123]
-    return table
+#: A-Z as a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+    """Hashes of words, given by the bytes they begin and end at; with `fold`, A-Z count as a-z."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if fold else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    left = end - start
+    out = mix(left.astype(np.uint64) * U(_WORD_STEP) + U(_LANE_SALT))
+    at = np.flatnonzero(left <= LANES)
+    place, left = start[at], left[at]
+    while len(at):
+        lane = eight[place] & _LANE_MASK[np.minimum(left, 8)]
+        out[at] = mix(out[at] * U(_LANE_STEP) ^ mix(lane + U(_LANE_SALT)))
+        more = left > 8
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    for i in np.flatnonzero(end - start > LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 #: Bytes that are no part of a word: white space; or every ASCII byte but letters and digits.
@@ -123,7 +144,7 @@ class Words:
         return Spans(self.hash, _WORD_STEP)
 
 
-def words(piece: Piece, breaks: np.ndarray, fold: bool, seed: int = 0) -> Words:
+def words(piece: Piece, breaks: np.ndarray, fold: bool) -> Words:
     data, n = piece.data, len(piece.data)
     inside = ~breaks[data]
     cut = np.zeros(n + 1, bool)
@@ -134,9 +155,7 @@ def words(piece: Piece, breaks: np.ndarray, fold: bool, seed: int = 0) -> Words:
     after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (cut[1:] | ~after)) + 1
-    spans = Spans(byte_values(fold, seed)[data], _BYTE_STEP)
-    size = (end - start).astype(np.uint64)
-    return Words(start, end, np.searchsorted(start, piece.at), mix(spans.of(start, end) + size * U(_WORD_STEP)))
+    return Words(start, end, np.searchsorted(start, piece.at), word_hashes(data, start, end, fold))
 
 
 def window_starts(of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
