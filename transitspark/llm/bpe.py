@@ -1,6 +1,6 @@
 """Byte-level BPE over one table of the corpus's distinct words.
 
-Spark splits texts into words by the tokenizer's own pattern. Neighbouring rows form blocks of `BLOCK_WORDS`
+Tasks split texts into words by the tokenizer's own pattern, on Arrow buffers. Neighbouring rows form blocks of `BLOCK_WORDS`
 words; a block lists each of its words once, frequent ones first, and a text becomes its places in that
 list. The lists are dealt by the words' hash into as many parts as Spark shuffles into: all blocks' lists of a part
 meet in one task, which encodes each distinct word of that part once and hands every list its ids.
@@ -8,15 +8,15 @@ Joined by block again, the places of a text pick its ids. A word crosses the net
 holds it, and a frequent word is one entry of a block like any other; texts do not cross it at all. A task holds the
 distinct words of one part, as a hash aggregate would.
 
-Decoding is a join of ids with the pieces of the vocabulary: `decode` joins every place of every text; `round_trip`
-joins the distinct ids of each block, and the texts of the block pick their pieces. The pieces, as many as the
-vocabulary has, are the side that is broadcast.
+`decode` joins every id of every text with its piece in the vocabulary, wherever the ids come from. `round_trip`, which has
+the ids of a whole block in one task, picks their pieces there: a join on the distinct ids of a block was built and
+measured, and its rows outgrew the budget (README).
 
 Blocks are built twice, for their lists and for their places, so `docs` must give its rows in the same order
 whenever it is read, as a table does. A block's name holds a digest of its list: were the order to change in between,
 the names would not meet and the job would fail; its results are never wrong.
 
-The pattern's classes are stated for characters below U+0250, where no version of Unicode differs; a text
+The pattern's classes are tabled for characters below U+0250, where no version of Unicode differs; a text
 with others is split by the tokenizer itself, as is one with the special token's string, which is the special
 token, as the tokenizer reads it.
 
@@ -34,7 +34,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from transitspark.llm.text import Piece, pieces
 from transitspark.session import local_rows, rewritten
 
 BLOCK_WORDS = 1_000_000
@@ -67,6 +67,46 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_LETTER, _NUMBER, _WHITE, _OTHER = range(4)
+#: The class of each character below U+0250.
+_KIND = np.array([_WHITE if regex.match(f"[{_SPACE}]", c) else _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _OTHER for c in map(chr, range(0x250))], np.int8)
+
+
+def word_starts(p: Piece) -> np.ndarray:
+    """Where the words of texts without foreign characters begin, in bytes: `WORD` for all texts of a piece at once."""
+    at = np.flatnonzero(p.data & 0xC0 != 0x80)
+    lead = p.data[at].astype(np.int32)
+    wide = lead >= 0xC0
+    code = lead.copy()
+    code[wide] = (lead[wide] & 0x1F) << 6 | p.data[np.minimum(at[wide] + 1, len(p.data) - 1)] & 0x3F
+    kind = _KIND[np.minimum(code, 0x24F)]
+    n = len(at)
+    first = np.zeros(n + 1, bool)  # of a text
+    first[np.searchsorted(at, p.at)] = True
+    begins = first[:n].copy()
+    begins[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(begins)
+    end = np.append(run[1:], n)
+    # white space before something else: its last character stands alone, or goes with what follows if it is a blank
+    white = (kind[run] == _WHITE) & ~first[end]
+    last = end[white] - 1
+    begins[last] = True
+    blank = code[last] == 32
+    begins[last[blank] + 1] = False
+    # an apostrophe with no blank before it, and an ending after it
+    mark = np.flatnonzero((kind[run[:-1]] == _OTHER) & (end[:-1] - run[:-1] == 1) & (code[run[:-1]] == 39) & begins[run[:-1]] & (kind[run[1:]] == _LETTER) & ~first[run[1:]])
+    start, stop = run[mark] + 1, end[mark + 1]
+    one = code[start]
+    two = np.where(stop - start > 1, code[np.minimum(start + 1, n - 1)], 0)
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = (two == ord("e")) & ((one == ord("r")) | (one == ord("v"))) | (two == ord("l")) & (one == ord("l"))
+    cut = short | long
+    begins[start[cut]] = False
+    after = start[cut] + 1 + long[cut]
+    begins[after[after < stop[cut]]] = True
+    return at[begins]
+
+
 class Splitter:
     """Words of texts whose ids do not depend on what stands around them."""
 
@@ -80,6 +120,7 @@ class Splitter:
         self.foreign = regex.compile(FOREIGN)
 
     def words(self, text: str) -> list[str]:
+        """The words of one text, of any characters."""
         split = self._by_tokenizer if self.foreign.search(text) else self.word.findall
         if self.cut is None or not self.cut.search(text):
             return split(text)
@@ -88,6 +129,30 @@ class Splitter:
     def _by_tokenizer(self, text: str) -> list[str]:
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    def of_piece(self, p: Piece) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts of a piece, one after another, and how many each text has."""
+        odd = np.flatnonzero(p.data >= 0xCA).tolist() + np.flatnonzero((p.data[:-1] == 0xC9) & (p.data[1:] >= 0x90)).tolist()
+        odd = set((np.searchsorted(p.at, np.array(odd, np.int64), "right") - 1).tolist())
+        whole = p.data.tobytes()
+        for token in (t.encode() for t in self.special):
+            i = whole.find(token)
+            while i >= 0:
+                odd.add(int(np.searchsorted(p.at, i, "right")) - 1)
+                i = whole.find(token, i + 1)
+        start = word_starts(p)
+        of = np.searchsorted(start, p.at)
+        offsets = np.append(start, len(p.data)).astype(np.int64)
+        flat = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(whole)).dictionary_encode()
+        sizes = np.diff(of)
+        if not odd:
+            return flat, sizes
+        flat, parts, first = flat.dictionary_decode(), [], 0
+        for i in sorted(odd):
+            own = self.words(p.text(i).decode())
+            parts += [flat[first : of[i]], pa.array(own, pa.large_string())]
+            first, sizes[i] = int(of[i + 1]), len(own)
+        return pa.concat_arrays([*parts, flat[first:]]).dictionary_encode(), sizes
+
     def encoded(self, words: list[str]) -> list[bytes]:
         """Ids of words as little-endian unsigned 32-bit integers."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -122,13 +187,16 @@ class Block:
         self._numbers: dict[str, int] = {}
         self._codes, self._sizes, self.words = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
 
-    def add(self, texts: pa.ListArray) -> None:
-        flat = texts.flatten().dictionary_encode()
-        number = self._numbers
-        of = np.fromiter((number.setdefault(w, len(number)) for w in flat.dictionary.to_pylist()), np.int32, len(flat.dictionary))
-        self._codes.append(of[np.asarray(flat.indices)])
-        self._sizes.append(np.diff(np.asarray(texts.offsets)))
-        self.words += len(flat)
+    def add(self, words: pa.DictionaryArray, sizes: np.ndarray) -> None:
+        """More texts: their words one after another, and how many each has."""
+        number, used = self._numbers, np.asarray(words.indices)
+        seen, where = np.unique(used, return_index=True)
+        seen = seen[np.argsort(where)]  # by first appearance
+        of = np.zeros(len(words.dictionary), np.int32)
+        of[seen] = np.fromiter((number.setdefault(w, len(number)) for w in words.dictionary.take(pa.array(seen)).to_pylist()), np.int32, len(seen))
+        self._codes.append(of[used])
+        self._sizes.append(sizes)
+        self.words += len(words)
 
     def listed(self, at: tuple[int, int]) -> tuple[int, list[str], np.ndarray, np.ndarray]:
         """Its name, its words by falling frequency, the places of its texts in that list, and how many each text has."""
@@ -149,42 +217,24 @@ def _one_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def _split(texts: DataFrame, spec: str) -> DataFrame:
-    """(words, text, row): the words Spark split, or the text where the tokenizer itself must split. `texts`: text, row."""
-    text = F.coalesce("text", F.lit(""))
-    plain = ~text.rlike(FOREIGN)
-    for token in json.loads(spec)["added_tokens"]:
-        plain = plain & ~text.contains(token["content"])
-    return texts.select(F.when(plain, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("words"), F.when(~plain, text).alias("text"), "row")
-
-
-def _words(batch: pa.RecordBatch, splitter: Splitter) -> pa.ListArray:
-    """The words of each row."""
-    words, kind, parts, first = batch.column(0), pa.list_(pa.string()), [], 0
-    words = words.cast(kind)
-    for i in np.flatnonzero(np.asarray(words.is_null())).tolist():
-        parts += [words[first:i], pa.array([splitter.words(batch.column(1)[i].as_py())], kind)]
-        first = i + 1
-    return pa.concat_arrays([*parts, words[first:]]) if parts else words
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], splitter: Splitter, size: int) -> Iterator[tuple[Block, tuple[int, int], list[pa.Array]]]:
-    """Blocks of rows (words, text, row), their number in the task, and their row columns."""
+    """Blocks of rows (text, row), their number in the task, and their row columns."""
     partition, number = TaskContext.get().partitionId(), 0
     block, rows = Block(), []
     for batch in batches:
-        words, first = _words(batch, splitter), 0
-        upto = np.cumsum(np.diff(np.asarray(words.offsets)))
-        while first < len(words):
-            done = int(upto[first - 1]) if first else 0
-            end = int(np.searchsorted(upto, done + size - block.words)) + 1  # the row that fills the block
-            full, end = end <= len(words), min(end, len(words))
-            block.add(words[first:end])
-            rows.append(batch.column(2)[first:end])
-            if full:
-                yield block, (partition, number), rows
-                block, rows, number = Block(), [], number + 1
-            first = end
+        for p in pieces(batch.column(0)):
+            words, sizes = splitter.of_piece(p)
+            upto, first = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while first < p.rows:
+                # the row that fills the block is its last
+                end = int(np.searchsorted(upto[1:], upto[first] + size - block.words)) + 1
+                full, end = end <= p.rows, min(end, p.rows)
+                block.add(words[upto[first] : upto[end]], sizes[first:end])
+                rows.append(batch.column(1)[p.first + first : p.first + end])
+                if full:
+                    yield block, (partition, number), rows
+                    block, rows, number = Block(), [], number + 1
+                first = end
     if rows:
         yield block, (partition, number), rows
 
@@ -217,7 +267,7 @@ def block_words(texts: DataFrame, spec: str, size: int = BLOCK_WORDS) -> DataFra
             binary = [pa.array([o[c] for o in out], pa.binary()) for c in range(3)]
             yield pa.record_batch([np.full(len(found), name), pa.array(found, pa.int32()), *binary], ["block", "part", "places", "lengths", "words"])
 
-    return _split(texts.select("text", F.lit(0).alias("row")), spec).mapInArrow(words, "block long, part int, places binary, lengths binary, words binary")
+    return texts.select("text", F.lit(0).alias("row")).mapInArrow(words, "block long, part int, places binary, lengths binary, words binary")
 
 
 def block_places(texts: DataFrame, spec: str, size: int = BLOCK_WORDS) -> DataFrame:
@@ -232,121 +282,125 @@ def block_places(texts: DataFrame, spec: str, size: int = BLOCK_WORDS) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([name]), *binary, pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], ["block", "sizes", "places", "rows"])
 
     row = texts.schema["row"].dataType
-    return _split(texts, spec).mapInArrow(places, T.StructType.fromDDL("block long, sizes binary, places binary").add("rows", T.ArrayType(row)))
+    return texts.mapInArrow(places, T.StructType.fromDDL("block long, sizes binary, places binary").add("rows", T.ArrayType(row)))
 
 
-def word_ids(listed: DataFrame, spec: str, distinct: bool = False) -> DataFrame:
-    """(block, places, lengths, ids, id) of what `block_words` gives; each distinct word is encoded once.
-
-    With `distinct`, rows that hold nothing but `block` and `id` follow, one for each id in a row before.
-    """
+def word_ids(listed: DataFrame, spec: str) -> DataFrame:
+    """(block, places, lengths, ids) of what `block_words` gives; each distinct word is encoded once."""
     spread = listed.sparkSession.sparkContext.broadcast(spec)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _one_thread()
         splitter, of, table = Splitter(spread.value), None, {}
         for batch in batches:
-            out, seen = [], []
-            for block, part, lengths, words in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4))):
+            out = []
+            for part, lengths, words in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4))):
                 if part != of:
                     of, table = part, {}
                 words = _unparcel(lengths, words)
                 new = [w for w in words if w not in table]
                 table.update(zip(new, splitter.encoded([w.decode() for w in new])))
-                found = [table[w] for w in words]
-                out.append(_parcel(found))
-                if distinct:
-                    seen.append((block, np.unique(np.frombuffer(b"".join(found), "<i4"))))
-            n = batch.num_rows
-            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([o[c] for o in out], pa.binary()) for c in (0, 1)), pa.nulls(n, pa.int32())], _CODED)
-            for block, own in seen:
-                none = [pa.nulls(len(own), pa.binary())] * 3
-                yield pa.record_batch([pa.array(np.full(len(own), block)), *none, pa.array(own, pa.int32())], _CODED)
+                out.append(_parcel([table[w] for w in words]))
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([o[c] for o in out], pa.binary()) for c in (0, 1))], ["block", "places", "lengths", "ids"])
 
     by_part = listed.repartition("part").sortWithinPartitions("part")
-    return by_part.mapInArrow(ids, "block long, places binary, lengths binary, ids binary, id int")
-
-
-_CODED = ["block", "places", "lengths", "ids", "id"]
+    return by_part.mapInArrow(ids, "block long, places binary, lengths binary, ids binary")
 
 
-def pieces_of(docs: DataFrame, spec: str) -> DataFrame:
-    """(id, piece): the bytes of every id of the vocabulary."""
+def pieces_of(spec: str) -> dict[int, bytes]:
+    """The bytes of every id of the vocabulary."""
     spec = json.loads(spec)
     byte = _byte_of()
     piece = {i: bytes(byte[c] for c in w) for w, i in spec["model"]["vocab"].items()}
-    piece |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-    return local_rows(docs.sparkSession, T.StructType.fromDDL("id int, piece binary"), list(piece.items()))
-
-
-class _Coded:
-    """The word list of a block: the ids of each word, and the pieces of its ids."""
-
-    def __init__(self, words: pa.Table) -> None:
-        parcels = words.filter(pc.is_valid(words["places"]))
-        at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpacked(p)) for p in parcels["places"].to_pylist())])
-        table = [b""] * len(at)
-        entries = (i for row in zip(parcels["lengths"].to_pylist(), parcels["ids"].to_pylist()) for i in _unparcel(*row))
-        for place, entry in zip(at.tolist(), entries):
-            table[place] = entry
-        self.flat = np.frombuffer(b"".join(table), "<i4")
-        self.length = np.fromiter((len(w) // 4 for w in table), np.int64, len(table))
-        self.first = np.cumsum(self.length) - self.length
-
-    def ids(self, places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, one after another, and where each text's end."""
-        if len(places) and places.max() >= len(self.length):
-            raise RuntimeError("the documents came in another order when read again; write them to a table first")
-        n = self.length[places]
-        done = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[np.repeat(self.first[places] - done[:-1], n) + np.arange(done[-1])], done[np.concatenate([[0], np.cumsum(sizes)])]
-
-    @staticmethod
-    def decoded(ids: np.ndarray, ends: np.ndarray, words: pa.Table) -> pa.Array:
-        """Texts of ids by the pieces that came with the word list."""
-        joined = words.filter(pc.is_valid(words["id"]))
-        own, first = np.unique(np.asarray(joined["id"]), return_index=True)
-        piece = joined["piece"].combine_chunks().take(pa.array(first))
-        data, at = b"".join(piece.to_pylist()), np.concatenate([[0], np.cumsum([len(p) for p in piece.to_pylist()])])
-        which = np.searchsorted(own, ids)
-        n = np.diff(at)[which]
+    return piece | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+class _Spans:
+    """Byte strings by number, one after another; picks many of them at once."""
+
+    def __init__(self, strings: Sequence[bytes]) -> None:
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.first = np.cumsum(self.size) - self.size
+
+    def picked(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Their bytes joined, and where each string begins, and the end."""
+        n = self.size[numbers]
         done = np.concatenate([[0], np.cumsum(n)])
-        out = np.frombuffer(data, np.uint8)[np.repeat(at[which] - done[:-1], n) + np.arange(done[-1])].tobytes()
-        bounds = done[ends].tolist()
-        return pa.array([out[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+        return self.data[np.repeat(self.first[numbers] - done[:-1], n) + np.arange(done[-1])], done
+
+
+def _block_entries(words: pa.Table) -> list[bytes]:
+    """The ids of each word of a block's list."""
+    at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpacked(p)) for p in words["places"].to_pylist())])
+    table = [b""] * len(at)
+    entries = (i for row in zip(words["lengths"].to_pylist(), words["ids"].to_pylist()) for i in _unparcel(*row))
+    for place, entry in zip(at.tolist(), entries):
+        table[place] = entry
+    return table
 
 
 def _joined(docs: DataFrame, spec: str, keep: Sequence[str], size: int, back: bool) -> DataFrame:
-    """(row, ids, decoded): the columns `keep` of every row, the ids of `text`, and if `back` their text."""
+    """(row, ids, decoded): the columns `keep` of every row, the ids of `text` as little-endian binary, and if `back` their text."""
     text = F.col("text").cast("string").alias("text")
     texts = docs.select(text, F.struct(*keep).alias("row"))
-    coded = word_ids(block_words(docs.select(text), spec, size), spec, back)
-    if back:
-        # rows of word lists have no id and pass through
-        coded = coded.join(F.broadcast(pieces_of(docs, spec)), "id", "left")
+    spread = docs.sparkSession.sparkContext.broadcast(spec)
+    coded = word_ids(block_words(docs.select(text), spec, size), spec)
 
     def picked(texts: pa.Table, words: pa.Table) -> pa.Table:
-        table = _Coded(words)
-        out = []
+        table, out = _Spans(_block_entries(words)), []
         for sizes, places, rows in zip(texts["sizes"].to_pylist(), texts["places"].to_pylist(), texts["rows"]):
-            ids, ends = table.ids(unpacked(zlib.decompress(places)), unpacked(sizes))
-            decoded = table.decoded(ids, ends, words) if back else pa.nulls(len(ends) - 1, pa.string())
-            out.append(pa.table({"row": rows.values, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), "decoded": decoded}))
-        return pa.concat_tables(out) if out else shape_arrow.empty_table()
-
-    shape = T.StructType([texts.schema["row"]]).add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
-    shape_arrow = to_arrow_schema(shape)
+            places, sizes = unpacked(zlib.decompress(places)), unpacked(sizes)
+            if len(places) and places.max() >= len(table.size):
+                raise RuntimeError("the documents came in another order when read again; write them to a table first")
+            data, at = table.picked(places)
+            at = at[np.concatenate([[0], np.cumsum(sizes)])]
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+            decoded = _decoded(data.view("<i4"), at // 4, spread.value) if back else pa.nulls(len(sizes), pa.string())
+            out.append(pa.table({"row": rows.values, "ids": ids, "decoded": decoded}))
+        return pa.concat_tables(out) if out else to_arrow_schema(shape).empty_table()
+
+    shape = T.StructType([texts.schema["row"]]).add("ids", T.BinaryType()).add("decoded", T.StringType())
     return block_places(texts, spec, size).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(picked, shape)
 
 
+_PIECES: dict[str, _Spans] = {}
+
+
+def _decoded(ids: np.ndarray, ends: np.ndarray, spec: str) -> pa.Array:
+    """Texts of ids, one after another."""
+    if spec not in _PIECES:
+        piece = pieces_of(spec)
+        _PIECES[spec] = _Spans([piece.get(i, b"") for i in range(max(piece, default=-1) + 1)])
+    data, at = _PIECES[spec].picked(ids)
+    data, bounds = data.tobytes(), at[ends].tolist()
+    return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+
+
+def _as_lists(coded: DataFrame) -> DataFrame:
+    """Binary ids as arrays of int, cut on Arrow buffers."""
+    names = coded.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            data = columns[1].cast(pa.large_binary())
+            at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+            flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view("<i4")
+            columns[1] = pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return coded.mapInArrow(cut, T.StructType([coded.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), *coded.schema.fields[2:]]))
+
+
 def encode(docs: DataFrame, spec: str, keep: Sequence[str] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
     """The columns of `docs` (or those of `keep`) and `ids` (array of int), the ids of `text`."""
     columns = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    return _joined(docs, spec, columns, size, False).select("row.*", "ids")
+    return _as_lists(_joined(docs, spec, columns, size, False).select("row", "ids")).select("row.*", "ids")
 
 
 def round_trip(docs: DataFrame, spec: str, keep: Sequence[str] | None = None, size: int = BLOCK_WORDS) -> DataFrame:
-    """As `encode`, and `decoded`, the text of the ids."""
+    """As `encode`, but `ids` as little-endian unsigned 32-bit integers in a binary, and `decoded`, their text."""
     columns = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
     return _joined(docs, spec, columns, size, True).select("row.*", "ids", "decoded")
 
@@ -354,8 +408,9 @@ def round_trip(docs: DataFrame, spec: str, keep: Sequence[str] | None = None, si
 def decode(encoded: DataFrame, spec: str) -> DataFrame:
     """The columns of `encoded` and `decoded`, the text of `ids`: every id is joined with its piece, wherever the ids come from."""
     columns = [c for c in encoded.columns if c != "decoded"]
+    vocabulary_ = local_rows(encoded.sparkSession, T.StructType.fromDDL("id int, piece binary"), list(pieces_of(spec).items()))
     rows = rewritten(encoded.select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__all")), "encoded")
-    tokens = rows.select("__row", F.posexplode("__all.ids").alias("at", "id")).join(F.broadcast(pieces_of(encoded, spec)), "id", "left")
+    tokens = rows.select("__row", F.posexplode("__all.ids").alias("at", "id")).join(F.broadcast(vocabulary_), "id", "left")
     piece = F.coalesce(F.col("piece").cast("string"), F.raise_error(F.concat(F.lit("no piece of id "), F.col("id"))))
     inside = F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))), lambda t: t["piece"])
     texts = tokens.groupBy("__row").agg(F.make_valid_utf8(F.array_join(inside, "")).alias("decoded"))
@@ -366,7 +421,5 @@ def decode(encoded: DataFrame, spec: str) -> DataFrame:
 def digests(docs: DataFrame, spec: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, by `round_trip`."""
     rows = round_trip(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spec, keep=["doc_id"])
-    # an id as eight hexadecimal digits, low byte first
-    swapped = lambda i: F.shiftleft(i.bitwiseAND(0xFF), 24).bitwiseOR(F.shiftleft(i.bitwiseAND(0xFF00), 8)).bitwiseOR(F.shiftright(i, 8).bitwiseAND(0xFF00)).bitwiseOR(F.shiftrightunsigned(i, 24))
-    little = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(swapped(i).cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    sha = lambda c: F.sha2(c, 256)
+    return rows.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
