@@ -9,7 +9,8 @@ from transitspark.config import QualityRules
 from transitspark.operators.rules import report_lines
 from transitspark.operators.subset import DERIVED_FROM, city_subset, dependents
 from transitspark.plans.static import publish_each, publish_latest, replay_history
-from transitspark.sources.publish import published_latest, write_history
+from transitspark.sources import files, manifest
+from transitspark.sources.publish import HistoryWriter, published_latest, read_history
 from transitspark.sources.snapshots import latest_snapshot, snapshots
 
 RULES = QualityRules(
@@ -64,9 +65,10 @@ def test_each_in_turn_skips_the_bad_version(spark, bronze, tmp_path):
     assert {v for v, _ in lines(report)} == {BAD} and {v for v, _ in got} == set(GOOD)
     assert published_latest(spark, silver) == GOOD[-1]
     assert got[GOOD[0], "trips"] == 2 and got[GOOD[0], "mixed_routes"] == 0
-    trips = spark.read.parquet(f"{silver}/{GOOD[0]}/internal_trips.parquet")
+    folder = snapshots(spark, silver)[0].path
+    trips = spark.read.parquet(f"{folder}/internal_trips.parquet")
     assert values(trips, "trip_id") == ["T_INTERNAL"]
-    assert sorted(os.listdir(f"{silver}/{GOOD[0]}")) == sorted(f"{n}.parquet" for v, n in got if v == GOOD[0])
+    assert sorted(os.listdir(folder)) == sorted(f"{n}.parquet" for v, n in got if v == GOOD[0])
     # publishing an older version again replaces it and does not move latest
     publish_each(spark, bronze, silver, rules=RULES)
     assert published_latest(spark, silver) == GOOD[-1]
@@ -80,7 +82,7 @@ def test_history_in_one_pass_equals_one_by_one(spark, bronze, tmp_path):
     assert per_artifact(at_once) == {k: n for k, n in per_artifact(counts).items() if n}
     _, again = replay_history(spark, bronze, history, rules=RULES)
     assert per_artifact(again) == per_artifact(at_once)
-    crossing = spark.read.parquet(f"{history}/crossing_trips")
+    crossing = read_history(spark, history, "crossing_trips")
     assert values(crossing, "snapshot_version", "trip_id") == [(v, "T_CROSSING") for v in GOOD]
 
 
@@ -89,17 +91,54 @@ def test_a_version_that_now_fails_is_withdrawn(spark, bronze, tmp_path):
     replay_history(spark, bronze, history, rules=RULES)
     spark.createDataFrame([("Z1", None)], "stop_id string, stop_name string").write.mode("overwrite").parquet(f"{bronze}/{GOOD[0]}/stops.parquet")
     replay_history(spark, bronze, history, rules=RULES)
-    trips = spark.read.parquet(f"{history}/trips")
+    trips = read_history(spark, history, "trips")
     assert {v for v in values(trips, "snapshot_version")} == {GOOD[1]}
 
 
 def test_a_failed_write_leaves_the_table_as_it_was(spark, tmp_path):
     root = str(tmp_path)
     rows = spark.sql("SELECT 1 a, 'v1' snapshot_version")
-    write_history(rows, root, "t", ["v1"])
+    writer = HistoryWriter(spark, root)
+    writer.write(rows, "t", ["v1"])
+    with pytest.raises(FileNotFoundError):
+        read_history(spark, root, "t")  # nothing is published before the manifest
+    writer.commit()
     with pytest.raises(Exception, match="no luck"):
-        write_history(rows.withColumn("a", F.when(F.col("a") > 0, F.raise_error(F.lit("no luck")).cast("int"))), root, "t", ["v1"])
-    assert values(spark.read.parquet(f"{root}/t")) == [(1, "v1")]
+        HistoryWriter(spark, root).write(rows.withColumn("a", F.when(F.col("a") > 0, F.raise_error(F.lit("no luck")).cast("int"))), "t", ["v1"])
+    assert values(read_history(spark, root, "t")) == [(1, "v1")]
+
+
+def test_a_failure_between_data_and_manifest_changes_nothing(spark, bronze, tmp_path, monkeypatch):
+    history, silver = str(tmp_path / "history"), str(tmp_path / "silver")
+    replay_history(spark, bronze, history, rules=RULES)
+    publish_each(spark, bronze, silver, rules=RULES)
+    before, old = manifest.published(spark, history), [s.path for s in snapshots(spark, silver)]
+    renamed = [("Z1", "Zürich HB"), ("Z2", "Oerlikon"), ("X1", "Bern"), ("X2", "Basel")]
+    spark.createDataFrame(renamed, "stop_id string, stop_name string").write.mode("overwrite").parquet(f"{bronze}/{GOOD[0]}/stops.parquet")
+    monkeypatch.setattr(files, "write_new", lambda *_: (_ for _ in ()).throw(OSError("store is gone")))
+    for job, root in ((replay_history, history), (publish_each, silver)):
+        with pytest.raises(OSError, match="gone"):
+            job(spark, bronze, root, rules=RULES)
+    monkeypatch.undo()
+    assert manifest.published(spark, history) == before and [s.path for s in snapshots(spark, silver)] == old
+    assert values(read_history(spark, history, "stops", [GOOD[0]]), "stop_id") == ["Z1", "Z2"]
+    replay_history(spark, bronze, history, rules=RULES)
+    assert values(read_history(spark, history, "stops", [GOOD[0]]), "stop_id") == ["Z1"]
+    # data nobody lists any more goes, what is published stays
+    manifest.prune(spark, history, keep=1)
+    assert len(os.listdir(f"{history}/_manifests")) == 2 and values(read_history(spark, history, "stops"), "stop_id") == ["Z1", "Z1", "Z2"]
+
+
+def test_manifests_are_written_once(spark, tmp_path):
+    root = str(tmp_path)
+    assert manifest.published(spark, root) == {}
+    assert [manifest.commit(spark, root, {n: f"{root}/_data/x/{n}"}) for n in ("a", "b")] == [1, 2]
+    manifest.commit(spark, root, {"a": None})
+    assert manifest.published(spark, root) == {"b": f"{root}/_data/x/b"}
+    with pytest.raises(FileExistsError):
+        files.write_new(spark, f"{root}/_manifests/000000000003.json", "{}")
+    assert manifest.published(spark, root) == {"b": f"{root}/_data/x/b"}
+    (tmp_path / "_manifests" / ".half").write_text("{")  # left over from a publisher that died
 
 
 NO_RULES = QualityRules(required={}, bounds={}, foreign_keys=())

@@ -13,7 +13,7 @@ from transitspark.operators import explore, rules, subset, summaries
 from transitspark.operators.graph import route_stops
 from transitspark.plans.static import replay_history
 from transitspark.session import scratch_path
-from transitspark.sources import members, publish, snapshots
+from transitspark.sources import manifest, members, publish, snapshots
 
 GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -602,8 +602,9 @@ def published_subset(spark, sf):
     root = scratch_path(spark, "silver")
     for version in ("feed_20260812", "feed_20260805"):
         routes = tables(spark, sf)["routes"]
-        publish.write_artifact(routes, publish.staging_path(root, version), "routes")
-        publish.publish(spark, root, version)
+        folder = manifest.new_data(root, version)
+        publish.write_artifact(routes, folder, "routes")
+        publish.publish(spark, root, version, folder)
     newest = publish.published_latest(spark, root)
     assert newest == "feed_20260812"
     latest = snapshots.latest_snapshot(spark, root)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from transitspark.config import DEFAULT_CUTOFF
 from transitspark.operators import versions
 from transitspark.session import local_rows, rewritten
-from transitspark.sources import files, publish
+from transitspark.sources import files, manifest, publish
 from transitspark.sources.members import convert_members, member_inventory, member_verdicts
 from transitspark.sources.snapshots import Snapshot
 
@@ -59,11 +59,10 @@ def store_corrections(plan: DataFrame, history_path: str, now: datetime) -> None
 
 
 def _converted(spark: SparkSession, unpacked: str, bronze_root: str, name: str) -> Snapshot:
-    """One unpacked folder converted aside and published; nothing left over from before goes along."""
-    staged = publish.staging_path(bronze_root, name)
-    files.remove_folder(spark, staged)
-    convert_members(spark, unpacked, staged)
-    return publish.publish(spark, bronze_root, name)
+    """One unpacked folder converted and published; nothing left over from before goes along."""
+    folder = manifest.new_data(bronze_root, name)
+    convert_members(spark, unpacked, folder)
+    return publish.publish(spark, bronze_root, name, folder)
 
 
 def land(

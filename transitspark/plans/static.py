@@ -11,7 +11,7 @@ from transitspark.config import ZONE_PREFIX, MissingInput, QualityRules
 from transitspark.operators import rules as quality
 from transitspark.operators.subset import city_subset
 from transitspark.session import local_rows, rewritten, scratch_path
-from transitspark.sources import files, publish
+from transitspark.sources import files, manifest, publish
 from transitspark.sources.snapshots import (
     VERSION,
     Snapshot,
@@ -59,16 +59,15 @@ def publish_subset(
     spark: SparkSession, snapshot: Snapshot, silver_root: str, prefix: str = ZONE_PREFIX
 ) -> list[tuple[str, str, int]]:
     """Writes and publishes the subset of one snapshot; its rows per artifact."""
-    folder = publish.staging_path(silver_root, snapshot.version)
+    folder = manifest.new_data(silver_root, snapshot.version)
     helpers = scratch_path(spark, "subset")
-    files.remove_folder(spark, folder)
 
     def stage(name: str, df: DataFrame) -> DataFrame:
         return publish.write_artifact(df, helpers if name.startswith("_") else folder, name)
 
     artifacts = city_subset(load_tables(spark, snapshot), prefix, stage=stage)
     counts = publish.artifact_counts(artifacts).collect()
-    publish.publish(spark, silver_root, snapshot.version)
+    publish.publish(spark, silver_root, snapshot.version, folder)
     files.remove_folder(spark, helpers)
     return [(snapshot.version, r["artifact"], r["value"]) for r in counts]
 
@@ -121,7 +120,8 @@ def replay_history(
 ) -> tuple[DataFrame, DataFrame]:
     """Every snapshot in one pass: the version is part of each key, nothing loops over versions.
 
-    Writes one table per artifact below `history_root`, partitioned by version. Versions that
+    Writes one table per artifact, partitioned by version, and publishes all of them by one manifest
+    of `history_root` (`publish.read_history` reads them). Versions that
     break a rule or lack a table or column the subset needs are in the report, with the artifacts that
     depend on it, and are left out of every artifact, also if an earlier run wrote them; the others are published.
     Returns the report and the rows per version and artifact. With many versions this replaces
@@ -131,18 +131,20 @@ def replay_history(
     report, kept, layout = checked(spark, found, rules)
     passed = [s.version for s in kept]
     withdrawn = [s.version for s in found if s not in kept]
+    writer = publish.HistoryWriter(spark, history_root)
+    writer.withdraw(withdrawn)
     if not kept:
-        publish.withdraw(spark, history_root, withdrawn)
+        writer.commit()
         return report, local_rows(spark, METRICS_SCHEMA, [])
     helpers = scratch_path(spark, "history")
     # only the files of versions that passed are read again
     tables = load_history(spark, kept, layout)
 
     def stage(name: str, df: DataFrame) -> DataFrame:
-        root = helpers if name.startswith("_") else history_root
-        return publish.write_history(df, root, name, passed)
+        own = publish.HistoryWriter(spark, helpers) if name.startswith("_") else writer
+        return own.write(df, name, passed)
 
     artifacts = city_subset(tables, prefix, by=(VERSION,), stage=stage)
+    writer.commit()
     files.remove_folder(spark, helpers)
-    publish.withdraw(spark, history_root, withdrawn)
     return report, publish.artifact_counts(artifacts, [VERSION])

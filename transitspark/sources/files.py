@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
@@ -48,22 +49,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def replace_folder(spark: SparkSession, staged: str, final: str) -> None:
-    """Moves a finished folder to its place; what was there before goes away."""
-    fs, source = _fs(spark, staged)
-    _, target = _fs(spark, final)
-    fs.mkdirs(target.getParent())
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"could not move {staged} to {final}")
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    fs, target = _fs(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all; an error if it is there already."""
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    _, aside = _fs(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(target) or not fs.rename(aside, target):
+        fs.delete(aside, False)
+        raise FileExistsError(path)
 
 
-def make_folder(spark: SparkSession, path: str) -> None:
+def remove_folder(spark: SparkSession, path: str) -> None:
     fs, target = _fs(spark, path)
-    fs.mkdirs(target)
+    fs.delete(target, True)

@@ -9,14 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitspark.operators.explore import labelled_counts
-from transitspark.sources import files
+from transitspark.sources import files, manifest
 from transitspark.sources.snapshots import VERSION, Snapshot, snapshots
 
 
-def staging_path(root: str, version: str) -> str:
-    return f"{root.rstrip('/')}/.staging/{version}"
-
-
 def write_artifact(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes one artifact and returns it as read back from what was written."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
@@ -24,15 +20,14 @@ def write_artifact(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def publish(spark: SparkSession, root: str, version: str) -> Snapshot:
-    """Moves the staged snapshot of a version to its final folder, replacing an older copy.
+def publish(spark: SparkSession, root: str, version: str, folder: str) -> Snapshot:
+    """Publishes the data folder of a version (`manifest.new_data`), in place of an older copy.
 
     There is no pointer to move: `published_latest` only ever looks at what is published, so an
     older version published later does not take its place.
     """
-    final = f"{root.rstrip('/')}/{version}"
-    files.replace_folder(spark, staging_path(root, version), final)
-    return Snapshot(version, final)
+    manifest.commit(spark, root, {version: folder})
+    return Snapshot(version, folder)
 
 
 def published_latest(spark: SparkSession, root: str) -> str | None:
@@ -41,42 +36,53 @@ def published_latest(spark: SparkSession, root: str) -> str | None:
     return max(names) if names else None
 
 
-def write_history(df: DataFrame, root: str, name: str, versions: Sequence[str]) -> DataFrame:
-    """One artifact of many versions as a table partitioned by version; returns these versions.
+class HistoryWriter:
+    """Artifacts of many versions, written first and published together by one manifest.
 
-    The given versions are replaced, also where they have no rows any more; others stay. Rows are
-    written aside first, so a job that fails leaves the table as it was; each version then moves
-    in by a rename. The rebalance hint lets AQE cut a large version into several files and put
-    small ones together, instead of one task per version.
+    A history table is published partition by partition, under `<artifact>/<version>`.
     """
-    spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}"
-    aside = f"{root.rstrip('/')}/.staging/{name}"
-    (
-        df.hint("rebalance", VERSION)
-        .write.mode("overwrite")
-        .option("compression", "zstd")
-        .partitionBy(VERSION)
-        .parquet(aside)
-    )
-    written = {e.name: e.path for e in files.children(spark, aside) if e.is_dir}
-    files.make_folder(spark, path)
-    for version in versions:
-        folder = f"{VERSION}={version}"
-        if folder in written:
-            files.replace_folder(spark, written[folder], f"{path}/{folder}")
-        else:
-            files.remove_folder(spark, f"{path}/{folder}")
-    files.remove_folder(spark, aside)
-    kept = spark.read.schema(df.schema).parquet(path).select(*df.columns)
-    return kept.where(F.col(VERSION).isin(list(versions)))
-
-
-def withdraw(spark: SparkSession, root: str, versions: Sequence[str]) -> None:
-    """Takes versions out of every history table below `root`."""
-    for artifact in files.children(spark, root):
-        if artifact.is_dir and not artifact.name.startswith((".", "_")):
-            for version in versions:
-                files.remove_folder(spark, f"{artifact.path}/{VERSION}={version}")
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._spark, self._root, self._changes = spark, root, {}
+
+    def write(self, df: DataFrame, name: str, versions: Sequence[str]) -> DataFrame:
+        """Writes one artifact of the given versions and returns it as written.
+
+        The versions are to be replaced, also where they have no rows any more; others stay. The rebalance hint
+        lets AQE cut a large version into several files and put small ones together, instead
+        of one task per version.
+        """
+        folder = manifest.new_data(self._root, name)
+        df.hint("rebalance", VERSION).write.option("compression", "zstd").partitionBy(VERSION).parquet(folder)
+        written = {e.name.removeprefix(f"{VERSION}="): e.path for e in files.children(self._spark, folder) if e.is_dir}
+        for version in versions:
+            path = f"{folder}/{VERSION}={version}" if version in written else None
+            self._changes[f"{name}/{version}"] = path
+        return self._spark.read.schema(df.schema).parquet(folder).select(*df.columns)
+
+    def withdraw(self, versions: Sequence[str]) -> None:
+        """Takes versions out of every table."""
+        gone = set(versions)
+        names = [n for n in manifest.published(self._spark, self._root) if n.rpartition("/")[2] in gone]
+        self._changes |= dict.fromkeys(names)
+
+    def commit(self) -> None:
+        if self._changes:
+            manifest.commit(self._spark, self._root, self._changes)
+
+
+def read_history(spark: SparkSession, root: str, name: str, versions: Sequence[str] | None = None) -> DataFrame:
+    """A published history table with its `snapshot_version`; only the given versions' files are read."""
+    paths = {
+        n.rpartition("/")[2]: path
+        for n, path in manifest.published(spark, root).items()
+        if n.rpartition("/")[0] == name
+    }
+    wanted = [path for version, path in sorted(paths.items()) if versions is None or version in versions]
+    if not wanted:
+        raise FileNotFoundError(f"no published {name!r} below {root}")
+    version = F.regexp_extract("_metadata.file_path", rf"/{VERSION}=([^/]+)/", 1)
+    return spark.read.option("mergeSchema", "true").parquet(*wanted).withColumn(VERSION, version)
 
 
 def artifact_counts(artifacts: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitspark.sources import files
+from transitspark.sources import files, manifest
 
 VERSION = "snapshot_version"
 _SUFFIX = re.compile(r"(\d{8})$")
@@ -30,12 +30,17 @@ def release_date(name: str) -> str:
 
 
 def snapshots(spark: SparkSession, root: str) -> list[Snapshot]:
-    """All published snapshots by name, oldest first; hidden folders and `latest` are reserved."""
-    return [
-        Snapshot(e.name, e.path)
+    """All published snapshots by name, oldest first: those of the newest manifest, and plain folders.
+
+    Hidden folders and `latest` are reserved.
+    """
+    found = {
+        e.name: e.path
         for e in files.children(spark, root)
         if e.is_dir and not e.name.startswith((".", "_")) and e.name != "latest"
-    ]
+    }
+    found |= manifest.published(spark, root)
+    return [Snapshot(name, path) for name, path in sorted(found.items())]
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> Snapshot:
