@@ -158,18 +158,21 @@ def quality_report(
     return reduce(DataFrame.unionByName, parts)
 
 
-def missing_inputs(spark: SparkSession, layout: dict[str, dict[str, list[str]]]) -> DataFrame:
+def missing_inputs(
+    spark: SparkSession, layout: dict[str, dict[str, list[str]]], rules: QualityRules = QualityRules()
+) -> DataFrame:
     """Report rows for the tables and columns the subset needs and a version does not have.
 
     The detail names the artifacts that cannot be derived without it. One row per version and
-    missing table or column, from the layout alone; no table is read.
+    missing table or column, from the layout alone; no table is read. A column that `rules` require
+    of the table is reported there.
     """
     rows = []
     for version, have in layout.items():
         ordinal = _INPUTS_FROM
         for name, columns in wanted_inputs(have).items():
             lost = f"; needed by {', '.join(dependents(name))}"
-            for column in [None] if name not in have else [c for c in columns if c not in have[name]]:
+            for column in [None] if name not in have else [c for c in columns if c not in [*have[name], *rules.required.get(name, ())]]:
                 what = f"table {name} is missing" if column is None else f"column {column} is missing"
                 rows.append((version, ordinal, name, "missing_input", column, 1, what + lost))
                 ordinal += 1

@@ -49,7 +49,7 @@ def checked(
     checkable = {v: {n: c for n, c in have.items() if n in ruled} for v, have in layout.items()}
     rows = quality.quality_report(spark, load_history(spark, found, checkable), checkable, rules)
     needed = {v: {n: c for n, c in have.items() if n in _INPUTS} for v, have in layout.items()}
-    report = rewritten(rows.unionByName(quality.missing_inputs(spark, needed)), "report")
+    report = rewritten(rows.unionByName(quality.missing_inputs(spark, needed, rules)), "report")
     versions = local_rows(spark, T.StructType().add(VERSION, T.StringType()), [(s.version,) for s in found])
     kept = {r[VERSION] for r in quality.passed_versions(versions, report).collect()}
     return report, [s for s in found if s.version in kept], layout
