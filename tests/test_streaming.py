@@ -1,6 +1,8 @@
 """Streams over several files against the same rows as a batch."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from conftest import frame, values
@@ -173,6 +175,28 @@ def test_changes_as_of_and_known(spark):
     assert values(state.state_as_of(df, ["key"], ["v"], at(4000), known_at=at(4000)), "key", "v") == [("k", 1), ("m", 7)]
 
 
+@pytest.mark.parametrize("block", [None, "0", "date_trunc('minute', feed_ts)"])
+def test_state_at_the_instant_of_each_event(spark, block):
+    """A dominating key, ties, repeated events, null keys and instants, keys without records."""
+    rng = random.Random(7)
+    records = [("hot" if rng.random() < 0.7 else rng.choice("abc"), rng.randrange(0, 400_000, 10), rng.randrange(5), i) for i in range(300)]
+    events = [("hot" if rng.random() < 0.7 else rng.choice("abcd"), rng.randrange(-5, 400_000), i) for i in range(200)]
+    events += [events[0], events[0], (None, 5, 900), ("hot", None, 901), *((r[0], r[1], 1000 + r[3]) for r in records[:50])]
+    records += [(None, 7, 1, 999), ("hot", None, 1, 998)]
+    ledger_rows = frame(spark, "key string, s bigint, v int, id int", records).selectExpr("key", "timestamp_seconds(s) feed_ts", "v", "id")
+    asked = frame(spark, "key string, s bigint, n int", events).selectExpr("key", "timestamp_seconds(s) event_ts", "n", "s AS state_s")
+
+    def held(key, s):
+        seen = [(r[1], r[3], r[2]) for r in records if r[0] == key and key is not None and s is not None and r[1] is not None and r[1] <= s]
+        return (max(seen)[1], max(seen)[2]) if seen else (None, None)
+
+    found = state.state_at_events(asked, ledger_rows, ["key"], ["v", "id"], ["id"], block=block and F.expr(block))
+    assert found.columns == [*asked.columns, "state"]
+    got = Counter((r["n"], r["state"]["id"] if r["state"] else None, r["state"]["v"] if r["state"] else None) for r in found.collect())
+    assert got == Counter((n, *held(k, s)) for k, s, n in events)
+    assert state.state_at_events(asked, ledger_rows.limit(0), ["key"], ["v"]).where("state IS NOT NULL").count() == 0
+
+
 def test_zone_and_retention(spark):
     rows = frame(spark, "stop_id string, latitude double, longitude double, d string", [("in", 0.0, 0.0, "2026-01-08"), ("out", 47.32, 8.51, "2026-01-01"), (None, 47.32, 8.51, "2026-01-02"), ("out", None, None, "2025-12-01")])
     zone = frame(spark, "stop_id string", [("in",), ("in",)])

@@ -251,6 +251,24 @@ def rt_known_state(spark, sf):
     return found.withColumn("feed_ts", F.unix_micros("feed_ts"))
 
 
+@query(
+    "rt_asof_join",
+    event_sql(
+        "SELECT o.event_id, s.event_id AS state_event, s.status, epoch_us(s.feed_ts) state_ts FROM obs o ASOF LEFT JOIN "
+        "(SELECT key, feed_ts, arg_max(event_id, event_id) event_id, arg_max(status, event_id) status FROM obs WHERE status <> 'view' GROUP BY 1, 2) s "
+        "ON o.key = s.key AND o.ingestion_ts >= s.feed_ts",
+        _OBS,
+    ),
+)
+def rt_asof_join(spark, sf):
+    """What held for each event's user, views apart, at the instant the event became known."""
+    seen = _observations(spark, sf)
+    events = seen.select("key", "event_id", F.col("ingestion_ts").alias("event_ts"))
+    found = state.state_at_events(events, seen.where("status <> 'view'"), ["key"], ["event_id", "status"], ["event_id"])
+    held = F.col("state")
+    return found.select("event_id", held["event_id"].alias("state_event"), held["status"].alias("status"), F.unix_micros(held["feed_ts"]).alias("state_ts"))
+
+
 @query(
     "rt_state_changes",
     event_sql(

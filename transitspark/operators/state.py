@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from transitspark.config import RETENTION_DAYS
 from transitspark.functions.geo import in_box
 from transitspark.operators.keys import unique_keys
-from transitspark.operators.sequence import with_neighbour
+from transitspark.operators.sequence import with_carried, with_neighbour
 from transitspark.session import rewritten
 
 FIRST, APPEARED, CHANGED, DISAPPEARED = "first", "appeared", "changed", "disappeared"
@@ -38,6 +40,43 @@ def state_as_of(
     return latest.select(*keys, "__s.*")
 
 
+def state_at_events(
+    events: DataFrame,
+    ledger: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    tie: Sequence[str] = (),
+    at: str = "event_ts",
+    block: Column | None = None,
+    name: str = "state",
+) -> DataFrame:
+    """Each event with the record of its key that held at its own instant: a struct `name`, null if none did.
+
+    Events and records go through one ordering per key, records before events of the same instant, and
+    the last record is carried forward. A key is cut into days (or `block`, an expression over
+    `feed_ts`) that are ordered side by side and linked by one row each, so neither a key with very
+    many events nor one with very many records lands in one task, and no event meets more than one record.
+    Of records with one key and instant the highest tie-break counts, without one the highest values. Events whose key or instant is null get null.
+    """
+    known = events.where(F.col(at).isNotNull() & reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    unknown = events.where(F.col(at).isNull() | reduce(or_, [F.col(k).isNull() for k in keys]))
+    row, held = F.struct(*events.columns), F.struct("feed_ts", *values)
+    records = ledger.where(F.col("feed_ts").isNotNull() & reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    states = records.groupBy(*keys, "feed_ts").agg((F.max_by(held, F.struct(*tie)) if tie else F.max(held)).alias(name))
+    line = states.withColumns({"__event": F.lit(0).cast("long"), "__row": F.lit(None).cast(events.select(row.alias("r")).schema["r"].dataType)})
+    # equal events are told apart by a number, so that the ordering is total
+    asked = known.select(
+        *keys, F.col(at).cast("timestamp").alias("feed_ts"), row.alias("__row"),
+        F.lit(None).cast(states.schema[name].dataType).alias(name),
+        (F.monotonically_increasing_id() + 1).alias("__event"),
+    )
+    whole = line.select(*keys, "feed_ts", "__event", "__row", name).unionByName(asked)
+    by = F.to_date("feed_ts") if block is None else block
+    carried = with_carried(whole, keys, ["feed_ts", "__event"], by, F.col(name), "__held")
+    found = carried.where("__event > 0").select("__row.*", F.col("__held").alias(name))
+    return found.unionByName(unknown.withColumn(name, F.lit(None).cast(states.schema[name].dataType)))
+
+
 def deduplicated(
     ledger: DataFrame, keys: Sequence[str], values: Sequence[str], tie: Sequence[str]
 ) -> DataFrame:
