@@ -9,7 +9,7 @@ from transitspark.checks.registry import query
 from transitspark.checks.roles import PREFIX, static_sql, table, tables
 from transitspark.config import QualityRules
 from transitspark.functions.clock import clock_seconds
-from transitspark.operators import explore, rules, subset, summaries
+from transitspark.operators import explore, rules, subset, summaries, typed
 from transitspark.operators.graph import route_stops
 from transitspark.plans.static import replay_history
 from transitspark.session import scratch_path
@@ -358,6 +358,44 @@ def typed_stop_times(spark, sf):
     )
 
 
+def _landed_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Stop times as they are landed, all text, some of it spoilt."""
+    times = tables(spark, sf)["stop_times"]
+    stop = F.col("stop_id")
+    return times.select(
+        F.col("trip_id").cast("string").alias("trip_id"),
+        stop.cast("string").alias("stop_id"),
+        F.when(stop % 11 == 0, F.concat(F.lit("no. "), "stop_sequence")).otherwise(F.concat(F.lit(" "), "stop_sequence")).alias("stop_sequence"),
+        F.when(stop % 7 == 0, F.replace("arrival_time", F.lit(":"), F.lit("."))).when(stop % 7 == 1, F.lit("")).otherwise(F.col("arrival_time")).alias("arrival_time"),
+        F.col("departure_time"),
+    )
+
+
+@query(
+    "typed_timetable",
+    static_sql(
+        "SELECT CAST(trip_id AS VARCHAR) trip_id, CAST(stop_id AS VARCHAR) stop_id, CASE WHEN stop_id % 11 <> 0 THEN stop_sequence END stop_sequence, "
+        "CASE WHEN stop_id % 7 > 1 THEN CAST(arrival_s AS BIGINT) END arrival_time, CAST(departure_s AS BIGINT) departure_time FROM stop_seconds"
+    ),
+)
+def typed_timetable(spark, sf):
+    return typed.typed_view(_landed_times(spark, sf), "stop_times")
+
+
+@query(
+    "typed_rejects",
+    static_sql(
+        "SELECT 'stop_times' AS \"table\", CAST(trip_id AS VARCHAR) trip_id, CAST(stop_id AS VARCHAR) stop_id, 'stop_sequence' AS \"column\", 'integer' AS type, "
+        "'no. ' || stop_sequence AS text FROM stop_times WHERE stop_id % 11 = 0 UNION ALL "
+        "SELECT 'stop_times', CAST(trip_id AS VARCHAR), CAST(stop_id AS VARCHAR), 'arrival_time', 'clock', replace(arrival_time, ':', '.') "
+        "FROM stop_times WHERE stop_id % 7 = 0"
+    ),
+)
+def typed_rejects(spark, sf):
+    found = typed.typed_rejects(_landed_times(spark, sf), "stop_times", ["trip_id", "stop_id"])
+    return found.select("table", F.col("row_key.trip_id"), F.col("row_key.stop_id"), "column", "type", "text")
+
+
 # --- summaries --------------------------------------------------------------------------------
 
 @query(
