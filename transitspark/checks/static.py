@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitspark.checks.registry import query
+from transitspark.checks.registry import SQL, query
 from transitspark.checks.roles import PREFIX, static_sql, table, tables
 from transitspark.config import QualityRules
 from transitspark.functions.clock import clock_seconds
@@ -229,6 +231,57 @@ def quality_report(spark, sf):
     return found.select("table", "check", "column", "observed", "detail")
 
 
+_REPORT_SQL = SQL["quality_report"]
+
+
+@query("report_lines", f"SELECT \"table\" || '.' || \"check\" || ': ' || detail AS line FROM ({_REPORT_SQL})")
+def report_lines(spark, sf):
+    """Each violation as one line of text."""
+    t = tables(spark, sf)
+    layout = {"v": {name: df.columns for name, df in t.items()}}
+    return rules.report_lines(rules.quality_report(spark, rules.with_version(t, "v"), layout, _RULES)).select("line")
+
+
+@query(
+    "gate_versions",
+    static_sql(
+        "SELECT v snapshot_version FROM (VALUES ('all'), ('placed')) versions(v) "
+        "WHERE v = 'placed' OR NOT EXISTS (SELECT 1 FROM stops WHERE parent_station IS NULL)"
+    ),
+)
+def gate_versions(spark, sf):
+    """Two versions of the stops, the second without those that break a rule: which of them pass."""
+    stops = tables(spark, sf)["stops"]
+    versions = {"all": stops, "placed": stops.where("parent_station IS NOT NULL")}
+    tagged = [df.withColumn("snapshot_version", F.lit(v)) for v, df in versions.items()]
+    layout = {v: {"stops": df.columns} for v, df in versions.items()}
+    ruled = QualityRules(required={"stops": ("stop_id", "parent_station")}, bounds={}, foreign_keys=())
+    report = rules.quality_report(spark, {"stops": tagged[0].unionByName(tagged[1])}, layout, ruled)
+    named = tagged[0].select("snapshot_version").unionByName(tagged[1].select("snapshot_version")).distinct()
+    return rules.passed_versions(named, report)
+
+
+@query(
+    "replay_order",
+    "SELECT 'feed_2026080' || r_regionkey AS version, row_number() OVER (ORDER BY r_regionkey) AS position, "
+    "(SELECT COUNT(*) FROM nation WHERE n_regionkey = r_regionkey) AS rows FROM region",
+)
+def replay_order(spark, sf):
+    """Nations published region by region, newest first, and replayed oldest first with the rows of each artifact."""
+    root, nations = scratch_path(spark, "replay"), table(spark, sf, "nation")
+    regions = sorted(r[0] for r in table(spark, sf, "region").select("r_regionkey").collect())
+    for region in reversed(regions):
+        version = f"feed_2026080{region}"
+        folder = manifest.new_data(root, version)
+        publish.write_artifact(nations.where(F.col("n_regionkey") == region), folder, "nation")
+        publish.publish(spark, root, version, folder)
+    counted = []
+    for position, found in enumerate(snapshots.snapshots(spark, root), start=1):
+        counts = publish.artifact_counts(snapshots.load_tables(spark, found))
+        counted.append(counts.select(F.lit(found.version).alias("version"), F.lit(position).cast("long").alias("position"), F.col("value").alias("rows")))
+    return reduce(DataFrame.unionByName, counted)
+
+
 _REPLAYED = ("stops", "trips", "routes", "stop_times")
 
 

@@ -76,15 +76,19 @@ def hops(
 
 
 def stop_edges(pairs: DataFrame, trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Edges of the stop graph with the number of distinct routes and trips using them."""
-    owner = trips.select(*by, "trip_id", "route_id")
-    return (
-        pairs.join(owner, [*by, "trip_id"], "inner")
-        .groupBy(*by, "source_stop_id", "target_stop_id")
-        .agg(
-            F.count_distinct("route_id").alias("route_count"),
-            F.count_distinct("trip_id").alias("trip_count"),
-        )
+    """Edges of the stop graph with the number of distinct routes and trips using them.
+
+    Counted in steps instead of by two distinct counts, which would double every hop: hops once per
+    trip, then per edge and route, then per edge. A trip listed under several routes counts once.
+    """
+    ends = [*by, "source_stop_id", "target_stop_id"]
+    once = pairs.select(*by, "trip_id", "source_stop_id", "target_stop_id").distinct()
+    owner = per_key(trips, [*by, "trip_id"], F.collect_set("route_id").alias("__routes"))
+    used = once.join(owner, [*by, "trip_id"]).select(*ends, F.posexplode_outer("__routes").alias("__at", "route_id"))
+    trip = F.when(F.coalesce("__at", F.lit(0)) == 0, 1).otherwise(0)
+    per_route = used.groupBy(*ends, "route_id").agg(F.sum(trip).alias("__trips"))
+    return per_route.groupBy(*ends).agg(
+        F.count("route_id").alias("route_count"), F.sum("__trips").alias("trip_count")
     )
 
 
