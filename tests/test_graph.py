@@ -120,5 +120,5 @@ def test_text_sequences_order_as_numbers(spark):
 def test_a_trip_of_several_routes_counts_once(spark):
     pairs = frame(spark, "trip_id string, source_stop_id string, target_stop_id string, hops int", [("t", "a", "b", 1), ("t", "a", "b", 2), ("u", "a", "b", 1), ("v", "a", "b", 1), ("gone", "a", "b", 1)])
     trips = frame(spark, "trip_id string, route_id string", [("t", "r1"), ("t", "r2"), ("t", "r1"), ("u", "r1"), ("v", None)])
-    edge = stop_edges(pairs, trips).first()
+    edge = graph.stop_edges(pairs, trips).first()
     assert (edge["route_count"], edge["trip_count"]) == (2, 3)
