@@ -11,7 +11,7 @@ estimates but are never added. The classifier adds candidates of the other kinds
 
 Defined results: a null or empty text has no spans; every row gives one row, repeated or not; ids may be
 null; other columns are left out. Quantifiers are possessive and starts are anchored at run boundaries, so
-matching takes linear time and constant stack in a text of any length.
+matching takes linear time and constant stack in a text of any length; spans are placed and compared in one sweep each.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ BASE = KINDS[:4]
 # What each kind looks like. A start inside a run of the same characters can match only where
 # a start at the run's beginning does, so starts are the beginning of a run or the end of the last match.
 PATTERNS = {
-    "email": [r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"],
-    "ip": [r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"],
-    "card": [r"[0-9](?:[\x20-]?+[0-9])++"],
-    "phone": [r"\+[0-9][\x20().0-9-]+[0-9]"],
-    "secret": [r"""(?<=[=:] ?["']?)(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,256}+(?![A-Za-z0-9_/+=-])"""],
-    "address": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[({](?:dot|DOT)[\])}]|\.) ?[A-Za-z0-9-]{2,63}+)++"],
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"""(?<=[=:] ?["']?)(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+(?![A-Za-z0-9_/+=-])""",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[({](?:dot|DOT)[\])}]|\.) ?[A-Za-z0-9-]{2,63}+)++",
 }
 # Gazetteers and cue words.
 TOP_DOMAINS = "com org net edu gov info io eu de fr es it uk ch at nl be us ca au jp cn in br example".split()
@@ -55,20 +55,54 @@ AGAINST = r"(?i)(?:version|isbn|order|invoice|chapter|section|commit|sha\d*|hash
 _CANDIDATE = "array<struct<kind:int,start:int,stop:int,base:boolean,votes:array<int>,traits:array<int>>>"
 
 
-def matches(text: Column, pattern: str, make) -> Column:
-    """make(hit, the 40 code points before it) with its place, for all matches from left to right."""
-    zipped = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("skip"), F.substring(gap, -40, 40).alias("before"), hit.alias("hit")))
-    none = F.lit(None).cast("array<struct<start:int,hit:string,before:string>>")
-    placed = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast("array<struct<start:int,hit:string,before:string>>")).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["skip"] + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["skip"]).alias("start"), x["hit"].alias("hit"), x["before"].alias("before"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.transform(placed, make)
+_HITS = "array<struct<skip:int,length:int,before:string,hit:string>>"
+
+
+def running(df: DataFrame, columns: dict[str, str], step) -> DataFrame:
+    """Adds, for each (new column, column of integers), what step(so far, value) gives before each value, from 0 on.
+
+    The values are cut into about as many blocks as a block has values. A fold copies what it has so far at each step, so
+    only arrays of one block's length are built by folds: n values cost n**1.5 copies of an integer, not n**2. Every stage
+    is a column of its own, since a lambda evaluates what it captures anew for each element.
+    """
+
+    def growing(part: Column, begin: Column) -> Column:
+        first = F.struct(begin.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(step(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")), lambda acc: acc["out"])
+
+    def blocks(values: str) -> Column:
+        n = F.size(values)
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), ((n - 1) / width).cast("int")), lambda b: F.slice(values, b * width + 1, width))
+        return F.when(n > 0, cut).otherwise(F.array().cast("array<array<int>>"))
+
+    df = df.withColumns({f"{out}_blocks": blocks(values) for out, values in columns.items()})
+    df = df.withColumns({f"{out}_begins": growing(F.transform(f"{out}_blocks", lambda part: F.aggregate(part, F.lit(0), step)), F.lit(0)) for out in columns})
+    return df.withColumns({out: F.flatten(F.zip_with(f"{out}_blocks", f"{out}_begins", growing)) for out in columns})
+
+
+def hits(text: Column, pattern: str) -> Column:
+    """All matches from left to right, each with the length of the gap before it and that gap's last 40 code points."""
+    zipped = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, hit: F.struct(F.length(gap).alias("skip"), F.length(hit).alias("length"), F.substring(gap, -40, 40).alias("before"), hit.alias("hit")),
+    )
+    return F.filter(zipped, lambda x: x["hit"].isNotNull())  # the last gap has no hit after it
+
+
+def apart(df: DataFrame, spans: str, others: str) -> DataFrame:
+    """Leaves in `spans` those that overlap none of `others`, by one sweep over the starts of these and the ends of those.
+
+    A span overlaps if some other that starts before its end ends after its start.
+    """
+    kind = _CANDIDATE[6:-1]
+    starts = F.transform(others, lambda o: F.struct(o["start"].alias("at"), F.lit(1).alias("turn"), o["stop"].alias("reach"), F.lit(None).cast(kind).alias("span")))
+    ends = F.transform(spans, lambda c: F.struct(c["stop"].alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("reach"), c.alias("span")))
+    df = df.withColumn("line", F.array_sort(F.concat(starts, ends)))
+    df = df.withColumn("reaches", F.transform("line", lambda x: x["reach"]))
+    df = running(df, {"far": "reaches"}, lambda far, x: F.greatest(far, x))
+    met = F.zip_with("line", "far", lambda x, far: F.struct(x["span"].alias("span"), (far <= x["span"]["start"]).alias("clear")))
+    return df.withColumn(spans, F.transform(F.filter(met, lambda x: x["clear"]), lambda x: x["span"]))
 
 
 def luhn(digits: Column) -> Column:
@@ -127,28 +161,31 @@ def shape(kind: str, hit: Column) -> Column:
     return F.when(hit.rlike(usual[kind]), 1).otherwise(-1)
 
 
-def candidates(text: Column) -> Column:
-    """All candidate spans with the votes on them."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, found): all candidate spans with the votes on them."""
 
     def of(kind: str):
-        def make(x: Column) -> Column:
-            hit, before, number = x["hit"], x["before"], KINDS.index(kind)
+        def make(x: Column, at: Column) -> Column:
+            hit, before, start, number = x["hit"], x["before"], at + x["skip"], KINDS.index(kind)
             ok = passes(kind, hit)
             cue = F.when(before.rlike(AGAINST), -1).when(before.rlike(CUES[kind]), 1).otherwise(0)
             votes = [F.when(ok, 1).otherwise(-1), known(kind, hit), cue, shape(kind, hit)]
-            traits = [F.length(hit) > 24, hit.rlike("[ .()-]")]
+            traits = [x["length"] > 24, hit.rlike("[ .()-]")]
             return F.struct(
-                F.lit(number).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(hit)).alias("stop"),
+                F.lit(number).alias("kind"), start.alias("start"), (start + x["length"]).alias("stop"),
                 (ok & F.lit(kind in BASE)).alias("base"), F.array(*votes).alias("votes"), F.array(*[t.cast("int") for t in traits]).alias("traits"),
             )
 
         return make
 
     # a text without a kind's necessary character is not searched for it
+    text, none = F.col("text"), F.array().cast(_HITS)
     need = {"email": text.contains("@"), "phone": text.contains("+"), "secret": text.contains("=") | text.contains(":"), "address": text.rlike(r"[\[({](?:at|AT)[\])}]")}
-    none = F.array().cast(_CANDIDATE)
-    found = [F.when(need.get(k, text.rlike("[0-9]")), matches(text, p, of(k)).cast(_CANDIDATE)).otherwise(none) for k in KINDS for p in PATTERNS[k]]
-    return F.concat(*found)
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = df.withColumns({f"{k}_hits": F.when(need.get(k, text.rlike("[0-9]")), hits(text, PATTERNS[k]).cast(_HITS)).otherwise(none) for k in KINDS}).drop("text")
+    df = df.withColumns({f"{k}_lengths": F.transform(f"{k}_hits", lambda x: x["skip"] + x["length"]) for k in KINDS})
+    df = running(df, {f"{k}_at": f"{k}_lengths" for k in KINDS}, lambda at, n: at + n)
+    return df.select("doc_id", F.concat(*[F.zip_with(f"{k}_hits", f"{k}_at", of(k)).cast(_CANDIDATE) for k in KINDS]).alias("found"))
 
 
 def _reliabilities(rows: list[tuple], rounds: int = 30) -> dict[tuple, float]:
@@ -200,8 +237,7 @@ def _classifier(rows: list[tuple], expected: dict[tuple, float], steps: int = 30
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added): arrays of (kind, start, stop), each sorted by start, then kind."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = rewritten(docs.select(F.col("doc_id").cast("long").alias("doc_id"), candidates(text).alias("found")), "candidates")
+    found = rewritten(candidates(docs), "candidates")
     patterns = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.traits").count()
     rows = [(r[0], tuple(r[1]), tuple(r[2]), r[3]) for r in patterns.collect()]
     rows.sort()
@@ -221,12 +257,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
         return ordered
 
     base = F.filter("found", lambda c: c["base"])
-    apart = lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    return found.withColumn("base_spans", base).select(
-        "doc_id",
-        bare(F.col("base_spans")).alias("base"),
-        bare(F.filter("found", lambda c: (c["kind"] >= len(BASE)) & likely(c) & apart(c))).alias("added"),
-    )
+    more = F.filter("found", lambda c: (c["kind"] >= len(BASE)) & likely(c))
+    spans = apart(found.select("doc_id", base.alias("base"), more.alias("more")), "more", "base")
+    return spans.select("doc_id", bare(F.col("base")).alias("base"), bare(F.col("more")).alias("added"))
 
 
 def rendered(spans: Column) -> Column:
