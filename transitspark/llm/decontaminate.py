@@ -8,8 +8,9 @@ computing edit distance", 2016). Samples of embedded places are the hash values;
 with an item in any of `WALKS * SAMPLES` samples is verified by its exact edit distance. The target recall is
 0.99 for items edited up to the largest bound; a test measures it on random words, for items of 10 to 80 words.
 
-The benchmark is read in blocks of about `BLOCK_BYTES`, each a pass over the documents, so what a task
-holds does not grow with it.
+The benchmark is read in blocks of about `BLOCK_BYTES`, each a pass over the documents that is written before the
+next one begins, so what a task holds does not grow with it. Windows are embedded and compared in chunks of
+`CHUNK_BYTES`, and distances along the diagonals the bound allows, so it hardly grows with an item's length.
 
 An item of n words is found where the distance is at most n // 5 words (items under 10 words: 0). Words are
 as white space parts them, with A-Z lower-cased.
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transitspark.llm.text import WHITE, mix, pieces, words
+from transitspark.session import rewritten
 
 GRAM, WALKS, SAMPLES, PLACES = 3, 8, 12, 3
 BLOCK_BYTES = 4 << 20
+#: Bytes of words of the windows that are embedded and compared at once.
+CHUNK_BYTES = 16 << 20
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("distance", T.LongType())]))
 
@@ -54,38 +58,67 @@ def embedded(windows: np.ndarray, walk_seed: int = 0) -> np.ndarray:
     places = random.integers(0, steps, (WALKS, SAMPLES, PLACES))
     salt = random.integers(1, 1 << 63, (steps, WALKS), dtype=np.uint64)
     at = np.zeros((rows, WALKS), np.int64)
-    walked = np.zeros((steps, rows, WALKS), np.uint64)
+    # only the letters at sampled steps are kept, so memory does not grow with the length of the walk
+    met = np.zeros((rows, WALKS, SAMPLES, PLACES), np.uint64)
+    order = np.argsort(places, axis=None, kind="stable")
+    cut = np.searchsorted(places.ravel()[order], np.arange(steps + 1))
     index = np.arange(rows)[:, None]
     for j in range(steps):
-        letter = walked[j] = padded[index, at]
+        letter = padded[index, at]
+        if cut[j] < cut[j + 1]:
+            w, k, p = np.unravel_index(order[cut[j] : cut[j + 1]], places.shape)
+            met[:, w, k, p] = letter[:, w]
         coin = ((letter ^ salt[j]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
         at = np.minimum(at + coin.astype(np.int64), n)
     out = np.zeros((rows, WALKS, SAMPLES), np.uint64)
-    some = np.zeros(out.shape, bool)
-    for w in range(WALKS):
-        for p in range(PLACES):
-            letters = walked[places[w, :, p], :, w].T
-            out[:, w] = mix(out[:, w] * np.uint64(31) + letters)
-            some[:, w] |= letters != 0
-    return np.where(some, out, np.uint64(0)).reshape(rows, -1)
+    for p in range(PLACES):
+        out = mix(out * np.uint64(31) + met[..., p])
+    return np.where((met != 0).any(3), out, np.uint64(0)).reshape(rows, -1)
+
+
+def agreed(samples: np.ndarray, of_item: np.ndarray) -> np.ndarray:
+    """How many samples each row shares with the item; samples of padding alone do not count."""
+    return ((samples == of_item) & (of_item != 0)).sum(1)
 
 
 def agreeing(samples: np.ndarray, of_item: np.ndarray) -> np.ndarray:
     """Which rows share a sample with the item; samples of padding alone do not count."""
-    return ((samples == of_item) & (of_item != 0)).any(1)
+    return agreed(samples, of_item) > 0
 
 
-def least_distance(item: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edit distance between `item` and the best beginning of each row of `after`, and that beginning's length."""
-    width = after.shape[1]
-    line = np.broadcast_to(np.arange(width + 1), (len(after), width + 1))
+def least_distance(item: np.ndarray, after: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edit distance between `item` and the best beginning of each row of `after`, and that beginning's length.
+
+    With `most`, exact up to that distance; a row beyond it gets some greater number. Only the 2 * most + 1
+    diagonals that such a distance can reach are kept, and rows that have left them all are given up.
+    """
+    n, (rows, width) = len(item), after.shape
+    most = max(n, width) if most is None else most
+    band, beyond = 2 * most + 1, n + width + 1
+    # column c of the line for i words of the item stands for a beginning of i + c - most words
+    letters = np.zeros((rows, most + max(width, n + most)), np.uint64)
+    letters[:, most : most + width] = after
+    # a beginning ends inside the row
+    ends = np.arange(band) - most
+    line = np.broadcast_to(np.where((ends >= 0) & (ends <= width), ends, beyond).astype(np.int32), (rows, band))
+    distance, length = np.full(rows, most + 1), np.zeros(rows, np.int64)
+    live, climb = np.arange(rows), np.arange(band, dtype=np.int32)
     for i, letter in enumerate(item, 1):
-        fresh = np.empty_like(line)
-        fresh[:, 0] = i
-        fresh[:, 1:] = np.minimum(line[:, 1:] + 1, line[:, :-1] + (after != letter))
-        line = np.minimum.accumulate(fresh - np.arange(width + 1), 1) + np.arange(width + 1)
+        fresh = line + (letters[:, i - 1 : i - 1 + band] != letter)
+        np.minimum(fresh[:, :-1], line[:, 1:] + 1, out=fresh[:, :-1])
+        fresh = np.minimum.accumulate(fresh - climb, 1) + climb
+        fresh[:, (ends + i < 0) | (ends + i > width)] = beyond
+        line = fresh
+        if i % 16 == 0:
+            some = line.min(1) <= most
+            if not some.all():
+                line, letters, live = line[some], letters[some], live[some]
+                if not len(live):
+                    return distance, length
     best = line.argmin(1)
-    return line[np.arange(len(after)), best], best
+    distance[live] = np.maximum(line[np.arange(len(live)), best], 0)
+    length[live] = best - most + n
+    return distance, length
 
 
 class Items:
@@ -159,35 +192,44 @@ class Items:
         rows = w.text_of(starts)
         end = w.of[rows + 1]
         out: dict[int, tuple] = {}
-        for a in range(0, len(starts), 4096):
-            s, r = starts[a : a + 4096], rows[a : a + 4096]
+        chunk = max(1, CHUNK_BYTES // (8 * (n + e)))
+        for a in range(0, len(starts), chunk):
+            s, r = starts[a : a + chunk], rows[a : a + chunk]
             reach = s[:, None] + np.arange(n + e)
-            after = np.where(reach < end[a : a + 4096, None], w.hash[np.minimum(reach, len(w.hash) - 1)], np.uint64(0))
-            agree = agreeing(embedded(after[:, :n]), self.sample(item))
-            s, r, after = s[agree], r[agree], after[agree]
-            if not len(s):
-                continue
-            distance, length = least_distance(word, after)
-            for d, x, y, z in zip(distance.tolist(), s.tolist(), r.tolist(), length.tolist()):
-                if d <= e and (y not in out or (d, x) < out[y][:2]):
-                    out[y] = (d, x, z)
+            after = np.where(reach < end[a : a + chunk, None], w.hash[np.minimum(reach, len(w.hash) - 1)], np.uint64(0))
+            agree = agreed(embedded(after[:, :n]), self.sample(item))
+            s, r, after, agree = s[agree > 0], r[agree > 0], after[agree > 0], agree[agree > 0]
+            # the likeliest place of each text first: its distance bounds what the others need be told apart to
+            likely = np.zeros(len(s), bool)
+            order = np.lexsort((s, -agree, r))
+            likely[order[np.flatnonzero(np.diff(r[order], prepend=-1))]] = True
+            for some in (likely, ~likely):
+                known = np.array([out[y][0] if y in out else e for y in r[some].tolist()], np.int64)
+                for most in np.unique(known).tolist():
+                    at_once = np.flatnonzero(some)[known == most]
+                    distance, length = least_distance(word, after[at_once], most)
+                    for d, x, y, z in zip(distance.tolist(), s[at_once].tolist(), r[at_once].tolist(), length.tolist()):
+                        if d <= most and (y not in out or (d, x) < out[y][:2]):
+                            out[y] = (d, x, z)
         return [(y, item, x - int(w.of[y]), z, d) for y, (d, x, z) in out.items()]
 
 
-def blocks_of(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """The items in blocks of about BLOCK_BYTES of text."""
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
+    """The items in blocks of about `block_bytes` of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES)
+    blocks = -(-total // block_bytes)
     for b in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         yield [x[0] for x in some], [x[1] for x in some]
 
 
-def with_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def with_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row: all columns of `docs`, found: array of item_id, first_word, n_words, distance)."""
     out = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.array().cast(_FOUND).alias("found"))
-    for ids, texts in blocks_of(benchmark):
+    for number, (ids, texts) in enumerate(blocks_of(benchmark, block_bytes)):
+        if number:
+            out = rewritten(out, "searched")  # one block, and one Python worker, at a time
         items = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def look(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
