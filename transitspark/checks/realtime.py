@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from transitspark.checks.roles import (
 from transitspark.functions import feed
 from transitspark.operators import delays, realtime, state
 from transitspark.operators.subset import zone_stops
+from transitspark.plans import archive
 from transitspark.plans.realtime import ledger_at
 from transitspark.session import scratch_path
 from transitspark.streaming import ledger
@@ -540,14 +542,38 @@ def rt_stream_deltas(spark, sf):
     return _flat_deltas(spark.read.parquet(f"{folder}/deltas"))
 
 
-@query(
-    "rt_ledger_replay",
-    event_sql(
-        f"SELECT key, entity_type, id entity_id, hour_s feed_ts FROM live WHERE hour_s <= {AT_SQL} "
-        "QUALIFY row_number() OVER (PARTITION BY key ORDER BY hour_s DESC, id DESC) = 1"
-    ),
+_HELD = event_sql(
+    f"SELECT key, entity_type, id entity_id, hour_s feed_ts FROM live WHERE hour_s <= {AT_SQL} "
+    "QUALIFY row_number() OVER (PARTITION BY key ORDER BY hour_s DESC, id DESC) = 1"
 )
+
+
+@query("rt_ledger_replay", _HELD)
 def rt_ledger_replay(spark, sf):
     """The message of every key that held in the middle of the month."""
     held = ledger_at(_ledger(spark, sf), _instant())
     return held.select("key", "entity_type", "entity_id", _seconds("feed_ts"))
+
+
+@query("rt_archived_replay", _HELD)
+def rt_archived_replay(spark, sf):
+    """The same from the archive: the state the expired days left behind, and the days since."""
+    root, at = scratch_path(spark, "archive"), datetime.fromtimestamp(AT, timezone.utc).replace(tzinfo=None)
+    archive.archive_days(spark, _ledger(spark, sf), root)
+    archive.expire(spark, root, date(2024, 1, 20))
+    return archive.replay(spark, root, at).select("key", "entity_type", "entity_id", _seconds("feed_ts"))
+
+
+@query(
+    "rt_retention_job",
+    event_sql(
+        "SELECT key, id entity_id FROM live WHERE CAST(make_timestamp(hour_s * 1000000) AS DATE) > DATE '2024-01-30' - 7"
+    ),
+)
+def rt_retention_job(spark, sf):
+    """What is left once the job has taken expired days out, twice."""
+    root = scratch_path(spark, "archive")
+    archive.archive_days(spark, _ledger(spark, sf), root)
+    for _ in range(2):
+        archive.expire(spark, root, date(2024, 1, 30))
+    return archive.read_days(spark, root).select("key", "entity_id")

@@ -64,8 +64,12 @@ def prune(spark: SparkSession, root: str, keep: int = 2) -> None:
     Readers that began before those manifests must be done, and no publish may be under way.
     """
     numbers = sorted(_numbers(spark, root))
-    listed = {path.split("/")[1] for n in numbers[-keep:] for path in _read(spark, root, n).values()}
+    paths = {path for n in numbers[-keep:] for path in _read(spark, root, n).values()}
+    listed = {path.split("/")[1] for path in paths}
     for n in numbers[:-keep]:
+        # a folder may hold the parts of several names, of which some are still published
+        for path in set(_read(spark, root, n).values()) - paths:
+            files.remove_folder(spark, f"{root.rstrip('/')}/{path}")
         files.remove_folder(spark, f"{_folder(root)}/{n:012d}.json")
     for entry in files.children(spark, f"{root.rstrip('/')}/_data"):
         if entry.name not in listed:
