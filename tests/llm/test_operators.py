@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -122,6 +124,24 @@ def test_licenses(docs, none):
     assert licenses.licence_labels(none).count() == 0
 
 
+def test_base_licences_equal_a_scan_of_all_words(spark):
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    rng, bank = random.Random(8), sorted({w for p in phrases for w in p.split()}) + ["É", "İx", "2"]
+    marks = [" ", "-", "\n", "\x7f", "_ ", "\x00", ", "]
+    given = []
+    for i in range(300):
+        parts = rng.choices([*bank, *phrases, *phrases], k=rng.randrange(30))
+        given.append((i, "".join(rng.choice([p, p.upper(), p.replace(" ", "/")]) + rng.choice(marks) for p in parts)))
+    want = Counter()
+    for i, t in given:
+        w = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        at = sorted((j, label) for p, label in phrases.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split())
+        want[i, len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))] += 1
+    got = licenses.licence_labels(docs_of(spark, given))
+    assert rows(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got.collect())
+
+
 def test_lines(docs, none, texts):
     kept = rows(lines.without_repeated_lines(docs), "doc_id", "text")
     assert kept[1, None] == 1 and kept[15, "z"] == 1 and kept[14, "a\nb\nc"] == 2 and kept[7, ""] == 1
@@ -164,6 +184,15 @@ def test_sharding(docs, none, texts):
     assert sharding.shard_digests(none).count() == 0
 
 
+def test_shard_digests_keep_their_law(docs, texts):
+    got = sharding.shard_digests(docs).collect()
+    size = lambda t: len((t or "").encode()) + 16
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t in texts)
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    slots = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(40)}
+    assert all(v == list(range(len(v))) for v in slots.values()) and {len(v) for v in slots.values()} <= {0, 1}
+
+
 def test_small_tables_are_dealt_by_a_drawn_matrix(spark, monkeypatch):
     drawn, draw = [], sharding.communication_matrix
     monkeypatch.setattr(sharding, "communication_matrix", lambda *a: drawn.append(draw(*a)) or drawn[-1])
@@ -229,6 +258,46 @@ def test_ann_ties_of_many_nodes_go_to_the_least_ids(spark):
     assert got == [(k, 1000 + k) for k in range(1, 6)]
 
 
+def test_ann_graph_search_finds_the_nearest_of_many_shards_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 24))
+    v[1000:2000] = v[:1000] + rng.normal(scale=0.2, size=(1000, 24))  # close pairs, mostly in different shards
+    got = {}
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for r in ann.nearest(frame, every=10, shard=(700, 700), block=(100, 100)).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert ann.parts(3000, (700, 700)) == 5 and ann.parts(300, (100, 100)) == 3 and 700 > ann.ASK_BEAM
+    unit, met = v / np.linalg.norm(v, axis=1, keepdims=True), 0
+    assert set(got) == set(range(0, 3000, 10))
+    for q, answers in got.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        assert sorted(answers) == [1, 2, 3, 4, 5] and all(abs(score[i] - s) < 1e-12 for i, s in answers.values())
+        met += len({i for i, _ in answers.values()} & set(np.argsort(-score)[:5].tolist()))
+    assert met / (5 * len(got)) >= 0.95
+
+
+@pytest.mark.parametrize("dims", [16, 64])
+def test_ann_graph_is_pruned_and_searched_by_its_edges(dims):
+    rng = np.random.default_rng(dims)
+    unit = ann._unit(rng.normal(size=(2500, dims)))
+    graph, queries = ann.built(unit, 7), ann._unit(rng.normal(size=(200, dims)))
+    assert graph.edges.shape == (2500, ann.DEGREE) and (graph.edges != np.arange(2500)[:, None]).all()
+    assert all(len(set(e[e >= 0])) == (e >= 0).sum() for e in graph.edges)
+    want = np.argsort(-(queries @ unit.T), 1)[:, :5]
+    recall = lambda g: np.mean([len(set(a[:5]) & set(b)) / 5 for a, b in zip(g.search(queries, ann.ASK_BEAM)[0], want)])
+    assert recall(graph) >= 0.95
+    cut = ann.Graph(unit, np.full_like(graph.edges, -1))  # without edges only the entries are found
+    assert recall(cut) < 0.2
+
+
+def test_ann_pruning_leaves_out_what_a_kept_neighbour_covers():
+    at = lambda degrees: [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]
+    graph = ann.Graph(ann._unit(np.array([at(0), at(10), at(20), at(-15), at(170)])), np.full((5, ann.DEGREE), -1))
+    kept = graph.prune(np.array([0]), np.array([[1, 2, 3, 4, 0, -1, 1]]), 1.0)[0]
+    assert kept[kept >= 0].tolist() == [1, 3]
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(9)
     item = words(rng, 40, 10_000)
@@ -290,3 +359,19 @@ def test_language(spark, docs, none):
     assert [s["lang"] for s in got[1]["spans"]] == ["aa", "bb"] and got[1]["lang_pred"] == "aa"
     assert (got[2]["lang_pred"], got[3]["lang_pred"], got[2]["score"]) == ("und", "und", 0.0)
     assert language.predictions(none).count() == 0 and {r["lang_pred"] for r in language.predictions(docs).collect()} == {"und"}
+
+
+def test_language_paths_are_the_best_of_all_labellings():
+    rng, model = np.random.default_rng(6), object.__new__(language.Model)
+    sizes = [0, 1, 7, 2, 0, 6, 7, 7, 5, 7] * 12
+    of = np.concatenate([[0], np.cumsum(sizes)])
+    scores = rng.normal(scale=language.SWITCH / 2, size=(3, of[-1])) + np.repeat(rng.normal(scale=language.SWITCH / 3, size=(3, len(sizes))), sizes, axis=1)
+    label, switched = model.paths(scores, of), 0
+    worth = lambda path, own: sum(own[k, j] for j, k in enumerate(path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
+    for a, b in zip(of, of[1:]):
+        if b > a:
+            own, path = scores[:, a:b], label[a:b].tolist()
+            best = max(worth(p, own) for p in itertools.product(range(3), repeat=int(b - a)))
+            assert abs(worth(path, own) - best) < 1e-9
+            switched += len(set(path)) > 1
+    assert 10 < switched < sum(n > 0 for n in sizes)

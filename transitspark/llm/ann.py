@@ -1,13 +1,15 @@
 """Nearest neighbours by cosine in robust-pruned directed graphs.
 
-Equal vectors are one node. Nodes are dealt into shards of about `SHARD` by a hash; each shard's graph is
+Equal vectors are one node. Nodes are dealt into shards by a hash; each shard's graph is
 built from a random one in two passes (Subramanya et al., "DiskANN", 2019): a greedy search proposes
 neighbours for a node, the relaxed pruning rule keeps those not much closer to a kept neighbour than to
 the node, and kept edges are tried in reverse. A beam search then asks each shard, and the shards' answers
 are merged. Scores of what is found are computed in double precision on the original vectors.
 
-Queries meet shards in blocks of `QUERY_BLOCK`, so a task holds one shard and one block whatever the input.
-A node carries its ids only up to one more than are asked for; the least ids win ties, so no more can count.
+Queries meet shards in blocks, so a task holds one shard and one block. Each query is sent to every shard and
+each shard to every block of queries, so shards and blocks grow with the square root of their tables, between
+the bounds of `SHARD` and `QUERY_BLOCK`: what is sent grows with the power 1.5 of the input until they are at their
+largest, about 90 MB of a shard of 64 numbers a vector, and with the square beyond. A node carries its ids only up to one more than are asked for; the least ids win ties, so no more can count.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part,
 nor do null ids; rows that repeat in full count once; an id with two vectors is two rows, and neither is
@@ -16,6 +18,8 @@ a candidate of the other; vectors of other lengths are no candidates; other colu
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 
 from transitspark.session import rewritten
 
-SHARD, QUERY_BLOCK = 4096, 2048
+SHARD, QUERY_BLOCK = (4096, 65_536), (2048, 65_536)
+GROWTH, CELLS = 16, 20_000
 DEGREE, BEAM, ASK_BEAM, RELAX = 24, 64, 128, 1.2
 K, EVERY = 5, 50
 
@@ -178,7 +183,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("vector")).withColumn("length", F.size("vector"))
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+def parts(rows: int, size: tuple[int, int]) -> int:
+    """How many parts `rows` are dealt into: of the least size, then of GROWTH times the root, up to the largest."""
+    return max(1, -(-rows // min(max(size[0], GROWTH * math.isqrt(rows)), size[1])))
+
+
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, shard: tuple[int, int] = SHARD, block: tuple[int, int] = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose id is divisible by `every`."""
     rows = usable(vectors)
     # the least ids of each distinct vector; the limit is taken map-side before the exchange
@@ -188,13 +198,14 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     nodes = rows.groupBy("node", "length").agg(F.first("vector").alias("vector")).join(ids, ["node", "length"])
     nodes = rewritten(nodes, "nodes")
     queries = rewritten(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "node", "length", "vector").dropDuplicates(["query_id", "node"]), "queries")
-    shards = max(1, -(-nodes.count() // SHARD))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(shards)).cast("int"))
+    shards, blocks = parts(nodes.count(), shard), parts(queries.count(), block)
+    # the work of a shard or cell is far larger than its bytes, so their partitions are named and not merged by size
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(shards)).cast("int")).repartition(2 * shards, "length", "shard")
     graphs = dealt.groupBy("length", "shard").applyInArrow(_build, "length int, shard int, node long, vector array<double>, ids array<long>, edges array<int>")
     graphs = rewritten(graphs, "graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    key = ["length", "shard", "block"]
+    key, cells = ["length", "shard", "block"], min(2 * shards * blocks, CELLS)
+    graphs, asked = (df.repartition(cells, *key) for df in (graphs, asked))
     found = graphs.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(lambda a, b: _ask(a, b, k), "query_id long, query_node long, vec_id long, score double")
     best = Window.partitionBy("query_id", "query_node").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
