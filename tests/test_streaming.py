@@ -263,3 +263,60 @@ def test_a_failed_cycle_does_not_end_the_stream(spark, tmp_path):
 
     assert realtime_jobs.keep_going(start, pause_s=0) == 1
     assert runs == [0, 0]
+
+
+def test_a_poisonous_cycle_is_set_aside_and_the_others_go_on(spark, tmp_path):
+    src, out, aside = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "aside")
+    for n, name in enumerate(["a", "poison", "c"]):
+        poll(src, n, [vehicle(name, "1"), vehicle("x", str(n))])
+    runs = []
+
+    def step(batch, batch_id):
+        runs.append(batch_id)
+        fail = F.when(F.col("id") == "e-poison", F.raise_error(F.lit("bad entity")).cast("string")).otherwise(F.col("id"))
+        ledger.write_batch(batch.select(fail.alias("id"), F.lit(1).alias("n")), batch_id, out)
+
+    def start():
+        rows = ledger.stream_entities(spark, str(src)).select("id", "vehicle")
+        lines = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(str(src))
+        return ledger.start_guarded(lines, step, aside, str(tmp_path / "cp"), every=None, tries=3)
+
+    assert ledger.read_aside(spark, aside).count() == 0
+    assert realtime_jobs.keep_going(start, pause_s=0) == 2
+    bad = next(i for i in set(runs) if runs.count(i) == 3)
+    assert sorted(runs) == sorted([0, 1, 2, bad, bad])
+    assert values(spark.read.parquet(out), "id") == ["e-a", "e-c", "e-x", "e-x"]
+    told = ledger.read_aside(spark, aside).collect()
+    assert [(r["batch_id"], r["tries"], r["rows_kept"]) for r in told] == [(bad, 3, True)]
+    assert "bad entity" in told[0]["error"] and "logOffset" in told[0]["offsets"]
+    drain(start())
+    assert len(runs) == 5  # nothing is tried again
+    mended = lambda batch, batch_id: ledger.write_batch(batch.select("id", F.lit(1).alias("n")), batch_id, out)
+    assert ledger.retry_aside(spark, aside, mended) == [bad] and ledger.retry_aside(spark, aside, mended) == []
+    assert values(spark.read.parquet(out), "id") == ["e-a", "e-c", "e-poison", "e-x", "e-x", "e-x"]
+    assert ledger.read_aside(spark, aside).count() == 0
+
+
+def test_a_cycle_that_ends_the_driver_counts_as_tried(spark, tmp_path):
+    src, aside = tmp_path / "in", str(tmp_path / "aside")
+    poll(src, 0, [vehicle("a", "1")])
+    for n in (1, 2):  # left by two processes that never came to the end of the batch
+        ledger.files.write_new(spark, f"{aside}/attempts/batch_id=0/{n}", "")
+    runs = []
+    drain(ledger.start_guarded(ledger.stream_entities(spark, str(src)), lambda *a: runs.append(a), aside, str(tmp_path / "cp"), every=None, tries=2))
+    assert runs == [] and ledger.read_aside(spark, aside).count() == 1
+
+
+def test_guarded_ledger_feeds_the_derived_tables(spark, tmp_path):
+    src, root = tmp_path / "in", str(tmp_path / "root")
+    poll(src, 0, [vehicle("a", "1"), {"id": "u"}])
+    drain(realtime_jobs.start_guarded_raw(spark, str(src), root, every=None))
+    poll(src, 1, [vehicle("a", "2")])
+    drain(realtime_jobs.start_guarded_raw(spark, str(src), root, every=None))
+    raw = realtime_jobs.read_ledger(spark, root)
+    assert raw.columns == realtime_jobs.LEDGER_SCHEMA.names
+    batch = ledger.raw_messages(ledger.read_entities(spark, str(src)))
+    columns = ("key", "entity_id", "feed_ts", "feed_date", "entity_type")
+    assert values(raw, *columns) == values(batch, *columns)
+    drain(realtime_jobs.start_derived(spark, root, every=None)[realtime_jobs.NORMALIZED])
+    assert values(spark.read.parquet(f"{root}/{realtime_jobs.NORMALIZED}"), "key") == ["vehicle.a", "vehicle.a"]

@@ -321,7 +321,8 @@ def replay_report(spark, sf):
     ),
 )
 def dataset_inventory(spark, sf):
-    return explore.dataset_inventory({n: table(spark, sf, n) for n in GIVEN})
+    folder = snapshots.Snapshot("", sf)
+    return explore.dataset_inventory({n: table(spark, sf, n) for n in snapshots.table_paths(spark, folder)})
 
 
 @query(

@@ -52,7 +52,7 @@ def _checkpoint(root: str, name: str) -> str:
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(LEDGER_SCHEMA).parquet(_table(root, RAW))
+    return spark.read.schema(LEDGER_SCHEMA).parquet(_table(root, RAW)).select(*LEDGER_SCHEMA.names)
 
 
 def start_raw(spark: SparkSession, feed_path: str, root: str, every: str | None = ledger.POLL) -> StreamingQuery:
@@ -61,6 +61,25 @@ def start_raw(spark: SparkSession, feed_path: str, root: str, every: str | None
     return ledger.start_table(messages, _table(root, RAW), _checkpoint(root, RAW), every)
 
 
+def start_guarded_raw(
+    spark: SparkSession, feed_path: str, root: str, every: str | None = ledger.POLL, tries: int = 3
+) -> StreamingQuery:
+    """`start_raw` that sets a cycle aside once it failed `tries` times, below `<root>/quarantine`.
+
+    The table has one folder per cycle instead of the file sink's log; a root takes one of the two.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        ledger.write_batch(ledger.raw_messages(batch), batch_id, _table(root, RAW))
+
+    entities = ledger.stream_entities(spark, feed_path)
+    return ledger.start_guarded(entities, step, quarantine(root), _checkpoint(root, RAW), every, tries)
+
+
+def quarantine(root: str) -> str:
+    return _table(root, f"quarantine/{RAW}")
+
+
 def start_unreadable(spark: SparkSession, feed_path: str, root: str, every: str | None = ledger.POLL) -> StreamingQuery:
     """Feed lines that are no entity, kept with their text beside the ledger."""
     lines = ledger.stream_unreadable(spark, feed_path)
@@ -76,7 +95,7 @@ def start_derived(
 ) -> dict[str, StreamingQuery]:
     """The three derived tables, each an independent reader of the raw table."""
     def raw() -> DataFrame:
-        return spark.readStream.schema(LEDGER_SCHEMA).parquet(_table(root, RAW))
+        return spark.readStream.schema(LEDGER_SCHEMA).parquet(_table(root, RAW)).select(*LEDGER_SCHEMA.names)
 
     states = raw().where(F.col("key").isNotNull() & F.col("feed_ts").isNotNull()).select(
         "key",
@@ -131,6 +150,7 @@ def keep_going(
 ) -> int:
     """Runs a stream and starts it again from its checkpoint when a cycle fails.
 
+    The cycle that failed comes again; `ledger.start_guarded` sets it aside after some tries.
     Returns the number of failed runs once the stream ends by itself; with `failures` set, gives
     up (and raises) after that many in all.
     """

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,107 @@ def start_table(
     return timed.start()
 
 
+# --- cycles that fail ---------------------------------------------------------------------------
+
+
+class _Guard:
+    """A step that is tried `tries` times per micro-batch; then the batch is set aside and counts as done.
+
+    Tries are counted in files before the step runs, so one that takes the driver down counts too.
+    """
+
+    def __init__(self, step: Callable[[DataFrame, int], None], aside: str, checkpoint: str, tries: int) -> None:
+        if tries < 1:
+            raise ValueError("a batch is tried at least once")
+        self.step, self.aside, self.checkpoint, self.tries = step, aside.rstrip("/"), checkpoint.rstrip("/"), tries
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        attempts = f"{self.aside}/attempts/batch_id={batch_id}"
+        tried = len(files.children(spark, attempts))
+        error = "every try ended the driver"
+        if tried < self.tries:
+            files.write_new(spark, f"{attempts}/{tried + 1}", "")
+            try:
+                return self.step(batch, batch_id)
+            except Exception as e:
+                if tried + 1 < self.tries:
+                    raise
+                error = f"{type(e).__name__}: {e}"
+        self.set_aside(batch, batch_id, error)
+
+    def set_aside(self, batch: DataFrame, batch_id: int, error: str) -> None:
+        spark = batch.sparkSession
+        if files.exists(spark, f"{self.aside}/records/{batch_id}.json"):
+            return
+        kept = True
+        try:
+            batch.write.mode("overwrite").parquet(_aside_rows(self.aside, batch_id))
+        except Exception as e:  # the input itself cannot be read: its offsets still say what it was
+            kept, error = False, f"{error}\n{type(e).__name__}: {e}"
+        offsets = files.read_text(spark, f"{self.checkpoint}/offsets/{batch_id}")
+        told = {"batch_id": batch_id, "tries": self.tries, "rows_kept": kept, "error": error, "offsets": offsets}
+        files.write_new(spark, f"{self.aside}/records/{batch_id}.json", json.dumps(told))
+
+
+def _aside_rows(aside: str, batch_id: int) -> str:
+    return f"{aside.rstrip('/')}/rows/batch_id={batch_id}"
+
+
+def start_guarded(
+    rows: DataFrame,
+    step: Callable[[DataFrame, int], None],
+    aside: str,
+    checkpoint: str,
+    every: str | None = POLL,
+    tries: int = 3,
+) -> StreamingQuery:
+    """Runs `step` on each micro-batch; one that fails `tries` times is set aside and the next one comes.
+
+    A failure before that stops the query, and a restart on the same checkpoint tries the same batch
+    again (`plans.realtime.keep_going` does so). What is set aside are the rows the step was given, the
+    error and the source's offsets (`read_aside`); `retry_aside` gives them to a mended step. The step
+    must give the same result when a batch is repeated, as `write_batch` does, and must not build
+    on the result of the batch before.
+    """
+    writer = rows.writeStream.foreachBatch(_Guard(step, aside, checkpoint, tries)).option("checkpointLocation", checkpoint)
+    timed = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    return timed.start()
+
+
+_ASIDE = "batch_id long, tries int, rows_kept boolean, error string, offsets string"
+
+
+def read_aside(spark: SparkSession, aside: str) -> DataFrame:
+    """One row per batch that is set aside and not yet retried with success."""
+    records = f"{aside.rstrip('/')}/records"
+    if not files.exists(spark, records):
+        return spark.createDataFrame([], _ASIDE)
+    retried = [int(e.name) for e in files.children(spark, f"{aside.rstrip('/')}/retried")]
+    return spark.read.schema(_ASIDE).json(records).where(~F.col("batch_id").isin(retried))
+
+
+def retry_aside(spark: SparkSession, aside: str, step: Callable[[DataFrame, int], None]) -> list[int]:
+    """Gives the rows of batches set aside to a mended step, oldest first; returns the batches done.
+
+    A step that fails again raises, and that batch stays aside. Batches whose rows could not be read are left.
+    """
+    done = []
+    for batch_id, in read_aside(spark, aside).where("rows_kept").select("batch_id").orderBy("batch_id").collect():
+        step(spark.read.parquet(_aside_rows(aside, batch_id)), batch_id)
+        files.write_new(spark, f"{aside.rstrip('/')}/retried/{batch_id}", "")
+        done.append(batch_id)
+    return done
+
+
+def write_batch(rows: DataFrame, batch_id: int, path: str, partition: str | None = "feed_date") -> None:
+    """The rows of a micro-batch as a folder of their own below `path`, once, however often the batch is repeated."""
+    folder = f"{path.rstrip('/')}/batch_id={batch_id}"
+    if not _whole(rows.sparkSession, folder):
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(partition) if partition in rows.columns else writer).parquet(folder)
+
+
 def start_kafka(
     messages: DataFrame, servers: str, topic: str, checkpoint: str, every: str = POLL
 ) -> StreamingQuery:
