@@ -44,13 +44,14 @@ def with_neighbour(
     blocked = df.withColumn(_BLOCK, block)
     columns = blocked.columns
     item = F.struct(*values)
-    rank = F.struct(*order)
     shift = F.lead if following else F.lag
     local = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     within = blocked.withColumn(name, shift(item).over(local)).select(*columns, name)
 
-    edge = F.min_by(item, rank) if following else F.max_by(item, rank)
-    edges = blocked.groupBy(*keys, _BLOCK).agg(edge.alias(_EDGE))
+    # the row of a block that another block's neighbour can be: its first one, or its last
+    back = F.lag if following else F.lead
+    ends = blocked.withColumn(_EDGE, back(F.lit(True)).over(local)).where(F.col(_EDGE).isNull())
+    edges = ends.select(*keys, _BLOCK, item.alias(_EDGE))
     across = Window.partitionBy(*keys).orderBy(_BLOCK)
     links = edges.select(*keys, _BLOCK, shift(F.col(_EDGE)).over(across).alias(_LINK))
     return _linked(within, links, keys, name)
@@ -67,16 +68,14 @@ def with_carried(
     """Adds `name`: the last non-null `marker` at or before each row of the key."""
     blocked = df.withColumn(name, marker).withColumn(_BLOCK, block)
     columns = [c for c in blocked.columns if c != name]
-    local = (
-        Window.partitionBy(*keys, _BLOCK)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    ordered = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    local = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = F.last(name, ignorenulls=True).over(local)
     within = blocked.select(*columns, carried.alias(name))
 
-    marked = F.when(F.col(name).isNotNull(), F.struct(*order))
-    edges = blocked.groupBy(*keys, _BLOCK).agg(F.max_by(name, marked).alias(_EDGE))
+    # what a block hands on is what its last row carries
+    last = blocked.select(*keys, _BLOCK, carried.alias(_EDGE), F.lead(F.lit(True)).over(ordered).alias(_LINK))
+    edges = last.where(F.col(_LINK).isNull()).select(*keys, _BLOCK, _EDGE)
     before = (
         Window.partitionBy(*keys)
         .orderBy(_BLOCK)
