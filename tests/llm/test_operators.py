@@ -287,6 +287,7 @@ def test_ann_graph_is_pruned_and_searched_by_its_edges(dims):
     want = np.argsort(-(queries @ unit.T), 1)[:, :5]
     recall = lambda g: np.mean([len(set(a[:5]) & set(b)) / 5 for a, b in zip(g.search(queries, ann.ASK_BEAM)[0], want)])
     assert recall(graph) >= 0.95
+    assert ann.ask_beam(4096) == ann.ASK_BEAM and ann.ask_beam(16_384) == 256
     cut = ann.Graph(unit, np.full_like(graph.edges, -1))  # without edges only the entries are found
     assert recall(cut) < 0.2
 

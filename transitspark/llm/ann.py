@@ -9,7 +9,8 @@ are merged. Scores of what is found are computed in double precision on the orig
 Queries meet shards in blocks, so a task holds one shard and one block. Each query is sent to every shard and
 each shard to every block of queries, so shards and blocks grow with the square root of their tables, between
 the bounds of `SHARD` and `QUERY_BLOCK`: what is sent grows with the power 1.5 of the input until they are at their
-largest, about 90 MB of a shard of 64 numbers a vector, and with the square beyond. A node carries its ids only up to one more than are asked for; the least ids win ties, so no more can count.
+largest, and with the square beyond. The beam of a query grows with the root of its shard, since recall falls in larger
+ones. A node carries its ids only up to one more than are asked for; the least ids win ties, so no more can count.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part,
 nor do null ids; rows that repeat in full count once; an id with two vectors is two rows, and neither is
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from transitspark.session import rewritten
 
-SHARD, QUERY_BLOCK = (4096, 65_536), (2048, 65_536)
+SHARD, QUERY_BLOCK = (4096, 16_384), (2048, 65_536)
 GROWTH, CELLS = 16, 20_000
 DEGREE, BEAM, ASK_BEAM, RELAX = 24, 64, 128, 1.2
 K, EVERY = 5, 50
@@ -108,6 +109,10 @@ class Graph:
         return out
 
 
+def ask_beam(nodes: int) -> int:
+    return max(ASK_BEAM, 2 * math.isqrt(nodes))
+
+
 def built(unit: np.ndarray, seed: int) -> Graph:
     n, random = len(unit), np.random.default_rng(seed)
     edges = random.integers(0, n, (n, DEGREE))
@@ -166,7 +171,7 @@ def _ask(shard: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     length = np.sqrt((vectors * vectors).sum(1))
     rows: list[tuple] = []
     for a in range(0, len(asked), 256):
-        met, _ = graph.search(_unit(asked[a : a + 256]), ASK_BEAM)
+        met, _ = graph.search(_unit(asked[a : a + 256]), ask_beam(len(shard)))
         for i, found in enumerate(met, a):
             found = found[found >= 0]
             score = (vectors[found] * asked[i]).sum(1) / (length[found] * np.sqrt((asked[i] * asked[i]).sum()))
