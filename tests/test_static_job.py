@@ -11,7 +11,7 @@ from transitspark.operators.subset import DERIVED_FROM, city_subset, dependents
 from transitspark.plans.static import publish_each, publish_latest, replay_history
 from transitspark.sources import files, manifest
 from transitspark.sources.publish import HistoryWriter, published_latest, read_history
-from transitspark.sources.snapshots import latest_snapshot, snapshots
+from transitspark.sources.snapshots import latest_snapshot, load_history, snapshots
 
 RULES = QualityRules(
     required={"stops": ("stop_id", "stop_name")}, bounds={"stops": (1, 100)},
@@ -204,3 +204,12 @@ def test_history_names_a_column_only_one_version_lacks(spark, bronze, tmp_path,
     report, _ = replay_history(spark, bronze, str(tmp_path / "h"), rules=RULES)
     told = [line for v, line in lines(report) if v == "gtfs_fp2026_20260812"]
     assert told == ["stops.required_columns: missing column(s): ['stop_name']"]
+
+
+def test_versions_of_a_history_are_read_off_the_path_by_plain_searches(spark, tmp_path):
+    bronze = str(tmp_path / "bronze")
+    for version in ("feed_20260101", "feed_20260102"):
+        spark.range(2).write.parquet(f"{bronze}/{version}/stops.parquet")
+    stops = load_history(spark, snapshots(spark, bronze))["stops"]
+    assert {r[0] for r in stops.select("snapshot_version").distinct().collect()} == {"feed_20260101", "feed_20260102"}
+    assert "regexp_extract" not in stops._jdf.queryExecution().optimizedPlan().toString()

@@ -111,6 +111,7 @@ def load_history(
     history = {}
     for name in sorted(paths):
         df = spark.read.option("mergeSchema", "true").parquet(*paths[name])
-        folder = F.regexp_extract("_metadata.file_path", rf"/([^/]+)/{re.escape(name)}\.parquet", 1)
+        # by plain searches, as this is done for every row
+        folder = F.substring_index(F.substring_index("_metadata.file_path", f"/{name}.parquet", 1), "/", -1)
         history[name] = df.select("*", folder.alias(VERSION))
     return history
