@@ -122,3 +122,16 @@ def test_a_trip_of_several_routes_counts_once(spark):
     trips = frame(spark, "trip_id string, route_id string", [("t", "r1"), ("t", "r2"), ("t", "r1"), ("u", "r1"), ("v", None)])
     edge = graph.stop_edges(pairs, trips).first()
     assert (edge["route_count"], edge["trip_count"]) == (2, 3)
+
+
+def test_the_clock_may_be_the_order(spark):
+    times = frame(spark, "trip_id string, stop_id int, stop_sequence bigint", [("a", 1, 50), ("a", 2, 10), ("a", 3, 100_000), ("b", 4, None), ("a", 2, 10)])
+    found = graph.hops(times, times=("stop_sequence", "stop_sequence"), block_size=60)
+    assert values(found) == sorted([("a", 2, 2, 1, 0), ("a", 2, 1, 1, 40), ("a", 1, 3, 1, 99_950)], key=str)
+
+
+def test_equal_times_and_later_shortcuts(spark):
+    chain = [(i, i + 1, 1) for i in range(1, 30)] + [(1, i, 100 - 2 * i) for i in range(2, 31)] + [(30, 1, 0), (5, 5, 0)]
+    travel = frame(spark, "source_stop_id bigint, target_stop_id bigint, min_travel_s bigint", chain)
+    got = {r["stop_id"]: r["travel_s"] for r in graph.shortest_times(travel, frame(spark, "stop_id bigint", [(1,)])).collect()}
+    assert got == distances(chain, 1)

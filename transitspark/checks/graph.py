@@ -239,6 +239,6 @@ def fastest_times(spark, sf):
     """Least scheduled travel time from the first stop; trips run by arrival, and stops take no time."""
     t = tables(spark, sf)
     arrival = clock_seconds(F.col("arrival_time"))
-    timed = t["stop_times"].withColumns({"stop_sequence": arrival, "arrival_s": arrival, "departure_s": arrival})
-    onward = graph.hops(timed, times=("arrival_s", "departure_s"), block_size=4 * 3600)
+    timed = t["stop_times"].withColumn("stop_sequence", arrival)
+    onward = graph.hops(timed, times=("stop_sequence", "stop_sequence"), block_size=24 * 3600)
     return graph.shortest_times(graph.edge_travel_times(onward), _first_stop(t["stops"]))

@@ -39,10 +39,11 @@ def hops(
     """
     key = [*by, "trip_id"]
     clock = list(times) if times else []
+    own = [c for c in dict.fromkeys(clock) if c != "stop_sequence"]
     rows = (
         with_integer(stop_times, "stop_sequence")
         .where(F.col("trip_id").isNotNull())
-        .groupBy(*key, "stop_sequence", "stop_id", *clock)
+        .groupBy(*key, "stop_sequence", "stop_id", *own)
         .agg(F.count(F.lit(1)).alias("__copies"))
     )
     values = ["stop_id", clock[0]] if times else ["stop_id"]
@@ -50,7 +51,7 @@ def hops(
     paired = with_neighbour(
         rows,
         key,
-        ["stop_sequence", "stop_id", *clock, "__copies"],
+        ["stop_sequence", "stop_id", *own, "__copies"],
         block_of(F.col("stop_sequence"), block_size),
         values,
         "__next",
@@ -285,7 +286,8 @@ def shortest_times(
     """Least total travel time from each source stop; edges of negative weight are an error.
 
     Only stops whose time just improved are joined with the edges in a round, so the work falls
-    with the number of improvements; ends when none improves.
+    with the number of improvements; ends when none improves. The edges are dealt out by their
+    source once and kept, so a round sends the stops to them and never the edges.
     """
     spark = travel.sparkSession
     known = travel.where(F.col(weight).isNotNull()).select(
@@ -294,13 +296,14 @@ def shortest_times(
     step, measured = Rounds(spark, "steps").keep(known, lowest=F.min("w"))
     if measured["lowest"] is not None and measured["lowest"] < 0:
         raise ValueError("shortest_times needs weights that are not negative")
-    start = sources.select(
-        F.col("stop_id").alias("source"), "stop_id", F.lit(0).cast("double").alias("total")
-    ).distinct()
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = step.repartition(dealt, "source_stop_id").sortWithinPartitions("source_stop_id").persist()
+    total = F.lit(0).cast("double").alias("total")
+    start = sources.select(F.col("stop_id").alias("source"), "stop_id", total).distinct()
     rounds = Rounds(spark, "times")
     best, _ = rounds.keep(start, n=F.count(F.lit(1)))
-    improved = best
-    while True:
+    improved, measured = best, {"improved": 1}
+    while measured["improved"]:
         offer = (
             improved.join(step, F.col("stop_id") == F.col("source_stop_id"))
             .groupBy("source", F.col("target_stop_id").alias("stop_id"))
@@ -317,6 +320,6 @@ def shortest_times(
             improved=F.count_if("better"),
         )
         best = merged.select("source", "stop_id", "total")
-        if measured["improved"] == 0:
-            return best.withColumnRenamed("total", "travel_s")
         improved = merged.where("better").select("source", "stop_id", "total")
+    step.unpersist()
+    return best.withColumnRenamed("total", "travel_s")

@@ -46,7 +46,9 @@ def with_neighbour(
     item = F.struct(*values)
     shift = F.lead if following else F.lag
     local = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    within = blocked.withColumn(name, shift(item).over(local)).select(*columns, name)
+    # value by value: a struct would be made before the shuffle, which the search for ends could then not share
+    there = F.struct(*[shift(F.col(v)).over(local).alias(v) for v in values])
+    within = blocked.withColumn(name, F.when(shift(F.lit(True)).over(local), there)).select(*columns, name)
 
     # the row of a block that another block's neighbour can be: its first one, or its last
     back = F.lag if following else F.lead
