@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -11,9 +12,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from transitspark.llm import ann, bpe, decontaminate, language, licenses, lines, minhash, pii, sharding, substrings
 from transitspark.llm.queries import vocabulary
+from transitspark.session import rewritten, settled
 
 SCHEMA = "doc_id long, text string, lang string, rid string, row int, n_words int, node string"
 sha = lambda t: hashlib.sha256(t if isinstance(t, bytes) else t.encode()).hexdigest()
@@ -170,6 +173,30 @@ def test_runs_of_any_length_count_by_their_words(spark, docs):
     assert lines.without_repeated_runs(docs).columns == docs.columns
 
 
+def test_runs_are_doubled_to_their_end_and_merged(spark):
+    same = [f"line {i} of many" for i in range(9)]
+    given = [(1, "\n".join(["a", *same, "b"])), (2, "\n".join(["c", *same, "d e f", *same[:2]])), (2, "\n".join(["c", *same, "d e f", *same[:2]]))]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    texts = lines.keyed(docs).select("rid", "id", F.posexplode(lines.lines_of("row.text")).alias("at", "s"))
+    single = texts.select("rid", "id", "at", F.col("at").alias("line"), F.col("at").alias("last"), F.xxhash64("s").alias("name"), F.lit(3).alias("total"))
+    found = {n: t.select("id", "line", "last", "later").collect() for n, t in lines.repeated_runs(single, 3).items()}
+    assert {n: len(t) for n, t in found.items()} == {1: 22, 2: 17, 3: 14, 4: 12, 8: 4, 16: 0}  # no length but 16 is without a pair
+    assert sorted(map(tuple, found[8])) == [(1, 1, 8, False), (1, 2, 9, False), (2, 1, 8, True), (2, 2, 9, True)]
+    spans = {tuple(sorted((s["line"], s["last"]) for s in r["spans"])) for r in lines.later_runs(docs).collect()}
+    assert spans == {((1, 9), (11, 12))}
+
+
+def test_what_a_step_writes_on_its_way_goes(spark, tmp_path):
+    made = {}
+
+    def step():
+        made["inner"] = rewritten(spark.range(5), "inner")
+        return made["inner"].filter("id > 2")
+
+    out = settled(spark, step, "outer")
+    assert out.count() == 2 and not os.path.exists(made["inner"].inputFiles()[0].removeprefix("file://"))
+
+
 def test_line_names_by_doubling(spark):
     df = spark.sql("SELECT transform(split('a b a b a c', ' '), x -> xxhash64(x)) AS n")
     three = df.select(lines.suffix_names(df["n"], 3)).first()[0]

@@ -1,11 +1,12 @@
 """Repeated runs of lines by prefix doubling over line ids, in DataFrame expressions only.
 
-A text is a sequence of line ids. The ranks of the suffixes by their first 2h lines come from the ranks
-by their first h lines at i and i + h; a rank is a name, equal exactly where the prefixes are equal. Names
-are kept in one array for each text, so the doubling itself moves nothing. Suffixes with one name are an
-interval of the suffix array whose longest common prefix is at least the depth; every interval with more
-than one suffix is a repeated run, and all of its places but the first, by document and line, are
-later copies. Long runs are covered by the intervals of their inner suffixes, whose first places come first too.
+A text is a sequence of line ids. The names of the suffixes by their first 2h lines come from the names
+by their first h lines at i and i + h; names are equal exactly where the prefixes are equal. Suffixes with
+one name are an interval of the suffix array whose longest common prefix is at least the depth; only
+intervals with more than one suffix go on, each depth is a written table, and it ends with the depth that
+has none. All places of such a run but the first, by document and line, are later copies; those that weigh
+enough and overlap in a text make its maximal runs, which are cut out. A run whose length is no depth is
+covered by shorter ones, whose first places come first too. Names need no order between intervals.
 
 `later_copies` counts a run from `RUN` lines on, or one line of at least `LONG` characters; its SQL says the
 same. `later_runs` counts any run, single lines too, that holds `WORDS` words in all. Names are 64-bit hashes.
@@ -18,10 +19,12 @@ null id comes before all others; other columns are carried along.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from transitspark.operators.keys import per_key
 from transitspark.session import rewritten
 
 RUN, LONG = 2, 100
@@ -49,69 +52,98 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.struct("*").alias("row"),
         F.xxhash64("doc_id", "text").alias("rid"),
         F.col("doc_id").cast("long").alias("id"),
-        F.split(F.col("text").cast("string"), "\n", -1).alias("lines"),
     )
 
 
+def lines_of(text: str) -> Column:
+    return F.split(F.col(text).cast("string"), "\n", -1)
+
+
 def later_copies(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
-    """(rid, gone): the numbers of the lines of each text that lie in a later copy of a run."""
-    rows = keyed(docs).select("rid", "id", "lines")
-    rows = rows.select("rid", "id", F.transform("lines", lambda x: F.length(x) >= long).alias("is_long"), F.transform("lines", lambda x: F.xxhash64(x)).alias("names"))
-    single = F.zip_with("names", "is_long", lambda n, yes: F.when(yes, F.struct(n.alias("name"), F.lit(1).alias("size"))))
-    runs = F.transform(suffix_names(F.col("names"), run), lambda n: F.struct(n.alias("name"), F.lit(run).alias("size")))
-    suffixes = rows.select("rid", "id", F.posexplode(single).alias("line", "s")).filter("s IS NOT NULL")
-    suffixes = suffixes.unionByName(rows.select("rid", "id", F.posexplode(runs).alias("line", "s"))).select("rid", "id", "line", "s.*")
-    return _later(suffixes.withColumn("last", F.col("line") + F.col("size") - 1))
+    """(rid, spans): the lines of each text, first and last of a span, that lie in a later copy of a run."""
+    weight = lambda x: F.when(F.length(x) >= long, run).otherwise(1)
+    return later_spans(docs, run, weight)
 
 
 def later_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
-    """(rid, gone): the numbers of the lines of each text that lie in a later copy of a run of `least` words or more.
+    """(rid, spans): the lines of each text that lie in a later copy of a run of `least` words or more.
 
-    Lines without words count for nothing, and go with a run they stand in. Of the runs with enough words it
-    takes those that have too few without their first or without their last line: they are of `least` lines
-    at most, every longer run is covered by them, and each is a later copy where the longer one is. All runs
-    of two lines are taken too, to cover lines without words between.
+    Lines without words count for nothing, and go with a run they stand in.
     """
     counts = lambda x: sum(x.rlike(rf"^\s*+\S++(?:\s++\S++){{{k}}}").cast("int") for k in range(least))
-    line = lambda x, i: F.struct(i.alias("line"), i.alias("last"), F.xxhash64(x).alias("name"), counts(x).alias("total"), counts(x).alias("head"), counts(x).alias("tail"))
-    texts = keyed(docs).select("rid", "id", F.filter(F.transform("lines", line), lambda x: x["total"] > 0).alias("w"))
+    return later_spans(docs, least, counts, blank=False)
+
+
+def later_spans(docs: DataFrame, least: int, weight: Callable[[Column], Column], blank: bool = True) -> DataFrame:
+    """(rid, spans) of the maximal spans of lines made of later copies of runs that weigh `least` or more.
+
+    A line weighs what `weight` says of its text; without `blank`, lines of no weight are left out of the sequence.
+    """
+    line = lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), weight(x).alias("total"))
+    found = F.transform(lines_of("row.text"), line)
+    texts = keyed(docs).select("rid", "id", (found if blank else F.filter(found, lambda x: x["total"] > 0)).alias("w"))
     texts = rewritten(texts.filter(F.size("w") > 0), "line_names")
+    suffixes = texts.select("rid", "id", F.posexplode("w").alias("at", "s"))
+    single = suffixes.select("rid", "id", "at", F.col("s.line").alias("line"), F.col("s.line").alias("last"), "s.name", "s.total")
+    runs = maximal_runs([t.filter((F.col("total") >= least) & F.col("later")) for t in repeated_runs(single, least).values()])
+    return runs.groupBy("rid").agg(F.collect_list(F.struct("line", "last")).alias("spans"))
+
+
+def repeated_runs(single: DataFrame, least: int) -> dict[int, DataFrame]:
+    """By length, the runs of lines that stand in more than one place, with whether each is a later copy.
+
+    The names of twice the length come from those of a place and of the place behind it; only places whose name is
+    shared go on, and it ends with the length no two places share. Lengths up to `least` that are no power of two are
+    made of two shorter ones. `single`: rid, id, at, line, last, name, total.
+    """
+    # rows that repeat in full are one document
+    found = {1: _shared(single).distinct()}
+    found[1], left = _measured(found[1])
+    h = 1
+    while left:
+        for more in range(1, min(h, least - h + 1)):
+            found[h + more], _ = _measured(_shared(_joined(found[h], found[more], h)))
+        found[2 * h], left = _measured(_shared(_joined(found[h], found[h], h)))
+        h *= 2
+    return found
 
-    def longer(a: Column, b: Column) -> Column:
-        return F.struct(a["line"], b["last"], F.xxhash64(a["name"], b["name"]).alias("name"), (a["total"] + b["total"]).alias("total"), a["head"], b["tail"])
 
-    runs, windows = F.col("w"), []
-    for size in range(1, max(least, 2) + 1):
-        if size > 1:
-            n = F.greatest(F.size("w") - size + 1, F.lit(0))
-            runs = F.zip_with(F.slice(runs, 1, n), F.slice("w", size, n), longer)
-        enough = F.filter(runs, _enough(least, size))
-        windows.append(_named(enough, size))
-    return _later(texts.select("rid", "id", F.explode(F.concat(*windows)).alias("s")).select("rid", "id", "s.*"))
+def _measured(shared: DataFrame) -> tuple[DataFrame, int]:
+    seen = Observation()
+    out = rewritten(shared.observe(seen, F.count(F.lit(1)).alias("n")), "intervals")
+    return out, seen.get["n"]
 
 
-def _enough(least: int, size: int) -> Callable[[Column], Column]:
-    return lambda x: (x["total"] >= least) & ((x["total"] - F.greatest(x["head"], x["tail"]) < least) | F.lit(size == 2))
+def _joined(a: DataFrame, b: DataFrame, h: int) -> DataFrame:
+    """Runs of `a`, of length h, with the run of `b` that begins where they end."""
+    behind = b.select("rid", (F.col("at") - h).alias("at"), F.col("last").alias("end"), F.col("name").alias("next"), F.col("total").alias("more"))
+    total = (F.col("total") + F.col("more")).alias("total")
+    return a.join(behind, ["rid", "at"]).select("rid", "id", "at", "line", F.col("end").alias("last"), F.xxhash64("name", "next").alias("name"), total)
 
 
-def _named(runs: Column, size: int) -> Column:
-    return F.transform(runs, lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["name"].alias("name"), F.lit(size).alias("size")))
+def _shared(runs: DataFrame) -> DataFrame:
+    """The runs whose name stands in more than one place: an interval of the suffix array, its first place not later."""
+    place = F.struct("id", "rid", "at")
+    first = per_key(runs, ["name"], F.count(F.lit(1)).alias("places"), F.min(place).alias("first")).filter("places > 1")
+    return runs.join(first, "name").select(*runs.columns, (~place.eqNullSafe(F.col("first"))).alias("later"))
 
 
-def _later(suffixes: DataFrame) -> DataFrame:
-    """(rid, gone) of suffixes (rid, id, line, last, name, size)."""
-    # intervals of one suffix hold no repeat; what is left is small beside the input
-    more = suffixes.groupBy("name", "size").agg(F.count("*").alias("places")).filter("places > 1").select("name", "size")
-    intervals = rewritten(suffixes.join(more, ["name", "size"], "left_semi"), "intervals")
-    first = intervals.groupBy("name", "size").agg(F.min(F.struct("id", "rid", "line")).alias("first"))
-    later = intervals.join(first, ["name", "size"]).filter(~F.struct("id", "rid", "line").eqNullSafe(F.col("first")))
-    covered = later.select("rid", F.explode(F.sequence("line", "last")).alias("line"))
-    return covered.distinct().groupBy("rid").agg(F.collect_list("line").alias("gone"))
+def maximal_runs(runs: list[DataFrame]) -> DataFrame:
+    """(rid, line, last) of the runs, those that overlap as one."""
+    every = reduce(DataFrame.unionByName, [r.select("rid", "line", "last") for r in runs])
+    # of the runs that begin on one line the longest holds the others
+    every = every.groupBy("rid", "line").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("rid").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("rid").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = every.withColumn("begins", F.coalesce(F.col("line") > F.max("last").over(before), F.lit(True)).cast("int"))
+    return begins.withColumn("number", F.sum("begins").over(upto)).groupBy("rid", "number").agg(F.min("line").alias("line"), F.max("last").alias("last")).drop("number")
 
 
-def _kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
+def _kept(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(row, id, lines, gone, kept): kept is the text that stays."""
-    joined = keyed(docs).join(gone, "rid", "left")
+    # the text is sent once and cut into lines behind the join
+    joined = keyed(docs).join(spans, "rid", "left").withColumn("lines", lines_of("row.text"))
+    joined = joined.withColumn("gone", F.flatten(F.transform("spans", lambda s: F.sequence(s["line"], s["last"]))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n"))
     return joined.select("row", "id", "lines", "gone", kept.alias("kept"))

@@ -257,10 +257,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, pe
     Of rows that repeat that id too, one stays by the order of the input. Rows without words all stay.
     """
     rows = _labelled(spark, docs.select("doc_id", "text"), shingle, percent)
-    # the surviving rows are named by id and text, which a join can find again
-    leader = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min_by(F.struct("doc_id", "tkey"), F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "rid")).alias("l"))
+    # the surviving rows are named by id and text, which a join can find again; whole texts are sent once, for it
+    least = F.min_by(F.struct("doc_id", "tkey"), F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "rid"))
+    leader = rows.filter("component IS NOT NULL").groupBy("component").agg(least.alias("l"))
+    no_words = rows.filter("component IS NULL").select(F.struct("doc_id", "tkey").alias("l")).distinct()
+    stay = leader.select("l", F.lit(True).alias("once")).unionByName(no_words.withColumn("once", F.lit(False)))
+    stay = rewritten(stay.select(F.xxhash64("l.doc_id", "l.tkey").alias("name"), "l", "once"), "stay")
     out = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tkey"))
-    name = [F.col("id").eqNullSafe(F.col("l.doc_id")), F.col("tkey") == F.col("l.tkey")]
-    no_words = rows.filter("component IS NULL").select(F.col("doc_id"), "tkey").distinct().select(F.struct("doc_id", "tkey").alias("l"))
-    stays = out.join(leader.select("l"), name, "left_semi").dropDuplicates(["id", "tkey"]).select("row.*")
-    return stays.unionByName(out.join(no_words, name, "left_semi").select("row.*"))
+    out = out.withColumn("name", F.xxhash64("id", "tkey")).join(stay, "name")
+    out = out.filter(F.col("id").eqNullSafe(F.col("l.doc_id")) & (F.col("tkey") == F.col("l.tkey")))
+    # rows that share a name stay together behind the join, so one of them is taken there
+    copy = F.when(F.col("once"), -1).otherwise(F.monotonically_increasing_id())
+    return out.withColumn("copy", copy).dropDuplicates(["name", "id", "tkey", "copy"]).select("row.*")

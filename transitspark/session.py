@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -76,10 +77,31 @@ def rewritten(df: DataFrame, label: str) -> DataFrame:
     size of an unfiltered input.
     """
     path = scratch_path(df.sparkSession, label)
+    passing = _PASSING.get()
+    if passing is not None:
+        passing.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders to remove when the `settled` they were written in is done.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """`make()` written and read back; what it had `rewritten` on the way goes, so steps need not all fit the disk at once."""
+    inner: list[str] = []
+    token = _PASSING.set(inner)
+    try:
+        df = make()
+    finally:
+        _PASSING.reset(token)
+    out = rewritten(df, label)
+    for path in inner:
+        remove_folder(spark, path)
+    return out
+
+
 class Rounds:
     """Results of an iteration on shared storage: each round replaces the one before it.
 
