@@ -16,12 +16,15 @@ Defined results: texts that are null, empty or without words have an empty set a
 rows share a node; ids may be null or repeat (the least non-null id names a component; a row without id
 is never kept by `near_duplicates`, but `one_of_each` keeps one row of every component). Columns beyond doc_id and text are left
 out here and carried along by `one_of_each`.
+
+What is done with a text's shingles is in `Steps`: through Arrow here, in expressions in `shingles`.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -138,10 +141,14 @@ def _entries(nodes: DataFrame) -> DataFrame:
     return entries.drop("nodes").join(score, "node")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirmed(both: DataFrame, shingle: int, percent: int) -> DataFrame:
+    return both.mapInArrow(lambda b: _verified(b, shingle, percent), "a long, b long")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, by: Steps) -> DataFrame:
     """The pairs (a, b) that are links on their full shingle sets."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return rewritten(both.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, shingle, percent), "a long, b long"), "links")
+    return rewritten(by.confirmed(both.select("a", "b", "x", "y"), shingle, percent), "links")
 
 
 def _joined(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -157,8 +164,8 @@ def _still_open(left: DataFrame) -> DataFrame:
     return rewritten(left.join(open_, "bucket", "left_semi"), "left")
 
 
-def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
-    """About how often each of 2**RARITY_BITS classes of shingles occurs. Any order of shingles gives right results."""
+def _kinds(texts: DataFrame, shingle: int) -> DataFrame:
+    """(kind, n): how often each class of shingles occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, np.int64)
@@ -167,22 +174,20 @@ def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
                 total += np.bincount(sorted_sets(p, shingle)[0] >> np.uint64(64 - RARITY_BITS), minlength=len(total))
         yield pa.record_batch([pa.array(np.flatnonzero(total), pa.int64()), pa.array(total[total > 0], pa.int64())], ["kind", "n"])
 
+    return texts.select("text").mapInArrow(count, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+def _rarity(counts: DataFrame) -> np.ndarray:
+    """About how often each of 2**RARITY_BITS classes of shingles occurs. Any order of shingles gives right results."""
     out = np.zeros(1 << RARITY_BITS, np.int64)
-    for kind, n in texts.select("text").mapInArrow(count, "kind long, n long").groupBy("kind").agg(F.sum("n")).collect():
+    for kind, n in counts.collect():
         out[kind] = n
     return out
 
 
-def rest_pairs(spark: SparkSession, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that may be links, by the prefixes of their sets.
-
-    With the shingles of all sets in one order, rare ones first, two sets of n and m shingles with the
-    similarity share one among the first n - ceil(n * percent / 100) + 1 of each; where the first shared
-    one stands bounds what they can share (Xiao et al., "Efficient Similarity Joins for Near Duplicate
-    Detection", 2008). No link is lost, and nodes that differ from their centre by shingles of their own
-    meet only where they share those. `texts`: node, text, component.
-    """
-    rarity = spark.sparkContext.broadcast(_rarity(texts, shingle))
+def _prefixes(texts: DataFrame, rarity: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """(token, node, component, at, n) of the prefixes of all sets."""
+    sent = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,14 +196,38 @@ def rest_pairs(spark: SparkSession, texts: DataFrame, shingle: int, percent: int
                 for i in range(p.rows):
                     own = values[at[i] : at[i + 1]]
                     n = len(own)
-                    own = own[np.lexsort((own, rarity.value[own >> np.uint64(64 - RARITY_BITS)]))][: n + (-n * percent) // 100 + 1]
+                    own = own[np.lexsort((own, sent.value[own >> np.uint64(64 - RARITY_BITS)]))][: n + (-n * percent) // 100 + 1]
                     size = len(own)
                     yield pa.record_batch(
                         [signed(own), *(np.full(size, batch.column(c)[p.first + i].as_py(), np.int64) for c in (0, 1)), np.arange(size, dtype=np.int64), np.full(size, n, np.int64)],
                         ["token", "node", "component", "at", "n"],
                     )
 
-    tokens = texts.select("node", "component", "text").mapInArrow(prefixes, "token long, node long, component long, at long, n long")
+    return texts.select("node", "component", "text").mapInArrow(prefixes, "token long, node long, component long, at long, n long")
+
+
+class Steps(NamedTuple):
+    """What is done with the shingles of texts; the functions of this module say what each gives."""
+
+    sketches: Callable[[DataFrame, int, int], DataFrame]
+    confirmed: Callable[[DataFrame, int, int], DataFrame]
+    kinds: Callable[[DataFrame, int], DataFrame]
+    prefixes: Callable[[DataFrame, np.ndarray, int, int], DataFrame]
+
+
+ARROW = Steps(sketches, _confirmed, _kinds, _prefixes)
+
+
+def rest_pairs(texts: DataFrame, shingle: int, percent: int, by: Steps = ARROW) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be links, by the prefixes of their sets.
+
+    With the shingles of all sets in one order, rare ones first, two sets of n and m shingles with the
+    similarity share one among the first n - ceil(n * percent / 100) + 1 of each; where the first shared
+    one stands bounds what they can share (Xiao et al., "Efficient Similarity Joins for Near Duplicate
+    Detection", 2008). No link is lost, and nodes that differ from their centre by shingles of their own
+    meet only where they share those. `texts`: node, text, component.
+    """
+    tokens = by.prefixes(texts, _rarity(by.kinds(texts, shingle)), shingle, percent)
     tokens = rewritten(tokens, "tokens")
     # of the nodes with a token, those of its largest component are compared with the others only
     sizes = tokens.groupBy("token", "component").agg(F.count("*").alias("nodes"))
@@ -209,7 +238,7 @@ def rest_pairs(spark: SparkSession, texts: DataFrame, shingle: int, percent: int
     return a.join(b, (F.col("a.token") == F.col("b.token")) & may).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
-def node_components(spark: SparkSession, docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def node_components(spark: SparkSession, docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, by: Steps = ARROW) -> DataFrame:
     """(node, component) of all nodes that have a link."""
     nodes = sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("tkey").alias("tkey"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = rewritten(nodes, "nodes")
@@ -217,8 +246,7 @@ def node_components(spark: SparkSession, docs: DataFrame, sketch: DataFrame, shi
     wanted = left.select("node").distinct().join(nodes.select("node", "tkey"), "node")
     texts = docs.select(F.xxhash64("text").alias("tkey"), F.col("text").cast("string").alias("text")).join(wanted, "tkey")
     texts = rewritten(texts.dropDuplicates(["tkey"]).select("node", "text"), "texts")
-    links = spark.createDataFrame([], "a long, b long")
-    components = spark.createDataFrame([], "node long, component long")
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     for _ in range(STARS):
         left = _still_open(left)
         best = F.max(F.struct("score", F.struct("node", "component", "n").alias("c"))).alias("best")
@@ -226,20 +254,20 @@ def node_components(spark: SparkSession, docs: DataFrame, sketch: DataFrame, shi
         centres = rewritten(centres, "centres")
         apart = (F.col("component") != F.col("of")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         pairs = left.join(centres, "bucket").filter(apart).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        links = links.unionByName(_verify(pairs, texts, shingle, percent))
+        links = links.unionByName(_verify(pairs, texts, shingle, percent, by))
         components = _joined(spark, links)
         # a centre was compared with its whole bucket and leaves it
         left = left.join(centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").drop("component")
         left = left.join(components, "node", "left").select("bucket", "node", "n", "score", F.coalesce("component", "node").alias("component"))
     left = _still_open(left)
     rest = rewritten(texts.join(left.select("node", "component").distinct(), "node"), "rest")
-    return _joined(spark, links.unionByName(_verify(rest_pairs(spark, rest, shingle, percent), texts, shingle, percent)))
+    return _joined(spark, links.unionByName(_verify(rest_pairs(rest, shingle, percent, by), texts, shingle, percent, by)))
 
 
-def _labelled(spark: SparkSession, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _labelled(spark: SparkSession, docs: DataFrame, shingle: int, percent: int, by: Steps = ARROW) -> DataFrame:
     """(rid, doc_id, n_shingles, node, component, component_id)."""
-    sketch = rewritten(sketches(docs, shingle, percent), "sketches")
-    components = node_components(spark, docs, sketch, shingle, percent)
+    sketch = rewritten(by.sketches(docs, shingle, percent), "sketches")
+    components = node_components(spark, docs, sketch, shingle, percent, by)
     rows = sketch.drop("bands").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # one row for each component, made map-side first, so a large group costs its rows and no more
     least = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("rid").alias("first"))
@@ -251,12 +279,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     return _labelled(spark, docs, shingle, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, by: Steps = ARROW) -> DataFrame:
     """The rows of `docs`, all columns, but of each component only one: that of its least id.
 
     Of rows that repeat that id too, one stays by the order of the input. Rows without words all stay.
     """
-    rows = _labelled(spark, docs.select("doc_id", "text"), shingle, percent)
+    rows = _labelled(spark, docs.select("doc_id", "text"), shingle, percent, by)
     # the surviving rows are named by id and text, which a join can find again; whole texts are sent once, for it
     least = F.min_by(F.struct("doc_id", "tkey"), F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "rid"))
     leader = rows.filter("component IS NOT NULL").groupBy("component").agg(least.alias("l"))
