@@ -49,3 +49,23 @@ def test_run_keeps_one_of_each_planted_group(spark, tmp_path):
     out = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, str(sf)).collect()}
     assert [sorted(ids & set(out)) for ids in groups] == [[min(ids)] for ids in groups]
     assert min(out.values()) > 0
+
+
+def test_line_dedup_cuts_every_line_seen_before(spark):
+    rng = random.Random(9)
+    unspaced = "日本語の行には空白がない。" * 10
+    bank = ["Yes", "No.", "—", "two words", "of three words", unspaced, "x" * 300, "a line of many more words than three"]
+    own = lambda i, k: " ".join(f"own{i}x{k}x{j}" for j in range(9))
+    given = {i: rng.sample(bank, 4) + [own(i, 0), *rng.choices(bank, k=3), own(i, 1)] for i in range(40)}
+    given |= {100: ["Yes"], 101: [unspaced, "Yes"], 102: ["new"], 103: [own(103, 0), "new"]}
+    seen, want = set(), {}
+    for i, t in given.items():
+        left = [x for k, x in enumerate(t) if x not in seen and x not in t[:k]]
+        seen |= set(t)
+        if left:
+            want[i] = "\n".join(left)
+    # lines without a word go with the run they stand in, and with nothing else
+    given |= {200: [own(200, 0), "Yes", "", "first", "", "second"], 201: [own(201, 0), "first", "", "second", "", own(201, 1)], 202: None}
+    want |= {200: "\n".join([own(200, 0), "", "first", "", "second"]), 201: "\n".join([own(201, 0), "", own(201, 1)]), 202: None}
+    docs = spark.createDataFrame([(i, t and "\n".join(t)) for i, t in given.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()} == want

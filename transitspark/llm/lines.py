@@ -9,7 +9,8 @@ enough and overlap in a text make its maximal runs, which are cut out. A run who
 covered by shorter ones, whose first places come first too. Names need no order between intervals.
 
 `later_copies` counts a run from `RUN` lines on, or one line of at least `LONG` characters; its SQL says the
-same. `later_runs` counts any run, single lines too, that holds `WORDS` words in all. Names are 64-bit hashes.
+same. `later_runs` counts any run, single lines too, that holds `least` words in all (`WORDS`, if not said; the pipeline
+asks for one, so no line with a word is left twice). Names are 64-bit hashes.
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line; a text whose
 lines all are later copies becomes empty (`without_repeated_runs` drops it); rows that repeat in full are one document and fare alike; a
